@@ -70,7 +70,7 @@ def relative_date(text, run_date) -> Column:
     """'Posted Today' / 'N days' / 'N weeks' / 'N months' (30 days each) -> DATE
     relative to ``run_date``; anything else -> NULL. Checks run in that order."""
     t = F.lower(strip_ws(col_of(text)))
-    rd = F.to_date(F.lit(str(run_date)))
+    rd = run_date if isinstance(run_date, Column) else F.to_date(F.lit(str(run_date)))
 
     def n(unit: str) -> Column:
         return F.regexp_extract(t, r"(?U)(\d+)\s+" + unit, 1)

@@ -92,3 +92,52 @@ def status_table(spark: SparkSession, sf_dir: str) -> DataFrame:
                      .when(F.col("o_orderstatus") == "P", "ignored")
                      .otherwise("saved").alias("status"),
                     F.to_date("o_orderdate").alias("date")))
+
+
+# events -> postings: platform by event type, one posting per (user, type).
+EVENT_ATS = [("click", "Workday"), ("purchase", "Paylocity")]
+EVENT_DEFAULT_ATS = "Greenhouse"
+
+
+def event_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scrape log rows: each event is one sighting of a posting. ``seq`` =
+    event_id is the arrival order used by last-wins."""
+    from ..functions.classify import dedup_key
+
+    e = read_table(spark, sf_dir, "events")
+    uid = F.col("user_id").cast("string")
+    rows = e.select(
+        F.col("event_id").alias("seq"),
+        _case(F.col("event_type"), EVENT_ATS, EVENT_DEFAULT_ATS).alias("ats"),
+        F.concat(F.lit("company-"), (F.col("user_id") % 17).cast("string")).alias("company"),
+        F.concat(F.lit("https://jobs.example.com/"), F.col("event_type"), F.lit("/jobs/"), uid).alias("url"),
+        F.when((F.col("event_type") == "purchase") & (F.col("value") >= 10), uid).alias("id"),
+        F.concat(F.col("event_type"), F.lit(" role "), uid).alias("title"),
+        F.col("ts").alias("scraped_at"),
+        F.when(F.col("value") < 5, F.lit(None)).otherwise(F.col("ts") - F.expr("INTERVAL 1 DAY")).alias("first_seen"),
+    )
+    return rows.withColumn("key", dedup_key("url", "ats", "company", "id", "title"))
+
+
+def existing_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_postings(spark, sf_dir).filter(F.col("scraped_at") < ts_lit(EVENTS_SPLIT))
+
+
+def new_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The new scrape carries no first_seen of its own (the merge sets it)."""
+    return (event_postings(spark, sf_dir).filter(F.col("scraped_at") >= ts_lit(EVENTS_SPLIT))
+            .drop("first_seen"))
+
+
+def status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status clicks per URL from lineitem: R = applied, A = ignored, N = saved;
+    ``seq`` orders them (ship date, then line attributes)."""
+    li = read_table(spark, sf_dir, "lineitem")
+    return li.select(
+        F.concat(F.lit("https://example.com/jobs/"), F.col("l_orderkey").cast("string")).alias("url"),
+        F.when(F.col("l_returnflag") == "R", "applied").when(F.col("l_returnflag") == "A", "ignored")
+         .otherwise("saved").alias("status"),
+        F.to_date("l_shipdate").alias("date"),
+        ((F.floor(F.unix_micros(F.col("l_shipdate").cast("timestamp")) / 86_400_000_000) * 8 + F.col("l_linenumber"))
+         * 10_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).cast("bigint").alias("seq"),
+        "l_partkey", "l_suppkey")

@@ -113,3 +113,26 @@ def status_cte() -> str:
 
 def age_us(col: str, now: dt.datetime) -> str:
     return f"(epoch_us({ts(now)}) - epoch_us({col}))"
+
+
+def event_postings_cte() -> str:
+    ats = _case("event_type", fx.EVENT_ATS, fx.EVENT_DEFAULT_ATS)
+    return f"""ep0 AS (
+ SELECT event_id AS seq, {ats} AS ats,
+  concat('company-', CAST(user_id % 17 AS VARCHAR)) AS company,
+  concat('https://jobs.example.com/', event_type, '/jobs/', CAST(user_id AS VARCHAR)) AS url,
+  CASE WHEN event_type = 'purchase' AND value >= 10 THEN CAST(user_id AS VARCHAR) END AS id,
+  concat(event_type, ' role ', CAST(user_id AS VARCHAR)) AS title,
+  ts AS scraped_at,
+  CASE WHEN value < 5 THEN NULL ELSE ts - INTERVAL 1 DAY END AS first_seen
+ FROM events),
+ep AS (
+ SELECT *, CASE
+   WHEN ats = 'Workday' AND regexp_extract(coalesce(url, ''), '/jobs/(\\d+)', 1) <> ''
+     THEN concat('workday:', coalesce(company, ''), ':', regexp_extract(coalesce(url, ''), '/jobs/(\\d+)', 1))
+   WHEN ats = 'Paylocity' AND nullif(id, '') IS NOT NULL THEN concat('paylocity:', id)
+   WHEN ats = 'Paylocity' THEN concat('paylocity:', coalesce(company, ''), ':', coalesce(title, ''))
+   ELSE coalesce(url, '') END AS key
+ FROM ep0),
+ex AS (SELECT * FROM ep WHERE scraped_at < {ts(fx.EVENTS_SPLIT)}),
+nw AS (SELECT * EXCLUDE (first_seen) FROM ep WHERE scraped_at >= {ts(fx.EVENTS_SPLIT)})"""
