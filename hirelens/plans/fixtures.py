@@ -141,3 +141,6 @@ def status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.floor(F.unix_micros(F.col("l_shipdate").cast("timestamp")) / 86_400_000_000) * 8 + F.col("l_linenumber"))
          * 10_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).cast("bigint").alias("seq"),
         "l_partkey", "l_suppkey")
+
+
+EVENTS_LAST_DAY = dt.date(2024, 1, 30)
