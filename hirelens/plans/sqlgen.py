@@ -136,3 +136,34 @@ ep AS (
  FROM ep0),
 ex AS (SELECT * FROM ep WHERE scraped_at < {ts(fx.EVENTS_SPLIT)}),
 nw AS (SELECT * EXCLUDE (first_seen) FROM ep WHERE scraped_at >= {ts(fx.EVENTS_SPLIT)})"""
+
+
+def _platform_case(key: str) -> str:
+    return "CASE " + " ".join(f"WHEN {key} % 7 = {i} THEN {q(p)}" for i, p in enumerate(presets.PLATFORMS)) + " END"
+
+
+def pytitle(expr: str) -> str:
+    """Python str.title(): capitalise each letter run, lower the rest."""
+    return (f"array_to_string(list_transform(regexp_extract_all({expr}, '(\\p{{L}}+|\\P{{L}}+)', 1), "
+            "lambda t: CASE WHEN regexp_matches(t, '^\\p{L}') THEN upper(t[1]) || lower(t[2:]) ELSE t END), '')")
+
+
+def raw_ctes() -> str:
+    """Companies (one per customer) and their postings with page numbers."""
+    plat = _platform_case("c_custkey")
+    return f"""co0 AS (SELECT c_custkey, c_nationkey, c_name, c_acctbal, {plat} AS platform FROM customer),
+co AS (
+ SELECT c_custkey, platform,
+  CASE platform WHEN 'Workday' THEN concat(lower(replace(c_name, '#', '-')), '|wd', CAST(c_nationkey % 5 + 1 AS VARCHAR), '|careers')
+   WHEN 'Paylocity' THEN lower(concat(lpad(hex(c_custkey), 8, '0'), '-0000-4000-8000-', lpad(hex(c_custkey * 7919), 12, '0')))
+   ELSE lower(replace(c_name, '#', '-')) END AS slug,
+  CASE WHEN platform <> 'Paylocity' THEN NULL WHEN c_nationkey % 4 = 0 THEN c_name || ' & Sons'
+   WHEN c_nationkey % 4 = 1 THEN NULL ELSE c_name END AS name_plain,
+  CASE WHEN c_acctbal < -800 THEN 404 WHEN c_acctbal < -600 THEN 410 WHEN c_acctbal < -400 THEN 429 ELSE 200 END AS status,
+  CASE WHEN platform = 'BambooHR' AND c_acctbal >= 0 AND c_acctbal < 300 THEN 'text/html' ELSE 'application/json' END AS content_type
+ FROM co0),
+jp AS (
+ SELECT j.*, o.o_custkey AS c_custkey,
+  CAST((row_number() OVER (PARTITION BY o.o_custkey ORDER BY j.job_id) - 1) // 20 AS INT) AS page
+ FROM jobs j JOIN orders o ON j.job_id = o.o_orderkey),
+cj AS (SELECT co.*, jp.* EXCLUDE (c_custkey) FROM co JOIN jp ON co.c_custkey = jp.c_custkey WHERE co.status = 200)"""
