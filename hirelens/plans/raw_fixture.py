@@ -44,8 +44,16 @@ def companies(spark: SparkSession, sf: str) -> DataFrame:
     bal = F.col("c_acctbal")
     status = (F.when(bal < -800, 404).when(bal < -600, 410).when(bal < -400, 429).otherwise(200))
     ctype = F.when((plat == "BambooHR") & (bal >= 0) & (bal < 300), "text/html").otherwise("application/json")
-    return c.select("c_custkey", "c_nationkey", plat.alias("platform"), slug.alias("slug"), name.cast("string").alias("name"),
-                    status.alias("status"), ctype.alias("content_type"))
+    return c.select("c_custkey", "c_nationkey", "c_acctbal", plat.alias("platform"), slug.alias("slug"),
+                    name.cast("string").alias("name"), status.alias("status"), ctype.alias("content_type"))
+
+
+# Companies already known dead before this run (a subset of the 404s).
+DEAD_BALANCE = -900
+
+
+def known_dead(spark: SparkSession, sf: str) -> DataFrame:
+    return companies(spark, sf).filter(F.col("c_acctbal") < DEAD_BALANCE).select("platform", "slug")
 
 
 def _job_rows(spark: SparkSession, sf: str) -> DataFrame:

@@ -153,7 +153,7 @@ def raw_ctes() -> str:
     plat = _platform_case("c_custkey")
     return f"""co0 AS (SELECT c_custkey, c_nationkey, c_name, c_acctbal, {plat} AS platform FROM customer),
 co AS (
- SELECT c_custkey, platform,
+ SELECT c_custkey, c_acctbal, platform,
   CASE platform WHEN 'Workday' THEN concat(lower(replace(c_name, '#', '-')), '|wd', CAST(c_nationkey % 5 + 1 AS VARCHAR), '|careers')
    WHEN 'Paylocity' THEN lower(concat(lpad(hex(c_custkey), 8, '0'), '-0000-4000-8000-', lpad(hex(c_custkey * 7919), 12, '0')))
    ELSE lower(replace(c_name, '#', '-')) END AS slug,
