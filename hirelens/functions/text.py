@@ -85,7 +85,9 @@ def title_case(c) -> Column:
     parts = F.regexp_extract_all(s, F.lit(r"(\p{L}+|\P{L}+)"), 1)
 
     def cap(p: Column) -> Column:
-        head = F.upper(F.substring(p, 1, 1))
+        first = F.substring(p, 1, 1)
+        # full titlecase mapping: a leading sharp s becomes 'Ss', not 'SS'
+        head = F.when(first == "ß", F.lit("Ss")).otherwise(F.upper(first))
         return F.when(p.rlike(r"^\p{L}"), F.concat(head, F.lower(F.substr(p, F.lit(2))))).otherwise(p)
 
     return F.when(s.isNotNull(), F.array_join(F.transform(parts, cap), ""))

@@ -145,7 +145,8 @@ def _platform_case(key: str) -> str:
 def pytitle(expr: str) -> str:
     """Python str.title(): capitalise each letter run, lower the rest."""
     return (f"array_to_string(list_transform(regexp_extract_all({expr}, '(\\p{{L}}+|\\P{{L}}+)', 1), "
-            "lambda t: CASE WHEN regexp_matches(t, '^\\p{L}') THEN upper(t[1]) || lower(t[2:]) ELSE t END), '')")
+            "lambda t: CASE WHEN regexp_matches(t, '^\\p{L}') THEN (CASE WHEN t[1] = 'ß' THEN 'Ss' ELSE upper(t[1]) END) "
+            "|| lower(t[2:]) ELSE t END), '')")
 
 
 def raw_ctes() -> str:
