@@ -212,3 +212,14 @@ def geo_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
            .otherwise(loc))
     return j.select(F.col("o_orderkey").alias("job_id"), loc.alias("location"),
                     F.when(F.col("o_orderkey") % 3 == 0, F.lit("US")).alias("country"))
+
+
+STREAM_NOW = dt.datetime(2024, 1, 31)
+RUN_DAYS = 7
+
+
+def scrape_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event postings tagged with the weekly scrape run they arrive in."""
+    ep = event_postings(spark, sf_dir).drop("first_seen")
+    run = F.floor(F.datediff(F.to_date("scraped_at"), F.lit("2024-01-01").cast("date")) / RUN_DAYS).cast("int")
+    return ep.withColumn("run", run)
