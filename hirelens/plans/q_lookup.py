@@ -14,6 +14,7 @@ from ..sources import companies as SC
 from ..sources import raw as R
 from ..sources import salary as SS
 from ..sources.trends import new_snapshot_dir
+from ..session import cut_lineage
 from . import fixtures as fx
 from . import raw_fixture as rf
 from . import sqlgen as g
@@ -35,7 +36,7 @@ def _run(spark, sf):
     """This run: live companies, their responses, statuses and postings."""
     comp = rf.companies(spark, sf)
     live = Q.live_companies(comp, rf.known_dead(spark, sf))
-    raw = rf.raw_responses(spark, sf).join(live.select("platform", "slug"), ["platform", "slug"], "left_semi")
+    raw = cut_lineage(rf.raw_responses(spark, sf).join(live.select("platform", "slug"), ["platform", "slug"], "left_semi"))
     jobs_ = R.normalize_all(raw, comp.select("slug", "name"))
     return comp, live, raw, jobs_
 

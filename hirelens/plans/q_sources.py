@@ -100,7 +100,8 @@ for _p, _k in KEYS.items():
 @register("union_platforms", f"{WR}\nSELECT ats, count(*) AS n, count(DISTINCT slug) AS companies FROM ("
           + "\nUNION ALL\n".join(SQL[p] for p in KEYS) + ") u GROUP BY ats")
 def q_union_platforms(spark, sf):
-    u = R.union_platforms(*[R.NORMALIZERS[p](_raw(spark, sf), _names(spark, sf)) if p == "Paylocity"
-                            else R.NORMALIZERS[p](_raw(spark, sf)) for p in KEYS],
+    raw = _raw(spark, sf)
+    u = R.union_platforms(*[R.NORMALIZERS[p](raw, _names(spark, sf)) if p == "Paylocity"
+                            else R.NORMALIZERS[p](raw) for p in KEYS],
                           scraped_at=fx.ts_lit(fx.JOBS_NOW))
     return u.groupBy("ats").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("slug").alias("companies"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import presets
-from ..session import read_table
+from ..session import cut_lineage, read_table
 from . import fixtures as fx
 
 PAGE_SIZE = 20
@@ -127,52 +127,45 @@ def _icims_url(slug: Column) -> Column:
 
 
 def raw_responses(spark: SparkSession, sf: str) -> DataFrame:
-    """(platform, slug, status, content_type, page, total, body, fetched_at)."""
+    """(platform, slug, status, content_type, page, body, fetched_at): one
+    aggregation pass builds every platform's pages; the result is materialised
+    once (as a landed raw-response table would be) so each normaliser reads it
+    instead of re-deriving it."""
     comp = companies(spark, sf)
     jobs = _job_rows(spark, sf)
     base = comp.join(jobs, "c_custkey", "left")
     base = base.withColumn("page", F.coalesce("page", F.lit(0))).withColumn("n_jobs", F.coalesce("n_jobs", F.lit(0)))
-    out = []
+    has = F.col("job_id").isNotNull()
+    plat = F.col("platform")
+    item = None
     for p in presets.PLATFORMS:
-        rows = base.filter(F.col("platform") == p)
-        has = F.col("job_id").isNotNull()
-        if p == "iCIMS":
-            item = F.when(has, _icims_url(F.col("slug")))
-        else:
-            item = F.when(has, F.to_json(_posting(p)))
-        g = rows.groupBy("platform", "slug", "status", "content_type", "c_custkey", "page", "n_jobs").agg(
-            F.array_join(F.collect_list(item), "" if p == "iCIMS" else ",").alias("items"))
-        items = F.col("items")
-        if p == "Greenhouse":
-            body = F.concat(F.lit('{"jobs":['), items, F.lit("]}"))
-        elif p == "Ashby":
-            body = F.concat(F.lit('{"data":{"jobBoard":{"jobPostings":['), items, F.lit("]}}}"))
-        elif p == "BambooHR":
-            body = F.when(F.col("content_type") == "text/html", F.lit("<html>login</html>")) \
-                .otherwise(F.concat(F.lit('{"result":['), items, F.lit("]}")))
-        elif p == "Lever":
-            body = F.concat(F.lit("["), items, F.lit("]"))
-        elif p == "Workday":
-            total = F.when((F.col("c_custkey") % 11 == 0) & (F.col("page") >= 1), F.col("n_jobs") + 1) \
-                .otherwise(F.col("n_jobs"))
-            body = F.concat(F.lit('{"total":'), total.cast("string"), F.lit(',"jobPostings":['), items, F.lit("]}"))
-        elif p == "iCIMS":
-            sm = F.concat(F.lit("<url><loc>https://careers-"), F.col("slug"), F.lit(".icims.com/jobs/intro</loc></url>"),
-                          F.lit("<url><loc>https://careers-"), F.col("slug"), F.lit(".icims.com/about</loc></url>"))
-            body = F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), sm, items,
-                            F.lit("</urlset>"))
-        else:  # Paylocity
-            blob = F.concat(F.lit('{"Jobs":['), items, F.lit("]}"))
-            body = (F.when(F.col("c_custkey") % 13 == 5, F.lit("<html><body>maintenance</body></html>"))
-                    .when(F.col("c_custkey") % 13 == 7, F.lit("<html><script>window.pageData = {Jobs: [};</script></html>"))
-                    .otherwise(F.concat(F.lit("<html><head><script>window.pageData = "), blob,
-                                        F.lit(";</script></head></html>"))))
-        ok = F.col("status") == 200
-        out.append(g.filter(ok | (F.col("page") == 0)).select(
-            "platform", "slug", "status", "content_type", "page",
-            F.when(ok, body).otherwise(F.lit("")).alias("body"),
-            fx.ts_lit(fx.JOBS_NOW).alias("fetched_at")))
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    return res
+        expr = _icims_url(F.col("slug")) if p == "iCIMS" else F.to_json(_posting(p))
+        item = F.when(plat == p, expr) if item is None else item.when(plat == p, expr)
+    g = base.groupBy("platform", "slug", "status", "content_type", "c_custkey", "page", "n_jobs").agg(
+        F.array_join(F.collect_list(F.when(has, item)), ",").alias("items"),
+        F.array_join(F.collect_list(F.when(has, item)), "").alias("xml_items"))
+    items = F.col("items")
+    total = F.when((F.col("c_custkey") % 11 == 0) & (F.col("page") >= 1), F.col("n_jobs") + 1).otherwise(F.col("n_jobs"))
+    sitemap_extra = F.concat(F.lit("<url><loc>https://careers-"), F.col("slug"), F.lit(".icims.com/jobs/intro</loc></url>"),
+                             F.lit("<url><loc>https://careers-"), F.col("slug"), F.lit(".icims.com/about</loc></url>"))
+    blob = F.concat(F.lit('{"Jobs":['), items, F.lit("]}"))
+    body = (F.when(plat == "Greenhouse", F.concat(F.lit('{"jobs":['), items, F.lit("]}")))
+            .when(plat == "Ashby", F.concat(F.lit('{"data":{"jobBoard":{"jobPostings":['), items, F.lit("]}}}")))
+            .when(plat == "BambooHR", F.when(F.col("content_type") == "text/html", F.lit("<html>login</html>"))
+                  .otherwise(F.concat(F.lit('{"result":['), items, F.lit("]}"))))
+            .when(plat == "Lever", F.concat(F.lit("["), items, F.lit("]")))
+            .when(plat == "Workday", F.concat(F.lit('{"total":'), total.cast("string"), F.lit(',"jobPostings":['), items,
+                                              F.lit("]}")))
+            .when(plat == "iCIMS", F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'),
+                                            sitemap_extra, F.col("xml_items"), F.lit("</urlset>")))
+            .otherwise(F.when(F.col("c_custkey") % 13 == 5, F.lit("<html><body>maintenance</body></html>"))
+                       .when(F.col("c_custkey") % 13 == 7,
+                             F.lit("<html><script>window.pageData = {Jobs: [};</script></html>"))
+                       .otherwise(F.concat(F.lit("<html><head><script>window.pageData = "), blob,
+                                           F.lit(";</script></head></html>")))))
+    ok = F.col("status") == 200
+    raw = g.filter(ok | (F.col("page") == 0)).select(
+        "platform", "slug", "status", "content_type", "page",
+        F.when(ok, body).otherwise(F.lit("")).alias("body"),
+        fx.ts_lit(fx.JOBS_NOW).alias("fetched_at"))
+    return cut_lineage(raw)
