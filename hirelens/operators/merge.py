@@ -75,8 +75,11 @@ def overlay(existing: DataFrame, new: DataFrame, key: str = "key", seq: str = "s
     if first_seen not in cols:
         cols.append(first_seen)
 
+    fs_type = (existing.schema[first_seen].dataType if first_seen in existing.columns
+               else new.schema[scraped].dataType)
+
     def side(df: DataFrame, s: int) -> DataFrame:
-        d = df if first_seen in df.columns else df.withColumn(first_seen, F.lit(None).cast("timestamp"))
+        d = df if first_seen in df.columns else df.withColumn(first_seen, F.lit(None).cast(fs_type))
         d = d.filter(F.coalesce(F.col(key), F.lit("")) != "")
         return d.select(F.col(key), F.lit(s).alias("_side"), *[F.col(c) for c in cols])
 
