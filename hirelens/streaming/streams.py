@@ -91,18 +91,25 @@ def first_seen_stream(source: DataFrame, key: str = "key", seq: str = "seq", ts:
         if state.hasTimedOut:
             state.remove()
             return
-        parts = [p for p in pdfs if len(p)]
-        if not parts:
+        # Fold the group's Arrow batches one at a time: memory stays O(1) per key
+        # even when one key carries a large share of a micro-batch.
+        best_seq, best_ts, latest = None, None, None
+        for pdf in pdfs:
+            if not len(pdf):
+                continue
+            i = pdf["_seq"].idxmax()
+            if best_seq is None or pdf.at[i, "_seq"] > best_seq:
+                best_seq, best_ts = int(pdf.at[i, "_seq"]), pdf.at[i, "_ts"]
+            m = pdf["_ts"].max()
+            latest = m if latest is None or m > latest else latest
+        if best_seq is None:
             return
-        rows = pd.concat(parts, ignore_index=True)
-        last = rows.loc[rows["_seq"].idxmax()]
-        latest = rows["_ts"].max()
         if state.exists:
             first, seen = state.get
             state.update((first, max(pd.Timestamp(seen), latest)))
         else:
-            state.update((last["_ts"], latest))
-            yield pd.DataFrame({"key": [k[0]], "first_seen": [last["_ts"]], "seq": [int(last["_seq"])]})
+            state.update((best_ts, latest))
+            yield pd.DataFrame({"key": [k[0]], "first_seen": [best_ts], "seq": [best_seq]})
         newest = pd.Timestamp(state.get[1])
         if newest.tzinfo is None:
             newest = newest.tz_localize("UTC")
