@@ -60,8 +60,9 @@ def slim(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return df.select(*cols)
 
 
-def number_rows(df: DataFrame, order: list, partitions: int) -> DataFrame:
-    """Add ``_idx`` = 0-based global position in ``order`` (exact, distributed)."""
+def number_rows(df: DataFrame, order: list, partitions: int) -> tuple[DataFrame, int]:
+    """Add ``_idx`` = 0-based global position in ``order`` (exact, distributed).
+    Returns (numbered rows, total row count)."""
     sorted_ = df.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
     sorted_ = cut_lineage(sorted_.withColumn("_pid", F.spark_partition_id())
                           .withColumn("_mid", F.monotonically_increasing_id()))
@@ -73,7 +74,7 @@ def number_rows(df: DataFrame, order: list, partitions: int) -> DataFrame:
     off_map = F.create_map(*[x for pid, o in offsets.items() for x in (F.lit(pid), F.lit(o))]) if offsets \
         else F.create_map().cast("map<int,bigint>")
     pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
-    return sorted_.withColumn("_idx", F.element_at(off_map, F.col("_pid")) + pos).drop("_pid", "_mid")
+    return sorted_.withColumn("_idx", F.element_at(off_map, F.col("_pid")) + pos).drop("_pid", "_mid"), run
 
 
 def write_chunks(df: DataFrame, out_dir: str, timestamp: str, size: int = presets.CHUNK_SIZE,
@@ -86,9 +87,10 @@ def write_chunks(df: DataFrame, out_dir: str, timestamp: str, size: int = preset
     if tie:
         order.append(F.col(tie))
     total_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    numbered = number_rows(df, order, total_parts)
+    numbered, total = number_rows(df, order, total_parts)
     chunked = numbered.withColumn("chunk_id", F.floor(F.col("_idx") / size).cast("bigint")).drop("_idx")
-    counts = {r["chunk_id"]: r["n"] for r in chunked.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # every chunk is full except the last: sizes follow from the total
+    counts = {k: min(size, total - k * size) for k in range(-(-total // size))}
     base = out_dir.rstrip("/") + "/chunks"
     n_chunks = max(1, len(counts))
     (chunked.repartition(n_chunks, "chunk_id").write.mode("errorifexists")
