@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import presets
-from ..functions.classify import is_recruiter, role_match, tier
+from ..functions.classify import is_recruiter, role_match, tier_of_score, tier_score
 from ..functions.text import any_contains, blank_to_null, fuzzy_match, split_terms, strip_ws, word_match
 
 REMOTE = "__remote__"
@@ -80,7 +80,9 @@ def classify_jobs(df: DataFrame, title="title", slug="company_slug", company="co
     terms in the slug, falling back to the company) where missing."""
     out = df
     if "skill_level" not in df.columns:
-        out = out.withColumn("skill_level", tier(title))
+        # score as its own column, then bucket: both stay in whole-stage codegen
+        out = out.withColumn("_tier_score", tier_score(title)) \
+            .withColumn("skill_level", tier_of_score(F.col("_tier_score"))).drop("_tier_score")
     if "is_recruiter" not in df.columns:
         out = out.withColumn("is_recruiter", is_recruiter(F.coalesce(blank_to_null(F.col(slug)), F.col(company))))
     return out

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import presets
-from ..functions.classify import is_recruiter, relative_date, tier
+from ..functions.classify import is_recruiter, relative_date, tier_of_score, tier_score
 from ..functions.text import blank_to_null, html_unescape, url_title
 
 CUT = presets.LOCATION_CUT
@@ -46,7 +46,8 @@ def _cut(c: Column) -> Column:
 
 def _finish(df: DataFrame, ats: str, recruiter_of: Column | None = None) -> DataFrame:
     """Common tail: tier of the title, recruiter flag, platform name, fixed columns."""
-    out = df.withColumn("ats", F.lit(ats)).withColumn("skill_level", tier("title"))
+    out = (df.withColumn("ats", F.lit(ats)).withColumn("_tier_score", tier_score("title"))
+           .withColumn("skill_level", tier_of_score(F.col("_tier_score"))).drop("_tier_score"))
     out = out.withColumn("is_recruiter", is_recruiter(recruiter_of if recruiter_of is not None else F.col("slug")))
     for c in JOB_COLS:
         if c not in out.columns:
