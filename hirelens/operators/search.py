@@ -157,16 +157,18 @@ def predicate(df: DataFrame, spec: FilterSpec, now: dt.datetime, role=None,
     ats_set, level_set = _set_of(spec.ats), _set_of(spec.skill_level)
     if ats_set:
         conds.append(F.lower(F.coalesce(F.col("ats"), F.lit(""))).isin(ats_set))
-    if level_set:
-        conds.append(F.lower(F.coalesce(F.col("skill_level"), F.lit(""))).isin(level_set))
     if spec.country:
         conds.append(country_predicate(spec.country, spec.include_unknown_country))
-    if spec.role_preset:
-        conds.append(role_match("title", "skill_level", role))
     if spec.fresh_hours is not None:
         conds.append(fresh_predicate(df, spec.fresh_hours, now))
     if spec.posted_days is not None:
         conds.append(posted_predicate(df, spec.posted_days, now))
+    # skill_level is usually derived from the title by regex: test it after the
+    # cheap comparisons so the regexes only run on rows that survived them
+    if level_set:
+        conds.append(F.lower(F.coalesce(F.col("skill_level"), F.lit(""))).isin(level_set))
+    if spec.role_preset:
+        conds.append(role_match("title", "skill_level", role))
     title_l = F.lower(F.coalesce(F.col("title"), F.lit("")))
     excl, incl = split_terms(spec.exclude.lower()), split_terms(spec.include.lower())
     if excl:
@@ -251,7 +253,7 @@ def new_matching(df: DataFrame, now: dt.datetime, hours: float = 24, k: int = pr
                  role=None) -> DataFrame:
     """Role-preset matches first seen within ``hours`` of ``now``, newest first, top k."""
     fs = as_timestamp(df, "first_seen")
-    hits = df.filter(role_match("title", "skill_level", role) & fresh_predicate(df, hours, now))
+    hits = df.filter(fresh_predicate(df, hours, now) & role_match("title", "skill_level", role))
     return (hits.withColumn("age_hours", F.round(age_micros(fs, now) / F.lit(3_600_000_000.0), 4))
             .orderBy(F.col("first_seen").desc(), F.col("job_id").asc())
             .limit(k))

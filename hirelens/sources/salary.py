@@ -22,11 +22,12 @@ def read_salary(spark: SparkSession, path: str) -> DataFrame:
                     F.element_at(parts, -2).alias("title"), F.element_at(parts, -1).alias("level"), "v.*")
 
 
-def write_salary(table: DataFrame, path: str, buckets: int = 64) -> str:
-    """Write (key, p25, median, p75, n) as shard files ``salary_<letter>`` of
-    JSON objects. Each shard letter is split into hash buckets so no single
-    group has to hold an unbounded number of keys."""
+def write_salary(table: DataFrame, path: str, keys_per_object: int = 50_000) -> str:
+    """Write (key, p25, median, p75, n) as shard folders ``shard=<letter>`` of
+    JSON objects. Keys are hash-bucketed so each object holds about
+    ``keys_per_object`` keys whatever the table size (one count sizes it)."""
     letter = F.when(F.substring("key", 1, 1).rlike("^[a-z]$"), F.substring("key", 1, 1)).otherwise(F.lit("_"))
+    buckets = max(1, -(-table.count() // keys_per_object))
     b = F.pmod(F.xxhash64("key"), F.lit(buckets))
     obj = (table.groupBy(letter.alias("shard"), b.alias("bucket"))
            .agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", F.struct("p25", "median", "p75", "n")))))
