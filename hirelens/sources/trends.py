@@ -34,14 +34,17 @@ def write_trends(log: DataFrame, path: str) -> str:
     return path
 
 
-def read_trends(spark: SparkSession, path: str) -> DataFrame:
-    """Read a JSONL trend log. Blank and malformed lines are skipped; when a date
-    repeats, the row appearing last (file, then line position) wins."""
+def read_trends(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """Read a JSONL trend log. Blank lines are skipped; malformed lines are
+    skipped too (status page, snapshot writer) or, with ``strict=True``, fail
+    the read (anomaly check). When a date repeats, the row appearing last
+    (file, then line position) wins."""
     files = spark.read.format("text").option("wholetext", "true").load(path) \
         .withColumn("_file", F.input_file_name())
     lines = files.select("_file", F.posexplode(F.split("value", "\n")).alias("_pos", "_line"))
     parsed = (lines.filter(F.trim("_line") != "")
-              .withColumn("_row", F.from_json(F.trim("_line"), TREND_SCHEMA, {"mode": "PERMISSIVE"}))
+              .withColumn("_row", F.from_json(F.trim("_line"), TREND_SCHEMA,
+                                              {"mode": "FAILFAST" if strict else "PERMISSIVE"}))
               .filter(F.col("_row.date").isNotNull()))
     w = Window.partitionBy("_row.date").orderBy(F.col("_file").desc(), F.col("_pos").desc())
     last = parsed.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")

@@ -67,3 +67,17 @@ def test_anomaly_zero_mean_has_no_verdict(spark):
     rows = [(d, {"x": 0}) for d in range(1, 8)] + [(8, {"x": 5})]
     r = [x for x in TR.anomalies(_log(spark, rows)).collect() if x["date"].day == 8][0]
     assert r["flagged"] is None
+
+
+def test_trend_log_torn_line_and_last_wins(spark, tmp_path):
+    import pytest
+    from hirelens.sources.trends import read_trends
+    p = tmp_path / "daily.jsonl"
+    p.write_text('{"date": "2025-01-01", "total_jobs": 1, "by_platform": {"gh": 1}}\n\n'
+                 '{"date": "2025-01-02", "total_jobs": 2, "by_platform": {"gh": 2}}\n'
+                 '{"date": "2025-01-01", "total_jobs": 9, "by_platform": {"gh": 9}}\n'
+                 '{"date": "2025-01-03", "tot')
+    rows = read_trends(spark, str(p)).collect()
+    assert [(r["date"].day, r["total_jobs"]) for r in rows] == [(1, 9), (2, 2)]
+    with pytest.raises(Exception):
+        read_trends(spark, str(p), strict=True).collect()
