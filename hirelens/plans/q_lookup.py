@@ -13,6 +13,7 @@ from ..operators import shortlist as SL
 from ..sources import companies as SC
 from ..sources import raw as R
 from ..sources import salary as SS
+from ..session import cut_lineage
 from ..sources.trends import new_snapshot_dir
 from . import fixtures as fx
 from . import raw_fixture as rf
@@ -35,7 +36,9 @@ def _run(spark, sf):
     """This run: live companies, their responses, statuses and postings."""
     comp = rf.companies(spark, sf)
     live = Q.live_companies(comp, rf.known_dead(spark, sf))
-    raw = rf.raw_responses(spark, sf).join(live.select("platform", "slug"), ["platform", "slug"], "left_semi")
+    # the fetch stage only sees live companies; materialise that once, since
+    # all seven normalisers read it
+    raw = cut_lineage(rf.raw_responses(spark, sf).join(live.select("platform", "slug"), ["platform", "slug"], "left_semi"))
     jobs_ = R.normalize_all(raw, comp.select("slug", "name"))
     return comp, live, raw, jobs_
 
@@ -149,10 +152,10 @@ def q_shortlist_apply(spark, sf):
 
 
 # -- salary -----------------------------------------------------------------------
-def salary_tables(spark, sf):
+def salary_tables(spark, sf, postings=None):
     """Primary (company|title|level) and fallback (title|level) estimates from
     the postings' own salaries: min / floor(mean) / max / count."""
-    j = jobs(spark, sf).filter(F.col("salary_median").isNotNull())
+    j = (postings if postings is not None else jobs(spark, sf)).filter(F.col("salary_median").isNotNull())
     aggs = [F.min("salary_median").alias("p25"), F.floor(F.avg("salary_median")).cast("int").alias("median"),
             F.max("salary_median").alias("p75"), F.count("salary_median").cast("int").alias("n")]
     pk = F.concat_ws("|", SA.lookup_part("company"), SA.lookup_part("title"), F.col("skill_level"))
@@ -169,8 +172,8 @@ prim AS (SELECT {_PK} AS key, {_SAL_AGG} FROM jobs_c WHERE salary_median IS NOT
 fall AS (SELECT {_FK} AS key, {_SAL_AGG} FROM jobs_c WHERE salary_median IS NOT NULL GROUP BY 1)"""
 
 
-def _salary_from_shards(spark, sf):
-    prim, fall = salary_tables(spark, sf)
+def _salary_from_shards(spark, sf, postings=None):
+    prim, fall = salary_tables(spark, sf, postings)
     path = SS.write_salary(prim, new_snapshot_dir(spark, "salary"))
     return SS.read_salary(spark, path), fall
 
@@ -189,8 +192,11 @@ SELECT j.job_id, coalesce(p.p25, f.p25) AS p25, coalesce(p.median, f.median) AS
 FROM jobs_c j LEFT JOIN prim p ON {_PK.replace('company', 'j.company').replace('title', 'j.title').replace('skill_level', 'j.skill_level')} = p.key
 LEFT JOIN fall f ON {_FK.replace('title', 'j.title').replace('skill_level', 'j.skill_level')} = f.key""")
 def q_salary_enrich(spark, sf):
-    prim, fall = _salary_from_shards(spark, sf)
-    e = SA.enrich_salary(jobs(spark, sf), prim.select("key", "p25", "median", "p75", "n"), fall)
+    # the classified postings feed three steps: materialise them once, as the
+    # pipeline's persisted job table would be
+    postings = cut_lineage(jobs(spark, sf))
+    prim, fall = _salary_from_shards(spark, sf, postings)
+    e = SA.enrich_salary(postings, prim.select("key", "p25", "median", "p75", "n"), fall)
     return e.select("job_id", "salary.p25", "salary.median", "salary.p75", "salary.n", "salary_source")
 
 
