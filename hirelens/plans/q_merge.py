@@ -140,3 +140,15 @@ def q_status_upsert(spark, sf):
     st = fx.status_table(spark, sf)
     ch = fx.status_changes(spark, sf).select("url", "status", "date", "seq")
     return M.upsert_status(st, ch)
+
+
+@register("status_delete", f"""WITH {g.status_cte()}
+SELECT url, status, date FROM status s
+WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_returnflag = 'R'
+  AND concat('https://example.com/jobs/', l.l_orderkey) = s.url)""")
+def q_status_delete(spark, sf):
+    """Remove the stored status of every URL that has a returned line item."""
+    st = fx.status_table(spark, sf)
+    li = read_table(spark, sf, "lineitem").filter(F.col("l_returnflag") == "R")
+    urls = li.select(F.concat(F.lit("https://example.com/jobs/"), F.col("l_orderkey").cast("string")).alias("url"))
+    return M.delete_status(st, urls)

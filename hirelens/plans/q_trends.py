@@ -107,3 +107,32 @@ def q_trend_log_read(spark, sf):
     path = TS.write_trends(_log(spark, sf), TS.new_snapshot_dir(spark, "trends"))
     log = TS.read_trends(spark, path)
     return log.select("date", F.explode("by_platform").alias("platform", "n"))
+
+
+@register("anomaly_latest", f"""WITH {_LOG},
+b AS (SELECT *, count(value) OVER {_WIN} AS n_prior, avg(value) OVER {_WIN} AS mean,
+  stddev_pop(value) OVER {_WIN} AS sd FROM lg),
+c AS (SELECT *, CASE WHEN sd > 0 THEN (value - mean) / sd END AS zs,
+  CASE WHEN sd = 0 AND mean <> 0 THEN abs(value - mean) / mean END AS flat_dev FROM b
+  WHERE r >= {presets.ANOMALY_MIN_DAYS + 1} AND n_prior >= {presets.ANOMALY_MIN_DAYS} AND r = (SELECT max(r) FROM dates)),
+d AS (SELECT *, CASE WHEN sd > 0 THEN abs(zs) > {presets.ANOMALY_Z} ELSE flat_dev > {presets.ANOMALY_FLAT_BAND} END AS flagged FROM c)
+SELECT date, platform, value, n_prior, round(mean, 4) AS mean, round(sd, 4) AS stdev, round(zs, 4) AS z, flagged,
+ CASE WHEN flagged IS NULL OR NOT flagged THEN NULL WHEN sd = 0 THEN 'FLAT' WHEN value > mean THEN 'SPIKE' ELSE 'DROP' END AS direction
+FROM d""")
+def q_anomaly_latest(spark, sf):
+    """The scheduled check: only the newest log row is judged."""
+    return TR.anomalies(_log(spark, sf), latest_only=True)
+
+
+@register("platform_health_latest", f"""WITH {_LOG},
+b AS (SELECT *, avg(value) OVER {_WIN} AS mean FROM lg),
+c AS (SELECT *, CASE WHEN value IS NOT NULL AND mean <> 0 THEN value / mean * 100 END AS pct FROM b
+  WHERE r = (SELECT max(r) FROM dates))
+SELECT date, platform, value, round(mean, 4) AS mean, round(pct, 4) AS pct,
+ CASE WHEN pct IS NULL THEN NULL WHEN pct < {presets.HEALTH_BLOCK_PCT} THEN 'possible block'
+  WHEN pct < {presets.HEALTH_LOW_PCT} THEN 'below normal' ELSE '' END AS note FROM c""")
+def q_platform_health_latest(spark, sf):
+    """The status page: the newest run against the up-to-7 runs before it."""
+    log = _log(spark, sf)
+    latest = log.agg(F.max("date").alias("date"))
+    return TR.platform_health(log).join(latest, "date", "left_semi")
