@@ -16,7 +16,7 @@ from .registry import register
 
 @register("facet_country", f"""{W},
 pc AS (SELECT coalesce(nullif(country, ''), '__unknown__') AS value, count(*) AS n,
-  count_if(coalesce(remote, false)) AS r FROM jobs_c GROUP BY 1)
+  CAST(count_if(coalesce(remote, false)) AS BIGINT) AS r FROM jobs_c GROUP BY 1)
 SELECT value, n FROM pc UNION ALL SELECT '__remote__' AS value, CAST(sum(r) AS BIGINT) AS n FROM pc""")
 def q_facet_country(spark, sf):
     return FA.facet_country(jobs(spark, sf))

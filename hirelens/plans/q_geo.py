@@ -98,8 +98,8 @@ def q_country_backfill(spark, sf):
 
 
 @register("country_backfill_report", f"""{_BF}
-SELECT count(*) AS total, count_if(NOT skip AND new_c IS NOT NULL) AS resolved, count_if(skip) AS already_set,
- count_if(NOT skip AND new_c IS NULL) AS unresolved,
+SELECT count(*) AS total, CAST(count_if(NOT skip AND new_c IS NOT NULL) AS BIGINT) AS resolved,
+ CAST(count_if(skip) AS BIGINT) AS already_set, CAST(count_if(NOT skip AND new_c IS NULL) AS BIGINT) AS unresolved,
  count(DISTINCT CASE WHEN NOT skip THEN loc END) AS distinct_locations,
  round(count_if(NOT skip AND new_c IS NULL) / greatest(count(*), 1) * 100, 1) AS unresolved_pct FROM bf""")
 def q_country_backfill_report(spark, sf):

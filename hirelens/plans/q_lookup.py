@@ -50,8 +50,8 @@ def q_live(spark, sf):
 
 
 @register("fetch_stats", f"""{BASE}
-SELECT platform, count(*) AS checked, count_if(coalesce(jobs, 0) > 0) AS with_jobs,
- count_if(coalesce(jobs, 0) = 0) AS failed, count_if(coalesce(jobs, 0) = 0 AND status IN (404, 410)) AS newly_dead,
+SELECT platform, count(*) AS checked, CAST(count_if(coalesce(jobs, 0) > 0) AS BIGINT) AS with_jobs,
+ CAST(count_if(coalesce(jobs, 0) = 0) AS BIGINT) AS failed, CAST(count_if(coalesce(jobs, 0) = 0 AND status IN (404, 410)) AS BIGINT) AS newly_dead,
  CAST(coalesce(sum(jobs), 0) AS BIGINT) AS total_jobs
 FROM est LEFT JOIN per USING (platform, slug) GROUP BY platform""")
 def q_fetch_stats(spark, sf):
@@ -82,7 +82,7 @@ _CLEAN = ("lower(regexp_replace(coalesce(title, ''), '^\\s+|\\s+$', '', 'g')) NO
 
 @register("run_metadata", f"""{BASE}
 SELECT (SELECT count(*) FROM live) AS total_companies, (SELECT count(*) FROM per) AS active_companies,
- count(*) AS total_jobs, count_if(coalesce(is_recruiter, false)) AS recruiter_jobs,
+ count(*) AS total_jobs, CAST(count_if(coalesce(is_recruiter, false)) AS BIGINT) AS recruiter_jobs,
  'automated' AS source_type, {g.q(', '.join(p.lower() for p in presets.PLATFORMS))} AS platforms
 FROM nj WHERE {_CLEAN}""")
 def q_run_metadata(spark, sf):
@@ -215,7 +215,7 @@ _AUDIT_DOM = " UNION ALL ".join(f"SELECT {g.q(k)} AS platform, {str(v).upper()}
 
 @register("date_audit", f"""{BASE},
 dom AS ({_AUDIT_DOM}),
-a AS (SELECT ats AS platform, count(*) AS total, count_if(nullif(updated_at, '') IS NOT NULL) AS with_date,
+a AS (SELECT ats AS platform, count(*) AS total, CAST(count_if(nullif(updated_at, '') IS NOT NULL) AS BIGINT) AS with_date,
   min(CASE WHEN nullif(updated_at, '') IS NOT NULL AND TRY_CAST(regexp_replace(updated_at, 'Z$', '+00:00') AS TIMESTAMPTZ) IS NULL
    THEN updated_at END) AS bad_example FROM nj GROUP BY 1)
 SELECT d.platform, coalesce(a.with_date, 0) AS with_date, coalesce(a.total, 0) AS total,
@@ -244,7 +244,7 @@ _PLAT_DOM = " UNION ALL ".join(f"SELECT {g.q(p)} AS platform" for p in presets.P
 @register("url_health", f"""{W},
 ch AS (SELECT j.ats AS platform, j.url, CASE WHEN j.ats = 'Lever' THEN false WHEN j.ats = 'Ashby' THEN o.o_orderstatus = 'F'
   ELSE o.o_orderstatus <> 'P' END AS alive FROM jobs j JOIN orders o ON j.job_id = o.o_orderkey),
-per AS (SELECT platform, count(*) AS total, count_if(coalesce(alive, false)) AS alive FROM ch GROUP BY 1),
+per AS (SELECT platform, count(*) AS total, CAST(count_if(coalesce(alive, false)) AS BIGINT) AS alive FROM ch GROUP BY 1),
 dom AS ({_PLAT_DOM})
 SELECT d.platform, coalesce(p.alive, 0) AS alive, coalesce(p.total, 0) AS total,
  CASE WHEN coalesce(p.total, 0) = 0 THEN 'NO_URLS' WHEN coalesce(p.alive, 0) = 0 THEN 'PATTERN_BROKEN'

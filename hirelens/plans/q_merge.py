@@ -73,7 +73,7 @@ def q_retention(spark, sf):
     return M.retain(fx.existing_load(spark, sf), "scraped_at", NOW).select("seq", "key", "scraped_at")
 
 
-@register("stale_count", f"{WE}\nSELECT count_if({_STALE}) AS stale_count FROM ex WHERE key <> ''")
+@register("stale_count", f"{WE}\nSELECT CAST(count_if({_STALE}) AS BIGINT) AS stale_count FROM ex WHERE key <> ''")
 def q_stale_count(spark, sf):
     return M.stale_count(fx.existing_load(spark, sf), "key", "scraped_at", NOW)
 

@@ -28,8 +28,11 @@ def _names(spark, sf):
     return rf.companies(spark, sf).select("slug", "name")
 
 
-def _sel(platform: str, company: str, title: str, location: str, url: str, absolute_url: str = "NULL",
-         departments: str = "NULL", id_: str = "NULL", updated_at: str = "NULL", remote_flag: str = "NULL",
+NULL_S = "CAST(NULL AS VARCHAR)"
+
+
+def _sel(platform: str, company: str, title: str, location: str, url: str, absolute_url: str = NULL_S,
+         departments: str = NULL_S, id_: str = NULL_S, updated_at: str = NULL_S, remote_flag: str = "NULL",
          recruiter_of: str = "slug", where: str = "") -> str:
     cond = f"platform = {g.q(platform)}" + (f" AND {where}" if where else "")
     return f"""SELECT slug, {company} AS company, slug AS company_slug, {title} AS title, {location} AS location,

@@ -20,10 +20,10 @@ RUN_DATE = fx.JOBS_NOW.date()
 def _snap_sql(src: str, date_sql: str, company: str) -> str:
     parts = [f"SELECT {date_sql} AS date, 'total' AS dimension, 'total_jobs' AS key, count(*) AS n FROM {src}",
              f"SELECT {date_sql}, 'total', 'active_companies', count(DISTINCT {company}) FROM {src}",
-             f"SELECT {date_sql}, 'total', 'recruiter_jobs', count_if(coalesce(is_recruiter, false)) FROM {src}"]
-    parts += [f"SELECT {date_sql}, 'platform', {g.q(p.lower())}, count_if(ats = {g.q(p)}) FROM {src}"
+             f"SELECT {date_sql}, 'total', 'recruiter_jobs', CAST(count_if(coalesce(is_recruiter, false)) AS BIGINT) FROM {src}"]
+    parts += [f"SELECT {date_sql}, 'platform', {g.q(p.lower())}, CAST(count_if(ats = {g.q(p)}) AS BIGINT) FROM {src}"
               for p in presets.PLATFORMS]
-    parts += [f"SELECT {date_sql}, 'tier', {g.q(t)}, count_if(skill_level = {g.q(t)}) FROM {src}" for t in presets.TIERS]
+    parts += [f"SELECT {date_sql}, 'tier', {g.q(t)}, CAST(count_if(skill_level = {g.q(t)}) AS BIGINT) FROM {src}" for t in presets.TIERS]
     return "\nUNION ALL ".join(parts)
 
 
