@@ -18,6 +18,10 @@ SUBSET = ["new_matching", "search", "flt_location_fuzzy", "page_past_end", "clea
           "salary_enrich", "geo_resolve", "country_backfill_report", "url_title", "chunk_manifest",
           "stream_daily_counts"]
 NAMES = sorted(E.oracle_sql()) if os.environ.get("HIRELENS_ORACLE_ALL") else SUBSET
+FAMILY = {"LongType": "int64", "IntegerType": "int32", "DoubleType": "float", "StringType": "str",
+          "BooleanType": "bool", "TimestampNTZType": "ts", "DateType": "date",
+          "BIGINT": "int64", "INTEGER": "int32", "DOUBLE": "float", "VARCHAR": "str", "BOOLEAN": "bool",
+          "TIMESTAMP": "ts", "DATE": "date"}
 
 
 @pytest.fixture(scope="module")
@@ -37,6 +41,10 @@ def test_matches_oracle(spark, con, name):
     ocols = [d[0] for d in cur.description]
     orows = cur.fetchall()
     assert sorted(df.columns) == sorted(ocols)
+    spark_types = {f.name: FAMILY[type(f.dataType).__name__] for f in df.schema.fields}
+    duck_types = {c: FAMILY.get(str(t).split("(")[0], str(t))
+                  for c, t in zip(ocols, con.sql(E.oracle_sql()[name]).types)}
+    assert spark_types == duck_types
     assert len(rows) == len(orows)
     assert digest(df.columns, rows)[0] == digest(ocols, orows)[0]
 
