@@ -43,3 +43,13 @@ def test_no_cartesian_products(spark):
     for name in ["search", "stat_fresh", "facet_country", "run_metadata", "fetch_stats", "marker_sample"]:
         p = plan(E.queries()[name](spark, SF))
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
+
+
+def test_python_only_where_needed(spark):
+    import __spark_entry__ as E
+    for name in ["new_matching", "search", "merge_first_seen", "facet_ats_level", "anomaly_zscore", "norm_workday",
+                 "tier_score", "dedup_last"]:
+        p = plan(E.queries()[name](spark, SF))
+        assert "ArrowEvalPython" not in p and "BatchEvalPython" not in p, name
+    p = plan(E.queries()["html_unescape"](spark, SF))
+    assert "ArrowEvalPython" in p          # the one vectorised UDF, Arrow-batched
