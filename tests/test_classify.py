@@ -60,3 +60,25 @@ def test_clean_reasons_in_order(spark):
             ("unknown", None, None, None, None, "no_title")]
     df = spark.createDataFrame([r[:5] for r in rows], "title string, url string, absolute_url string, company string, company_slug string")
     assert [r[0] for r in df.select(clean_reason()).collect()] == [r[5] for r in rows]
+
+
+RULES = [("director", 50), ("principal", 40), ("lead", 30), ("senior", 20), ("manager", 15), ("iii", 15),
+         ("level 5", 15), ("engr 4", 15), ("counsel", 20), ("charge", 20), ("ii", 5), ("level 3", 5),
+         ("associate", -10), ("junior", -20), ("entry level", -25), ("i", -15), ("trainee", -25), ("clerk", -15),
+         ("resident", -15), ("aide", -10), ("internship", -100)]
+
+
+def test_each_rule_alone(spark):
+    df = spark.createDataFrame([(t,) for t, _ in RULES], "t string")
+    assert [r[0] for r in df.select(tier_score("t")).collect()] == [w for _, w in RULES]
+
+
+def test_thresholds(spark):
+    cases = [("graduate entry level", "intern"),      # -50
+             ("trainee junior", "entry"),            # -45
+             ("ii aide", "entry"),                   # -5
+             ("analyst", "mid"),                     # 0
+             ("charge aide", "mid"),                 # 10
+             ("manager", "senior")]                  # 15
+    df = spark.createDataFrame([(t,) for t, _ in cases], "t string")
+    assert [r[0] for r in df.select(tier("t")).collect()] == [e for _, e in cases]
