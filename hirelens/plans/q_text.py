@@ -58,3 +58,28 @@ FROM pages""")
 def q_extract_blob(spark, sf):
     p = _pages(spark, sf)
     return p.select("page_id", extract_blob(F.col("html"), r"track\((\d+)\);").cast("bigint").alias("tracked"))
+
+
+@register("fuzzy_part_name", """SELECT p_partkey, p_name FROM part
+WHERE contains(lower(coalesce(p_name, '')), 'widgit') OR len(list_filter(
+  regexp_split_to_array(lower(coalesce(p_name, '')), '[^A-Za-z0-9_]+'),
+  lambda w: length(w) > 0 AND 1.0 - levenshtein('widgit', w) / greatest(length(w), 6) >= 0.75)) > 0""")
+def q_fuzzy_part_name(spark, sf):
+    """Fuzzy term match (substring, or a word within 25 % edit distance) over
+    every part name."""
+    from ..functions.text import fuzzy_match
+    p = read_table(spark, sf, "part").select("p_partkey", "p_name")
+    return p.filter(fuzzy_match("p_name", "widgit"))
+
+
+@register("keyword_documents", """SELECT doc_id, lang FROM documents
+WHERE (contains(lower(coalesce(text, '')), 'license') OR contains(lower(coalesce(text, '')), 'password'))
+  AND NOT (contains(lower(coalesce(text, '')), 'lorem'))""")
+def q_keyword_documents(spark, sf):
+    """Include / exclude keyword lists (substring, case-insensitive) over whole
+    document texts."""
+    from ..functions.text import any_contains, split_terms
+    d = read_table(spark, sf, "documents").select("doc_id", "lang", "text")
+    t = F.lower(F.coalesce(F.col("text"), F.lit("")))
+    return d.filter(any_contains(t, split_terms("license, password"))
+                    & ~any_contains(t, split_terms("lorem"))).select("doc_id", "lang")
