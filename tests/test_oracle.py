@@ -9,15 +9,17 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from hirelens.plans import registry
 from tools.check_oracle import TABLES, digest
 
+registry.load_all()
 SF = "/root/testdata/sf0.001"
 SUBSET = ["new_matching", "search", "flt_location_fuzzy", "page_past_end", "clean_reasons", "facet_country",
           "heatmap_jitter", "marker_sample", "merge_first_seen", "new_job_count", "dedup_last", "status_upsert",
           "anomaly_zscore", "trend_history", "norm_workday", "norm_icims", "norm_paylocity", "fetch_stats",
           "salary_enrich", "geo_resolve", "country_backfill_report", "url_title", "chunk_manifest",
           "stream_daily_counts"]
-NAMES = sorted(E.oracle_sql()) if os.environ.get("HIRELENS_ORACLE_ALL") else SUBSET
+NAMES = sorted(registry.ORACLE) if os.environ.get("HIRELENS_ORACLE_ALL") else SUBSET
 FAMILY = {"LongType": "int64", "IntegerType": "int32", "DoubleType": "float", "StringType": "str",
           "BooleanType": "bool", "TimestampNTZType": "ts", "DateType": "date",
           "BIGINT": "int64", "INTEGER": "int32", "DOUBLE": "float", "VARCHAR": "str", "BOOLEAN": "bool",
@@ -50,7 +52,7 @@ def test_matches_oracle(spark, con, name):
 
 
 def test_every_query_has_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(registry.QUERIES) == set(registry.ORACLE)
 
 
 def test_entry_smoke(spark):
