@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from hirelens.session import ensure_checkpoint_dir
 
@@ -64,3 +65,8 @@ def append_columns(batch: pa.RecordBatch, **cols: pa.Array) -> pa.RecordBatch:
 def run_starts(lengths: np.ndarray) -> np.ndarray:
     """Offset of each of consecutive runs of the given lengths."""
     return np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64) if len(lengths) else np.zeros(0, np.int64)
+
+
+def with_fields(schema: StructType, **types: DataType) -> StructType:
+    """A new schema; StructType.add would change the DataFrame's own."""
+    return StructType([*schema.fields, *(StructField(n, t) for n, t in types.items())])

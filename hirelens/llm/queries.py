@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hirelens.session import read_table
 
-from . import apportion, slots
+from . import apportion, simhash_pigeonhole, slots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -31,3 +31,8 @@ def op2_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_apportioned_mix", apportion.oracle())
 def op3_apportioned_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apportion.mix(read_table(spark, sf_dir, "documents"))
+
+
+@query("op9_simhash_components")
+def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_pigeonhole.near_duplicates(read_table(spark, sf_dir, "documents"))
