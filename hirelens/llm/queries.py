@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hirelens.session import read_table
 
-from . import apportion, simhash_pigeonhole, slots
+from . import apportion, kneser_ney, simhash_pigeonhole, slots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,3 +36,8 @@ def op3_apportioned_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_simhash_components")
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pigeonhole.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@query("op4_kneser_ney_quality")
+def op4_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
