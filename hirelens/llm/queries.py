@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hirelens.session import read_table
 
-from . import apportion, kneser_ney, simhash_pigeonhole, slots
+from . import apportion, kneser_ney, simhash_pigeonhole, slots, template_decontam
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -41,3 +41,8 @@ def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_kneser_ney_quality")
 def op4_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op7_template_decontamination")
+def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
