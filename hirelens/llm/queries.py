@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hirelens.session import read_table
 
-from . import apportion, kneser_ney, simhash_pigeonhole, slots, template_decontam
+from . import apportion, kneser_ney, secret_battery, simhash_pigeonhole, slots, template_decontam
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -46,3 +46,8 @@ def op4_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_template_decontamination")
 def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template_decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_secret_battery")
+def op10_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_battery.secrets(read_table(spark, sf_dir, "documents"))

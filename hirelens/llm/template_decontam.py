@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation (DataFrame functions only).
 
-Text becomes a sequence of words and numbers. Numbers, units and names (capitalised words, and
-whatever begins a sentence) become typed placeholders, so a question whose numbers, units
+Text becomes a sequence of words and numbers. Numbers, units and names (capitalised words unless
+all their letters are capitals, and whatever begins a sentence) become typed placeholders, so a question whose numbers, units
 and names were exchanged keeps its template. Windows of ``WINDOW`` template words are hashed and
 hash-joined between benchmark and documents. Matches on one alignment (document position
 minus item position) are taken together and their slots compared: an item's value must stand
@@ -62,7 +62,7 @@ def template(token: Column, at: Column) -> Column:
     return (F.when((at == 0) | is_start(token), "@")
             .when(first.between("0", "9"), "#")
             .when(F.lower(token).isin(UNITS), "~")
-            .when(first != F.lower(first), "@")
+            .when((first != F.lower(first)) & (token != F.upper(token)), "@")
             .when(token.rlike(r"^\p{N}"), "#")
             .otherwise(F.lower(token)))
 
