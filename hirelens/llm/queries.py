@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hirelens.session import read_table
 
-from . import apportion, chat_grammar, kneser_ney, secret_battery, simhash_pigeonhole, slots, template_decontam
+from . import apportion, chat_grammar, kneser_ney, language_spans, secret_battery, simhash_pigeonhole, slots, template_decontam
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -57,3 +57,8 @@ def op10_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat_grammar.digests(chat_grammar.format_conversations(rows.union(chat_grammar.hostile(spark))))
+
+
+@query("op8_language_spans")
+def op8_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_spans.identify(read_table(spark, sf_dir, "documents"))
