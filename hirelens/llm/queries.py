@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hirelens.session import read_table
 
-from . import apportion, chat_grammar, kneser_ney, language_spans, secret_battery, simhash_pigeonhole, slots, template_decontam
+from . import apportion, chat_grammar, kneser_ney, language_spans, secret_battery, simhash_pigeonhole, slots, template_decontam, token_spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -62,3 +62,8 @@ def op6_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_language_spans")
 def op8_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_spans.identify(read_table(spark, sf_dir, "documents"))
+
+
+@query("op5_token_spans")
+def op5_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_spans.count(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
