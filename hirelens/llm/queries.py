@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hirelens.session import read_table
 
-from . import apportion, chat_grammar, kneser_ney, language_spans, secret_battery, simhash_pigeonhole, slots, template_decontam, token_spans
+from . import apportion, chat_grammar, kneser_ney, language_spans, projection_search, secret_battery, simhash_pigeonhole, slots, template_decontam, token_spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -67,3 +67,8 @@ def op8_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_token_spans")
 def op5_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_spans.count(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op1_projected_neighbours")
+def op1_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_search.nearest(read_table(spark, sf_dir, "embeddings"))
