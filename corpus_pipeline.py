@@ -1,3 +1,47 @@
-STAGES = []
+"""A training corpus from raw documents: judge, deduplicate, decontaminate, mix, shard.
+
+Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a
+DataFrame, which is written as Parquet and reread as the next one's ``docs``. All but the last return the columns
+of ``documents``; the last returns the kept documents' places.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from hirelens.llm import apportion, kneser_ney, simhash_pigeonhole, slots, template_decontam
+from hirelens.llm.common import materialize
+from hirelens.session import read_table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return kneser_ney.keep_good(docs, read_table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash_pigeonhole.deduplicate(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return template_decontam.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return apportion.apply(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return slots.shard(docs)
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]
+
+#: Perplexities and fingerprints have no SQL form: tests/llm/test_pipeline.py holds the rows against a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -32,10 +32,13 @@ def words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
+def seeded_key(seed: str) -> Column:
+    return F.md5(F.concat(F.lit(seed + ":"), id_text(), F.lit(":"), text_of("text")))
+
+
 def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """doc_id, source, size and the seeded key that orders documents and deals them to shards."""
-    key = F.md5(F.concat(F.lit(seed + ":"), id_text(), F.lit(":"), text_of("text")))
-    return docs.select("doc_id", "source", words(text_of("text")).alias("size"), key.alias("key"))
+    return docs.select("doc_id", "source", words(text_of("text")).alias("size"), seeded_key(seed).alias("key"))
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS) -> DataFrame:
@@ -100,10 +103,10 @@ def streams(rows: DataFrame) -> DataFrame:
             .withColumn("rest", F.least("blocks", F.round((tokens - F.col("passes") * F.col("words")) / F.col("block")).cast("long"))))
 
 
-def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
+def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """Every document with the words the mix takes from it.
 
-    Returns doc_id, size, source_size, target (its source's), taken, shard. One
+    Returns key, doc_id, size, source_size, target (its source's), taken, shard. One
     exchange deals (source, shard) streams; texts stay out of it. A source that holds a third
     of the corpus is spread over all shards.
     """
@@ -127,7 +130,28 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
         F.sequence(F.floor(F.col("start") / F.col("block")), F.floor((F.col("end") - 1) / F.col("block"))), F.lit(0).cast("long"),
         lambda acc, k: acc + F.when(chosen(k), overlap(k)).otherwise(F.lit(0).cast("long")))
     taken = F.when(F.col("size") == 0, F.lit(0).cast("long")).otherwise(F.col("passes") * F.col("size") + part)
-    return j.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "shard")
+    return j.select("key", "doc_id", "size", "source_size", "target", taken.alias("taken"), "shard")
+
+
+def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
+    """doc_id, size, source_size, target, taken, shard of every document."""
+    return mixed(docs, seed).drop("key")
+
+
+def copies(taken: Column, size: Column, key: Column) -> Column:
+    """Whole copies for the words taken: the fraction that a cut leaves is rounded by a seeded draw,
+    so that sources keep their words on average and no document exceeds its passes."""
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit("round:"), key)), 1, 8), 16, 10).cast("double") / (1 << 32)
+    return F.when(size > 0, F.floor(taken / size + draw)).otherwise(F.lit(0)).cast("int")
+
+
+def apply(docs: DataFrame, seed: str = SEED) -> DataFrame:
+    """``docs`` as the mix takes them, whole: each row as often as it has copies, or not at all.
+    Repeated rows share what was taken from them evenly; documents without words are left out."""
+    wanted = mixed(docs, seed).groupBy(F.col("key").alias("__key")).agg(F.avg("taken").alias("t"), F.max("size").alias("n"))
+    wanted = wanted.select("__key", copies(F.col("t"), F.col("n"), F.col("__key")).alias("__copies")).where("__copies > 0")
+    keyed = docs.withColumn("__key", seeded_key(seed))
+    return keyed.join(wanted, "__key").withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
 
 
 #: The same mix in DuckDB SQL.
