@@ -70,3 +70,26 @@ def run_starts(lengths: np.ndarray) -> np.ndarray:
 def with_fields(schema: StructType, **types: DataType) -> StructType:
     """A new schema; StructType.add would change the DataFrame's own."""
     return StructType([*schema.fields, *(StructField(n, t) for n, t in types.items())])
+
+
+def places(h: Column, bits: int) -> list[Column]:
+    """The two bits that stand for a 64-bit hash."""
+    return [F.pmod(h, F.lit(bits)), F.pmod(F.shiftright(h, 32), F.lit(bits))]
+
+
+def bit_filter(hashes: DataFrame, bits: int) -> Column:
+    """hashes(hash long) -> a constant array of ``bits`` / 64 longs, two bits set for each hash: of the
+    same size for any input. With ``may_hold`` it spares a join what surely has no partner."""
+    words = (hashes.select(F.explode(F.array(*places(F.col("hash"), bits))).alias("b"))
+             .groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("v")))
+    array = np.zeros(bits // 64, np.int64)
+    for r in words.collect():  # at most bits / 64 rows
+        array[r.w] = r.v
+    return F.lit(array)
+
+
+def may_hold(held: Column, h: Column, bits: int) -> Column:
+    """Whether the hash may be one of those of the filter (never false for one that is)."""
+    bit = lambda b: F.call_function("getbit", F.get(held, F.shiftright(b, 6).cast("int")), F.pmod(b, F.lit(64)).cast("int")) == 1
+    a, b = places(h, bits)
+    return bit(a) & bit(b)

@@ -11,6 +11,7 @@ A document is contaminated by an item if windows on consistent alignments cover
 the item's windows. Before the join, document windows are tested against a fixed-size bit set of the
 benchmark's window hashes, so that only likely matches are shuffled; the join is exact.
 
+* In text all in capitals names can't be told, so there only items (or windows) without names are found.
 * Null texts are empty. Items with fewer than ``WINDOW`` words, and windows with fewer than ``LITERALS``
   words that are not placeholders, are too little to tell a passage by and match nothing.
 * Repeated benchmark items are reported each; repeated document rows count as one document.
@@ -19,11 +20,10 @@ benchmark's window hashes, so that only likely matches are shuffled; the join is
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import bit_filter, materialize, may_hold, text_of
 
 WINDOW = 8  # a power of two
 LITERALS = 3
@@ -96,28 +96,11 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return rows.select("item_id", "item", "windows", "words", "x.i", "x.hash").withColumn("slots", F.slice("words", F.col("i") + 1, WINDOW)).drop("words")
 
 
-def places(h: Column, bits: int = FILTER_BITS) -> list[Column]:
-    """The two bits that stand for a hash."""
-    return [F.pmod(h, F.lit(bits)), F.pmod(F.shiftright(h, 32), F.lit(bits))]
-
-
-def bit_filter(hashes: DataFrame, bits: int = FILTER_BITS) -> Column:
-    """A constant array of ``bits`` / 64 longs, two bits set for each hash: of the same size for any benchmark."""
-    words = (hashes.select(F.explode(F.array(*places(F.col("hash"), bits))).alias("b"))
-             .groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("v")))
-    array = np.zeros(bits // 64, np.int64)
-    for r in words.collect():  # at most bits / 64 rows
-        array[r.w] = r.v
-    return F.lit(array)
-
-
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, item, windows (of the item), matched (its windows met on consistent alignments), first, last (word positions)."""
     items = materialize(item_windows(benchmark), "items")
-    likely = bit_filter(items.select("hash"))
-    bit = lambda b: F.call_function("getbit", F.get(likely, F.shiftright(b, 6).cast("int")), F.pmod(b, F.lit(64)).cast("int")) == 1
-    seen = lambda h: bit(places(h)[0]) & bit(places(h)[1])
-    found = F.filter(F.transform("hashes", lambda h, p: F.struct(h.alias("hash"), p.alias("p"))), lambda x: x["hash"].isNotNull() & seen(x["hash"]))
+    likely = bit_filter(items.select("hash"), FILTER_BITS)
+    found = F.filter(F.transform("hashes", lambda h, p: F.struct(h.alias("hash"), p.alias("p"))), lambda x: x["hash"].isNotNull() & may_hold(likely, x["hash"], FILTER_BITS))
     # exploding the expression, not a column of it: for a column Spark would infer a filter and compute it twice
     rows = windows(docs.select("doc_id", "text")).select("doc_id", "words", F.explode(found).alias("f"))
     rows = rows.select("doc_id", F.col("f.hash").alias("hash"), F.col("f.p").alias("p"), F.slice("words", F.col("f.p") + 1, WINDOW).alias("own"))
