@@ -11,10 +11,11 @@ Semantics (per key, after dropping empty keys):
   * new_count: rows of the new scrape (duplicates included) whose key was not
     in the retained existing data.
 
-Plan: the two sides are unioned and reduced by ONE hash aggregate on the key
-(max_by over a (side, seq) ordering). Partial aggregation collapses hot keys
-map-side, so a key holding a third of all rows costs no more than any other;
-there is one shuffle and no join.
+Plan: the two sides are unioned and reduced by ONE aggregate on the key (max_by
+over a (side, seq) ordering). Whole rows are kept in the buffer, so Spark plans a
+sort aggregate: a sort on each side of the single shuffle. The partial one
+collapses hot keys map-side, so a key holding a third of all rows costs no more
+in the shuffle than any other; there is no join.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ def stale_count(df: DataFrame, key: str, ts_col: str, now: dt.datetime,
 
 def dedup_last(df: DataFrame, keys: list[str], seq: list[str]) -> DataFrame:
     """One row per key: the row with the greatest ``seq`` tuple (arrival order).
-    A max_by hash aggregate (partial combine) — no window sort of hot keys."""
+    A max_by aggregate (sort-based, partial combine): hot keys collapse before the shuffle."""
     others = [c for c in df.columns if c not in keys]
     order = F.struct(*[F.col(c) for c in seq])
     win = F.max_by(F.struct(*[F.col(c) for c in others]), order).alias("_w")
@@ -70,20 +71,20 @@ def overlay(existing: DataFrame, new: DataFrame, key: str = "key", seq: str = "s
             scraped: str = "scraped_at", first_seen: str = "first_seen") -> tuple[DataFrame, DataFrame]:
     """Overlay ``new`` onto (already retained) ``existing``.
     Returns (merged rows, DataFrame(new_count)). Both inputs carry ``key`` and
-    ``seq``; rows with an empty key are ignored."""
-    cols = [c for c in new.columns if c not in (key, "_side")]
-    if first_seen not in cols:
-        cols.append(first_seen)
-
+    ``seq``; rows with an empty key are ignored. The result has the columns of
+    both sides: a key of the new scrape takes its new row whole (NULL in columns
+    that only the existing data has), any other keeps its existing row whole."""
     fs_type = (existing.schema[first_seen].dataType if first_seen in existing.columns
                else new.schema[scraped].dataType)
 
     def side(df: DataFrame, s: int) -> DataFrame:
         d = df if first_seen in df.columns else df.withColumn(first_seen, F.lit(None).cast(fs_type))
         d = d.filter(F.coalesce(F.col(key), F.lit("")) != "")
-        return d.select(F.col(key), F.lit(s).alias("_side"), *[F.col(c) for c in cols])
+        return d.withColumn("_side", F.lit(s))
 
     u = side(existing, 0).unionByName(side(new, 1), allowMissingColumns=True)
+    order = [*new.columns, *[c for c in u.columns if c not in new.columns]]
+    cols = [c for c in order if c not in (key, "_side")]
     is_ex = F.col("_side") == 0
     g = u.groupBy(key).agg(
         F.max_by(F.struct(*[F.col(c) for c in cols]), F.struct(F.col("_side"), F.col(seq))).alias("_w"),
@@ -100,6 +101,12 @@ def overlay(existing: DataFrame, new: DataFrame, key: str = "key", seq: str = "s
     return merged, new_count
 
 
+def merge_metadata(merged: DataFrame, new_count: DataFrame, now: dt.datetime) -> DataFrame:
+    """One row about a merged dataset: total_jobs, new_jobs, last_updated."""
+    return merged.agg(F.count(F.lit(1)).alias("total_jobs")).crossJoin(new_count.select(F.col("new_count").alias("new_jobs"))) \
+        .withColumn("last_updated", F.lit(now.strftime("%Y-%m-%dT%H:%M:%SZ")))
+
+
 def merge(existing: DataFrame, new: DataFrame, now: dt.datetime, key: str = "key", seq: str = "seq",
           scraped: str = "scraped_at", max_days: int = presets.RETENTION_DAYS) -> tuple[DataFrame, DataFrame]:
     """Retention, then overlay (a pruned key scraped again is new again)."""

@@ -98,6 +98,27 @@ def q_merge_first_seen(spark, sf):
     return merged.select("key", "seq", "ats", "company", "url", "id", "title", "scraped_at", "first_seen")
 
 
+@register("merge_schema_drift", f"""{_MERGE_CTES}
+SELECT m.key, m.title, CASE WHEN n.key IS NULL THEN length(m.company) END AS name_len,
+ CASE WHEN n.key IS NOT NULL THEN upper(m.ats) END AS platform_code, m.first_seen
+FROM merged m LEFT JOIN nwd n ON n.key = m.key""")
+def q_merge_schema_drift(spark, sf):
+    """The existing data has a column that the new load lacks, and the other way round."""
+    ex = fx.existing_load(spark, sf).withColumn("name_len", F.length("company").cast("bigint"))
+    nw = fx.new_load(spark, sf).withColumn("platform_code", F.upper("ats"))
+    merged, _ = M.merge(ex, nw, NOW)
+    return merged.select("key", "title", "name_len", "platform_code", "first_seen")
+
+
+@register("merge_metadata", f"""{_MERGE_CTES}
+SELECT (SELECT count(*) FROM merged) AS total_jobs,
+ (SELECT count(*) FROM nwk WHERE NOT EXISTS (SELECT 1 FROM exk WHERE exk.key = nwk.key)) AS new_jobs,
+ '{NOW.strftime('%Y-%m-%dT%H:%M:%SZ')}' AS last_updated""")
+def q_merge_metadata(spark, sf):
+    merged, n = _merge(spark, sf)
+    return M.merge_metadata(merged, n, NOW)
+
+
 @register("new_job_count", f"""{_MERGE_CTES}
 SELECT count(*) AS new_count FROM nwk WHERE NOT EXISTS (SELECT 1 FROM exk WHERE exk.key = nwk.key)""")
 def q_new_job_count(spark, sf):

@@ -41,17 +41,15 @@ def test_role_match(spark):
     assert [r[0] for r in df.select(role_match("title", "lvl")).collect()] == [e for *_, e in rows]
 
 
-RUN = dt.date(2025, 3, 10)
-
-
-@pytest.mark.parametrize("text,expected", [
-    ("Posted Today", RUN), ("Posted 2 Days Ago", RUN - dt.timedelta(days=2)),
-    ("Posted 1 Week Ago", RUN - dt.timedelta(weeks=1)), ("Posted 2 Months Ago", RUN - dt.timedelta(days=60)),
-    (None, None), ("", None), ("some unknown string", None), ("Posted 30+ Days Ago", None),
-])
-def test_relative_date(spark, text, expected):
-    df = spark.createDataFrame([(text,)], "t string")
-    assert df.select(relative_date("t", RUN)).collect()[0][0] == expected
+@pytest.mark.parametrize("run", [dt.date(2024, 3, 1), dt.date(2030, 1, 4)])
+def test_relative_date(spark, run):
+    """Singular and plural, the order of the checks, leap days and year ends; open-ended or unknown texts give nothing."""
+    back = {"just posted today, 5 days ago": 0, "TODAY": 0, "  opened 1 day ago": 1, "9 days, 2 weeks and 1 month": 9, "3 weeks or 2 months": 21,
+            "posted 11 Months": 330, "100 week": 700, "0 days": 0}
+    none = ["yesterday", "days", "a week ago", "12+ days ago", "3 hours", "2 years ago", "   ", "", None]
+    df = spark.createDataFrame([(t,) for t in [*back, *none]], "t string")
+    got = {r.t: r.d for r in df.select("t", relative_date("t", run).alias("d")).collect()}
+    assert got == {t: run - dt.timedelta(days=n) for t, n in back.items()} | dict.fromkeys(none)
 
 
 def test_clean_reasons_in_order(spark):
