@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import presets
-from .text import blank_to_null, col_of, strip_ws
+from .text import ascii_boundaries, blank_to_null, col_of, strip_ws
 
 
 def tier_score(title, rules=None) -> Column:
@@ -53,16 +53,16 @@ def is_recruiter(company, terms=None) -> Column:
 def role_match(title, level, preset=None) -> Column:
     """Role preset: non-empty title, level in the preset's set (null level counts
     as ''), include alternation hits, exclude alternation does not.
-    Patterns are browser/Python regexes, case-insensitive, title only."""
+    Patterns are read as browsers do (case-insensitive, ASCII word boundaries), title only."""
     preset = preset or presets.ROLE_PRESET
     t = F.coalesce(col_of(title), F.lit(""))
     cond = t != F.lit("")
     levels = list(preset.get("levels") or [])
     if levels:
         cond = cond & F.coalesce(col_of(level), F.lit("")).isin(levels)
-    cond = cond & t.rlike("(?i)" + "|".join(preset["include"]))
+    cond = cond & t.rlike("(?i)" + ascii_boundaries("|".join(preset["include"])))
     if preset.get("exclude"):
-        cond = cond & ~t.rlike("(?i)" + "|".join(preset["exclude"]))
+        cond = cond & ~t.rlike("(?i)" + ascii_boundaries("|".join(preset["exclude"])))
     return cond
 
 

@@ -36,13 +36,23 @@ def blank_to_null(c) -> Column:
     return F.nullif(col_of(c), F.lit(""))
 
 
+_WORD = "[A-Za-z0-9_]"
+
+
+def ascii_boundaries(pattern: str) -> str:
+    """``\\b`` as browsers read it, between ASCII word characters and the rest: Java's
+    also counts accented letters as parts of a word."""
+    either = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
+    return pattern.replace(r"\b", either)
+
+
 def word_match(c, term: str) -> Column:
-    """Whole-term, case-insensitive match: ``\\b<term>\\b`` with the term taken
-    literally. Empty term = no filter (True)."""
+    """Whole-term, case-insensitive match: ``\\b<term>\\b`` (ASCII boundaries) with the
+    term taken literally. Empty term = no filter (True)."""
     term = (term or "").strip().lower()
     if not term:
         return F.lit(True)
-    return F.lower(F.coalesce(col_of(c), F.lit(""))).rlike(r"\b" + escape_regex(term) + r"\b")
+    return F.lower(F.coalesce(col_of(c), F.lit(""))).rlike(ascii_boundaries(r"\b" + escape_regex(term) + r"\b"))
 
 
 def any_contains(c, terms: list[str]) -> Column:
@@ -101,7 +111,8 @@ def url_title(url) -> Column:
     tail = F.element_at(F.split(u, "/jobs/"), -1)
     parts = F.split(tail, "/")
     seg = F.when(F.size(parts) >= 2, F.element_at(parts, 2))
-    protected = F.replace(seg, F.lit("+"), F.lit("%2B"))
+    # a '+' and a '%' that begins no escape stand for themselves
+    protected = F.regexp_replace(F.replace(seg, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
     decoded = F.coalesce(F.try_url_decode(protected), seg)
     return F.when(u.contains("/jobs/") & ~u.endswith("/jobs/intro") & seg.isNotNull(),
                   title_case(strip_ws(F.replace(decoded, F.lit("-"), F.lit(" ")))))

@@ -28,7 +28,7 @@ def facet_country(df: DataFrame, country="country", remote="remote") -> DataFram
     per_code = df.groupBy(code.alias("value")).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.coalesce(F.col(remote), F.lit(False))).alias("_r"))
-    remote_row = per_code.agg(F.lit(REMOTE).alias("value"), F.sum("_r").cast("bigint").alias("n"))
+    remote_row = per_code.agg(F.lit(REMOTE).alias("value"), F.coalesce(F.sum("_r"), F.lit(0)).cast("bigint").alias("n"))
     return per_code.select("value", "n").unionByName(remote_row)
 
 

@@ -4,6 +4,8 @@ All are grouped aggregates (map-side combined) over distributed tables."""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,22 +53,29 @@ def update_dead(dead: DataFrame, checked: DataFrame, statuses: DataFrame, jobs:
     return dead.select("platform", "slug").union(new_dead).distinct()
 
 
-def run_metadata(checked: DataFrame, fetched: DataFrame, kept: DataFrame, source: str = "automated") -> DataFrame:
-    """One row: companies scraped, companies that returned postings, postings
-    kept by the clean step, recruiter postings among them, source, platforms.
+def all_companies(companies: DataFrame) -> DataFrame:
+    """The run's companies, known-dead ones included, distinct by slug, sorted."""
+    return companies.select("slug").distinct().orderBy("slug")
+
+
+def run_metadata(companies: DataFrame, fetched: DataFrame, kept: DataFrame, now: dt.datetime,
+                 source: str = "automated") -> DataFrame:
+    """One row: companies of the run (known-dead ones included, distinct by slug),
+    companies that returned postings, postings kept by the clean step, recruiter
+    postings among them, source, platforms, time.
     The three inputs are tagged and reduced in ONE aggregate (no join)."""
-    u = (checked.select(F.lit(0).alias("_t"), F.lit(None).cast("string").alias("ats"),
-                        F.lit(None).cast("string").alias("slug"), F.lit(None).cast("boolean").alias("rec"))
+    u = (companies.select(F.lit(0).alias("_t"), F.lit(None).cast("string").alias("ats"),
+                        F.col("slug"), F.lit(None).cast("boolean").alias("rec"))
          .unionByName(fetched.select(F.lit(1).alias("_t"), "ats", "slug", F.lit(None).cast("boolean").alias("rec")))
          .unionByName(kept.select(F.lit(2).alias("_t"), F.lit(None).cast("string").alias("ats"),
                                   F.lit(None).cast("string").alias("slug"),
                                   F.coalesce(F.col("is_recruiter"), F.lit(False)).alias("rec"))))
-    platforms = ", ".join(p.lower() for p in presets.PLATFORMS)
-    return u.agg(F.count_if(F.col("_t") == 0).alias("total_companies"),
+    return u.agg(F.count_distinct(F.when(F.col("_t") == 0, F.col("slug"))).alias("total_companies"),
                  F.count_distinct(F.when(F.col("_t") == 1, F.struct("ats", "slug"))).alias("active_companies"),
                  F.count_if(F.col("_t") == 2).alias("total_jobs"),
                  F.count_if((F.col("_t") == 2) & F.col("rec")).alias("recruiter_jobs"),
-                 F.lit(source).alias("source_type"), F.lit(platforms).alias("platforms"))
+                 F.lit(source).alias("source_type"), F.lit(presets.PLATFORM_SOURCES).alias("platforms"),
+                 F.lit(now.strftime("%Y-%m-%dT%H:%M:%SZ")).alias("last_updated"))
 
 
 def coverage(jobs: DataFrame, by: str = "ats", col: str = "updated_at") -> DataFrame:

@@ -6,11 +6,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import presets
 from ..functions.classify import role_match
 from ..functions.text import blank_to_null, html_unescape
 
-# Platforms whose company field is the slug itself.
-SLUG_IS_COMPANY = ["greenhouse", "ashby", "bamboohr", "lever", "icims"]
+# Platforms whose company field is the slug itself (the other two need the reverse maps).
+SLUG_IS_COMPANY = [p.lower() for p in presets.PLATFORMS if p not in ("Workday", "Paylocity")]
 
 
 def slug_reverse_maps(companies: DataFrame) -> DataFrame:
@@ -27,7 +28,8 @@ def slug_reverse_maps(companies: DataFrame) -> DataFrame:
 
 def build_shortlist(jobs: DataFrame, preset=None, reverse: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Returns (shortlist rows (platform, slug) distinct, stats (platform,
-    matched_jobs, unresolved)). A row's slug is its company_slug; slim rows
+    matched_jobs, unresolved)). Postings of an unknown platform (or none) count as
+    matched, and are neither listed nor unresolved. A row's slug is its company_slug; slim rows
     (no slug) recover it from the company (five platforms) or the reverse maps."""
     m = jobs.filter(role_match("title", "skill_level", preset)).withColumn("platform", F.lower("ats"))
     if "company_slug" not in m.columns:
@@ -36,8 +38,9 @@ def build_shortlist(jobs: DataFrame, preset=None, reverse: DataFrame | None = No
     direct = blank_to_null(F.col("company_slug"))
     m = m.withColumn("_direct", F.when(direct.isNotNull(), direct)
                      .when(F.col("platform").isin(SLUG_IS_COMPANY), blank_to_null(F.col("company"))))
-    resolved = m.filter(F.col("_direct").isNotNull()).select("platform", F.col("_direct").alias("slug"))
-    rest = m.filter(F.col("_direct").isNull())
+    known = m.filter(F.col("platform").isin([p.lower() for p in presets.PLATFORMS]))
+    resolved = known.filter(F.col("_direct").isNotNull()).select("platform", F.col("_direct").alias("slug"))
+    rest = known.filter(F.col("_direct").isNull())
     if reverse is not None:
         hit = rest.join(reverse, ["platform", "company"], "inner").select("platform", "slug")
         resolved = resolved.unionByName(hit)
@@ -45,7 +48,8 @@ def build_shortlist(jobs: DataFrame, preset=None, reverse: DataFrame | None = No
     else:
         unresolved = rest
     stats = (m.groupBy("platform").agg(F.count(F.lit(1)).alias("matched_jobs"))
-             .join(unresolved.groupBy("platform").agg(F.count(F.lit(1)).alias("unresolved")), "platform", "left")
+             .join(unresolved.groupBy("platform").agg(F.count(F.lit(1)).alias("unresolved"))
+                   .withColumnRenamed("platform", "_p"), F.col("platform").eqNullSafe(F.col("_p")), "left")
              .select("platform", "matched_jobs", F.coalesce("unresolved", F.lit(0)).alias("unresolved")))
     return resolved.distinct(), stats
 

@@ -73,11 +73,13 @@ def upsert_trend(log: DataFrame, snapshot: DataFrame) -> DataFrame:
 def _indexed(log: DataFrame) -> DataFrame:
     """Row index per log date. The log is one row per day, so this ordered
     window is bounded by the number of days."""
-    return log.withColumn("r", F.row_number().over(Window.orderBy("date")))
+    by_day = Window.orderBy("date")
+    whole = by_day.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return log.withColumn("r", F.row_number().over(by_day)).withColumn("last", F.max("r").over(whole))
 
 
 def _long(log: DataFrame) -> DataFrame:
-    return _indexed(log).select("date", "r", F.explode("by_platform").alias("platform", "value"))
+    return _indexed(log).select("date", "r", "last", F.explode("by_platform").alias("platform", "value"))
 
 
 def anomalies(log: DataFrame, lookback: int = presets.ANOMALY_LOOKBACK, z: float = presets.ANOMALY_Z,
@@ -90,13 +92,13 @@ def anomalies(log: DataFrame, lookback: int = presets.ANOMALY_LOOKBACK, z: float
     flat history when |x - mean| / mean > flat_band (mean 0: no verdict)."""
     lg = _long(log)
     w = Window.partitionBy("platform").orderBy("r").rangeBetween(-lookback, -1)
-    b = lg.select("date", "r", "platform", "value",
+    b = lg.select("date", "r", "last", "platform", "value",
                   F.count("value").over(w).alias("n_prior"),
                   F.avg("value").over(w).alias("mean"),
                   F.stddev_pop("value").over(w).alias("stdev"))
     b = b.filter((F.col("r") >= min_days + 1) & (F.col("n_prior") >= min_days))
     if latest_only:
-        b = b.filter(F.col("r") == F.lit(log.count()))
+        b = b.filter(F.col("r") == F.col("last"))
     zs = F.when(F.col("stdev") > 0, (F.col("value") - F.col("mean")) / F.col("stdev"))
     flat_dev = F.when((F.col("stdev") == 0) & (F.col("mean") != 0),
                       F.abs(F.col("value") - F.col("mean")) / F.col("mean"))
@@ -109,10 +111,14 @@ def anomalies(log: DataFrame, lookback: int = presets.ANOMALY_LOOKBACK, z: float
                     F.round(zs, 4).alias("z"), flagged.alias("flagged"), direction.alias("direction"))
 
 
-def platform_health(log: DataFrame, lookback: int = presets.ANOMALY_LOOKBACK) -> DataFrame:
-    """Per (date, platform): value as % of the mean of up to ``lookback`` prior
-    log rows (no minimum); < 50 'possible block', < 80 'below normal'."""
-    lg = _long(log)
+def platform_health(log: DataFrame, lookback: int = presets.ANOMALY_LOOKBACK,
+                    platforms: list[str] | None = None) -> DataFrame:
+    """Per (date, platform of the fixed list): value as % of the mean of up to
+    ``lookback`` prior log rows (no minimum); < 50 'possible block', < 80 'below
+    normal'. A platform that a day's row lacks has a row with a NULL value."""
+    keys = platforms or [p.lower() for p in presets.PLATFORMS]
+    lg = _indexed(log).select("date", "r", "by_platform", F.explode(F.array(*[F.lit(k) for k in keys])).alias("platform"))
+    lg = lg.withColumn("value", F.try_element_at("by_platform", F.col("platform")))
     w = Window.partitionBy("platform").orderBy("r").rangeBetween(-lookback, -1)
     b = lg.select("date", "platform", "value", F.avg("value").over(w).alias("mean"))
     pct = F.when(F.col("value").isNotNull() & (F.col("mean") != 0), F.col("value") / F.col("mean") * 100)

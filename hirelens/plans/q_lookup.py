@@ -81,14 +81,21 @@ _CLEAN = ("lower(regexp_replace(coalesce(title, ''), '^\\s+|\\s+$', '', 'g')) NO
 
 
 @register("run_metadata", f"""{BASE}
-SELECT (SELECT count(*) FROM live) AS total_companies, (SELECT count(*) FROM per) AS active_companies,
+SELECT (SELECT count(DISTINCT slug) FROM co) AS total_companies, (SELECT count(*) FROM per) AS active_companies,
  count(*) AS total_jobs, CAST(count_if(coalesce(is_recruiter, false)) AS BIGINT) AS recruiter_jobs,
- 'automated' AS source_type, {g.q(', '.join(p.lower() for p in presets.PLATFORMS))} AS platforms
+ 'automated' AS source_type,
+ 'greenhouse_api, ashby_api, bamboohr_api, lever_api, workday_api, icims_sitemap, paylocity_scrape' AS platforms,
+ '{fx.JOBS_NOW.strftime('%Y-%m-%dT%H:%M:%SZ')}' AS last_updated
 FROM nj WHERE {_CLEAN}""")
 def q_run_metadata(spark, sf):
-    _, live, _, j = _run(spark, sf)
+    comp, _, _, j = _run(spark, sf)
     kept, _ = C.clean(j)
-    return Q.run_metadata(live, j, kept)
+    return Q.run_metadata(comp, j, kept, fx.JOBS_NOW)
+
+
+@register("all_companies", f"{WR}\nSELECT DISTINCT slug FROM co")
+def q_all_companies(spark, sf):
+    return Q.all_companies(rf.companies(spark, sf))
 
 
 @register("clean_reasons_scrape", f"""{BASE}

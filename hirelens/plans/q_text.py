@@ -39,10 +39,12 @@ def _job_url(page_id, title):
     ('%' dropped, '&' percent-encoded, spaces to dashes)."""
     slug = F.replace(F.replace(F.replace(F.lower(title), F.lit("%"), F.lit("")), F.lit("&"), F.lit("%26")),
                      F.lit(" "), F.lit("-"))
+    slug = F.when(page_id % 3 == 0, F.concat(slug, F.lit("-50%"))).otherwise(slug)  # a '%' that is no escape
     return F.concat(F.lit("https://careers-pages.icims.com/jobs/"), page_id.cast("string"), F.lit("/"), slug, F.lit("/job"))
 
 
-_SLUG_SQL = "replace(replace(replace(lower(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), '%', ''), '&', '%26'), ' ', '-')"
+_SLUG_SQL = ("(replace(replace(replace(lower(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), '%', ''), '&', '%26'), ' ', '-')"
+             " || CASE WHEN page_id % 3 = 0 THEN '-50%' ELSE '' END)")
 
 
 @register("url_title", f"""SELECT page_id, 'https://careers-pages.icims.com/jobs/' || CAST(page_id AS VARCHAR) || '/' || {_SLUG_SQL} || '/job' AS job_url,

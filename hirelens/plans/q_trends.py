@@ -35,6 +35,11 @@ def q_trend_snapshot(spark, sf):
 _LOG = """per AS (SELECT CAST(ts AS DATE) AS date, event_type AS platform, count(*) AS value FROM events GROUP BY 1, 2),
 dates AS (SELECT date, row_number() OVER (ORDER BY date) AS r FROM (SELECT DISTINCT CAST(ts AS DATE) AS date FROM events) d),
 lg AS (SELECT p.date, d.r, p.platform, p.value FROM per p JOIN dates d ON p.date = d.date)"""
+# the status page walks a fixed list: one platform never reports, one misses every fourth day
+HEALTH_PLATFORMS = ["click", "purchase", "signup", "view", "outage"]
+_HEALTH = f"""{_LOG},
+hl AS (SELECT d.date, d.r, k.platform, lg.value FROM dates d CROSS JOIN (SELECT unnest({HEALTH_PLATFORMS}) AS platform) k
+ LEFT JOIN lg ON lg.date = d.date AND lg.platform = k.platform AND NOT (k.platform = 'purchase' AND day(d.date) % 4 = 0))"""
 _WIN = f"(PARTITION BY platform ORDER BY r RANGE BETWEEN {presets.ANOMALY_LOOKBACK} PRECEDING AND 1 PRECEDING)"
 
 
@@ -42,6 +47,11 @@ def _log(spark, sf):
     return TR.daily_log(read_table(spark, sf, "events"))
 
 
+def _health_log(spark, sf):
+    missing = F.dayofmonth("date") % 4 == 0
+    return _log(spark, sf).withColumn("by_platform", F.map_filter("by_platform", lambda k, v: ~((k == "purchase") & missing)))
+
+
 @register("anomaly_zscore", f"""WITH {_LOG},
 b AS (SELECT *, count(value) OVER {_WIN} AS n_prior, avg(value) OVER {_WIN} AS mean,
   stddev_pop(value) OVER {_WIN} AS sd FROM lg),
@@ -56,14 +66,14 @@ def q_anomaly(spark, sf):
     return TR.anomalies(_log(spark, sf))
 
 
-@register("platform_health", f"""WITH {_LOG},
-b AS (SELECT *, avg(value) OVER {_WIN} AS mean FROM lg),
+@register("platform_health", f"""WITH {_HEALTH},
+b AS (SELECT *, avg(value) OVER {_WIN} AS mean FROM hl),
 c AS (SELECT *, CASE WHEN value IS NOT NULL AND mean <> 0 THEN value / mean * 100 END AS pct FROM b)
 SELECT date, platform, value, round(mean, 4) AS mean, round(pct, 4) AS pct,
  CASE WHEN pct IS NULL THEN NULL WHEN pct < {presets.HEALTH_BLOCK_PCT} THEN 'possible block'
   WHEN pct < {presets.HEALTH_LOW_PCT} THEN 'below normal' ELSE '' END AS note FROM c""")
 def q_platform_health(spark, sf):
-    return TR.platform_health(_log(spark, sf))
+    return TR.platform_health(_health_log(spark, sf), platforms=HEALTH_PLATFORMS)
 
 
 @register("trend_history", f"""WITH t AS (SELECT CAST(ts AS DATE) AS date, count(*) AS total_jobs,
@@ -124,8 +134,8 @@ def q_anomaly_latest(spark, sf):
     return TR.anomalies(_log(spark, sf), latest_only=True)
 
 
-@register("platform_health_latest", f"""WITH {_LOG},
-b AS (SELECT *, avg(value) OVER {_WIN} AS mean FROM lg),
+@register("platform_health_latest", f"""WITH {_HEALTH},
+b AS (SELECT *, avg(value) OVER {_WIN} AS mean FROM hl),
 c AS (SELECT *, CASE WHEN value IS NOT NULL AND mean <> 0 THEN value / mean * 100 END AS pct FROM b
   WHERE r = (SELECT max(r) FROM dates))
 SELECT date, platform, value, round(mean, 4) AS mean, round(pct, 4) AS pct,
@@ -133,6 +143,6 @@ SELECT date, platform, value, round(mean, 4) AS mean, round(pct, 4) AS pct,
   WHEN pct < {presets.HEALTH_LOW_PCT} THEN 'below normal' ELSE '' END AS note FROM c""")
 def q_platform_health_latest(spark, sf):
     """The status page: the newest run against the up-to-7 runs before it."""
-    log = _log(spark, sf)
+    log = _health_log(spark, sf)
     latest = log.agg(F.max("date").alias("date"))
-    return TR.platform_health(log).join(latest, "date", "left_semi")
+    return TR.platform_health(log, platforms=HEALTH_PLATFORMS).join(latest, "date", "left_semi")

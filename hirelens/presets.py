@@ -9,6 +9,8 @@ from __future__ import annotations
 
 # --- FIXED VALUES: platforms and tiers -------------------------------------
 PLATFORMS = ["Greenhouse", "Ashby", "BambooHR", "Lever", "Workday", "iCIMS", "Paylocity"]
+# FIXED VALUE: the run summary's name for each platform's source.
+PLATFORM_SOURCES = "greenhouse_api, ashby_api, bamboohr_api, lever_api, workday_api, icims_sitemap, paylocity_scrape"
 TIERS = ["intern", "entry", "mid", "senior"]
 
 # --- FIXED VALUES: title tier rules (pattern on lower(title), weight) -------

@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,13 @@ def read_companies(spark: SparkSession, path: str, kind: str = "flat") -> DataFr
     """-> (slug, name) distinct. ``flat``: every string is a slug, name NULL.
     ``paylocity``: rows without a guid are dropped, the name falls back to the
     guid and is HTML-unescaped. A missing path yields an empty table."""
-    files = spark.read.format("text").option("wholetext", "true").load(path)
+    schema = "slug string, name string"
+    try:
+        files = spark.read.format("text").option("wholetext", "true").load(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
     if kind == "flat":
         rows = files.select(F.explode(F.from_json("value", "array<string>")).alias("slug"))
         return rows.filter(blank_to_null(F.col("slug")).isNotNull()) \
