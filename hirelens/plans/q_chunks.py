@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .. import presets
 from ..sources import chunks as CH
 from ..sources.trends import new_snapshot_dir
 from .q_search import W, jobs
@@ -32,7 +31,7 @@ def _slim(spark, sf):
 
 def _published(spark, sf):
     base = new_snapshot_dir(spark, "releases")
-    manifest, problems = CH.publish(_slim(spark, sf), base, RELEASE, tie="job_id")
+    manifest, problems = CH.publish(_slim(spark, sf), base, RELEASE, tie="job_id", size=SIZE)
     return base, manifest, problems
 
 
@@ -41,18 +40,24 @@ def q_slim(spark, sf):
     return CH.slim(jobs(spark, sf))
 
 
+SIZE = 1000  # several chunks at every scale
+
+
 @register("chunk_manifest", f"""{W},
 r AS (SELECT job_id, row_number() OVER (ORDER BY lower(coalesce(company, '')), lower(coalesce(title, '')), job_id) - 1 AS idx
   FROM jobs_c)
-SELECT CAST(idx // {presets.CHUNK_SIZE} AS BIGINT) AS chunk_id, count(*) AS n, CAST(sum(job_id) AS BIGINT) AS id_sum
+SELECT CAST(idx // {SIZE} AS BIGINT) AS chunk_id, count(*) AS n, CAST(sum(job_id) AS BIGINT) AS id_sum,
+ CAST(sum(job_id * (idx % {SIZE} + 1)) AS BIGINT) AS order_sum
 FROM r GROUP BY 1""")
 def q_chunk_manifest(spark, sf):
-    """Publish, then read every chunk file back and check what landed where."""
+    """Publish, then read every chunk file back: what landed where, and in which order inside the file."""
     base, manifest, _ = _published(spark, sf)
     root = f"{base}/{RELEASE}/chunks/"
-    back = spark.read.schema(SLIM_SCHEMA).json([root + f for f in manifest["chunks"]])
+    files = spark.read.text([root + f for f in manifest["chunks"]], wholetext=True)
     cid = F.regexp_extract(F.input_file_name(), r"chunk_id=(\d+)", 1).cast("bigint")
-    return back.groupBy(cid.alias("chunk_id")).agg(F.count(F.lit(1)).alias("n"), F.sum("job_id").alias("id_sum"))
+    rows = files.select(cid.alias("chunk_id"), F.posexplode(F.from_json("value", T.ArrayType(SLIM_SCHEMA))).alias("at", "row"))
+    job = F.col("row.job_id")
+    return rows.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"), F.sum(job).alias("id_sum"), F.sum(job * (F.col("at") + 1)).alias("order_sum"))
 
 
 @register("src_chunks", f"{W}\nSELECT job_id, {', '.join(SLIM_COLS)} FROM jobs_c")
@@ -61,22 +66,37 @@ def q_src_chunks(spark, sf):
     return CH.read_chunks(spark, f"{base}/{RELEASE}", SLIM_SCHEMA).select("job_id", *SLIM_COLS)
 
 
-@register("publish_check", "SELECT 'broken' AS release, 'missing: data/chunk_id=999/part-missing.json.gz' AS problem")
+_LAST = f"CAST((SELECT (count(*) - 1) // {SIZE} FROM jobs) AS VARCHAR)"
+
+
+@register("publish_check", f"""{W}
+SELECT 'no_manifest' AS release, 'manifest missing' AS problem
+UNION ALL SELECT 'no_chunks', 'no chunks listed'
+UNION ALL SELECT 'lost_last', 'missing: data/chunk_id=' || {_LAST}
+UNION ALL SELECT 'empty_first', 'empty: data/chunk_id=0'
+UNION ALL SELECT 'lost_and_empty', 'missing: data/chunk_id=' || {_LAST}
+UNION ALL SELECT 'lost_and_empty', 'empty: data/chunk_id=0'""")
 def q_publish_check(spark, sf):
-    """A valid release yields no problems; a manifest naming a file that does
-    not exist yields exactly one."""
+    """A valid release has no problems; broken ones, made of its files, have just their own."""
     import json
     base, manifest, problems = _published(spark, sf)
-    good = problems.withColumn("release", F.lit("good"))
-    broken_dir = new_snapshot_dir(spark, "broken")
-    bad = dict(manifest, chunks=manifest["chunks"][:1] + ["data/chunk_id=999/part-missing.json.gz"])
-    CH.write_text(spark, f"{broken_dir}/chunks/{CH.MANIFEST}", json.dumps(bad))
-    # the one real chunk is referenced from the good release
-    src = f"{base}/{RELEASE}/chunks/{manifest['chunks'][0]}"
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    src = f"{base}/{RELEASE}/chunks"
     fs, _ = CH._fs(spark, src)
-    jvm = spark._jvm
-    jvm.org.apache.hadoop.fs.FileUtil.copy(fs, jvm.org.apache.hadoop.fs.Path(src), fs,
-                                           jvm.org.apache.hadoop.fs.Path(f"{broken_dir}/chunks/{manifest['chunks'][0]}"),
-                                           False, spark._jsc.hadoopConfiguration())
-    broken = CH.check_snapshot(spark, broken_dir).withColumn("release", F.lit("broken"))
-    return good.unionByName(broken).select("release", "problem")
+    files = manifest["chunks"]
+    out = problems.withColumn("release", F.lit("good"))
+    faults = {"no_manifest": (set(), set()), "no_chunks": (set(), set()), "lost_last": ({files[-1]}, set()),
+              "empty_first": (set(), {files[0]}), "lost_and_empty": ({files[-1]}, {files[0]})}
+    for name, (lost, empty) in faults.items():
+        target = new_snapshot_dir(spark, name)
+        for f in {files[0], files[-1]} - lost:
+            if f in empty:
+                fs.create(path(f"{target}/chunks/{f}"), True).close()
+            else:
+                jvm.org.apache.hadoop.fs.FileUtil.copy(fs, path(f"{src}/{f}"), fs, path(f"{target}/chunks/{f}"), False, conf)
+        listed = [] if name == "no_chunks" else sorted({files[0], files[-1]})
+        if name != "no_manifest":
+            CH.write_text(spark, f"{target}/chunks/{CH.MANIFEST}", json.dumps(dict(manifest, chunks=listed)))
+        out = out.unionByName(CH.check_snapshot(spark, target).withColumn("release", F.lit(name)))
+    return out.select("release", F.regexp_replace("problem", "/part-.*", "").alias("problem"))

@@ -3,6 +3,7 @@
 import gzip
 import json
 
+import pytest
 from pyspark.sql import types as T
 
 from hirelens.sources import chunks as CH
@@ -17,8 +18,11 @@ def test_reads_arrays_skips_missing_and_handles_no_manifest(spark, tmp_path):
         json.dump([{"title": "Eng", "company": "acme"}, {"title": "Ops", "company": "beta"}], f, indent=0)
     (d / "jobs_manifest.json").write_text(json.dumps(
         {"chunks": ["jobs_chunk_0.json.gz", "jobs_chunk_1.json.gz"], "totalJobs": 3, "last_updated": "x"}))
-    rows = CH.read_chunks(spark, str(tmp_path / "data"), SCHEMA, arrays=True).collect()
+    rows = CH.read_chunks(spark, str(tmp_path / "data"), SCHEMA).collect()
     assert sorted((r["title"], r["company"]) for r in rows) == [("Eng", "acme"), ("Ops", "beta")]
+    assert [r.file for r in CH.missing_chunks(spark, str(tmp_path / "data")).collect()] == ["jobs_chunk_1.json.gz"]
+    with pytest.raises(FileNotFoundError, match="jobs_chunk_1"):
+        CH.read_chunks(spark, str(tmp_path / "data"), SCHEMA, strict=True)
     assert CH.read_chunks(spark, str(tmp_path / "nothing"), SCHEMA).count() == 0
     problems = [r[0] for r in CH.check_snapshot(spark, str(tmp_path / "data")).collect()]
     assert problems == ["missing: jobs_chunk_1.json.gz"]
@@ -30,9 +34,25 @@ def test_exact_chunk_sizes(spark, tmp_path):
                                          "concat('t', id) as title")
     m = CH.write_chunks(df, str(tmp_path / "rel"), "ts", size=1000, tie="job_id")
     assert m["totalJobs"] == 2503 and m["chunkRows"] == {"0": 1000, "1": 1000, "2": 503}
-    back = spark.read.json(str(tmp_path / "rel" / "chunks" / "data"))
-    counts = {r["chunk_id"]: r["count"] for r in back.groupBy("chunk_id").count().collect()}
-    assert counts == {0: 1000, 1: 1000, 2: 503}
-    # chunk 0 holds the first 1000 rows of the publish order (company, title, job_id)
-    first = back.filter("chunk_id = 0").agg({"company": "max"}).collect()[0][0]
-    assert first <= back.filter("chunk_id = 1").agg({"company": "min"}).collect()[0][0]
+    order = sorted(range(2503), key=lambda i: (f"c{i % 7}", f"t{i}"))
+    for k, f in enumerate(m["chunks"]):
+        with gzip.open(tmp_path / "rel" / "chunks" / f, "rt", encoding="utf-8") as g:
+            assert [r["job_id"] for r in json.load(g)] == order[k * 1000:(k + 1) * 1000]  # one array, in publish order
+    assert CH.read_chunks(spark, str(tmp_path / "rel"), T.StructType([T.StructField("job_id", T.LongType())]), strict=True).count() == 2503
+
+
+def test_publish_switches_the_pointer_and_keeps_metadata(spark, tmp_path):
+    df = spark.range(0, 30).selectExpr("id as job_id", "'c' as company", "'t' as title")
+    for release in ("r1", "r2", "r3"):
+        CH.publish(df, str(tmp_path), release, keep=2, tie="job_id", size=10, metadata={"total_jobs": 30})
+        assert (tmp_path / "current").read_text() == release
+    assert sorted(p.name for p in tmp_path.iterdir() if p.is_dir()) == ["r2", "r3"]
+    assert json.loads((tmp_path / "r3" / "metadata.json").read_text()) == {"total_jobs": 30}
+    assert not list(tmp_path.glob("*.tmp"))
+
+
+def test_empty_dataset_has_no_chunks(spark, tmp_path):
+    df = spark.range(0, 0).selectExpr("id as job_id", "'c' as company", "'t' as title")
+    m, problems = CH.publish(df, str(tmp_path), "r1")
+    assert m["chunks"] == [] and [r.problem for r in problems.collect()] == ["no chunks listed"]
+    assert not (tmp_path / "current").exists()
