@@ -11,7 +11,7 @@ joins). The model is a table (n, code, p, bow).
 
 Scoring: the probability of an n-gram is found by its own row, else by its context's weight times
 the probability of its suffix, and so on down. If the model has at most ``BROADCAST_ROWS``
-rows (16 bytes each) workers hold it whole; a larger one stays sharded by code: distinct
+rows (25 bytes each) workers hold it whole; a larger one stays sharded by code: distinct
 n-grams of the corpus are joined with the count shards order by order, and the documents' n-grams with these.
 
 A document is kept if its perplexity is at most the ``QUANTILE`` of its language, taken over
@@ -25,15 +25,18 @@ trusted documents held out of training (a language with under ``LEAST_HELD`` of
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
 
-from .common import append_columns, chunks, id_text, materialize, run_starts, small_batches, with_fields
+from .common import append_columns, bit_filter, chunks, id_text, materialize, may_hold, run_starts, small_batches, with_fields
 
 ORDER = 5
 BITS = 12
@@ -44,7 +47,11 @@ HELD_ONE_IN = 5
 QUANTILE = 0.995
 LEAST_HELD = 40
 BIN = 1e-3  # thresholds are exact to this step of the mean log-probability
-BROADCAST_ROWS = 8_000_000
+BROADCAST_ROWS = 4_000_000
+ROW = np.dtype([("n", np.int8), ("code", np.int64), ("p", np.float64), ("bow", np.float64)])
+FILTER_BITS = 1 << 22
+SCORED_CHARS = 1_000_000  # a worker's arrays hold so many symbols at once
+HELD_GRAMS = 1_000_000
 
 
 def symbols(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -78,12 +85,26 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
     """(code, c): n-grams of the highest order over all given documents."""
     small_batches(docs.sparkSession)
 
+    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        code, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return code, np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of a partition are added up before they leave, as far as ``HELD_GRAMS`` allows."""
+        parts, held = [], 0
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for a, b in chunks(texts):
-                code, c = np.unique(ngrams(texts[a:b])[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(c.astype(np.int64))], names=["code", "c"])
+            for a, b in chunks(texts, SCORED_CHARS):
+                parts.append(np.unique(ngrams(texts[a:b])[0], return_counts=True))
+                held += len(parts[-1][0])
+                if held > HELD_GRAMS:
+                    parts = [merged(parts)]
+                    held = len(parts[0][0])
+                    if held > HELD_GRAMS // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts[0]], names=["code", "c"])
+                        parts, held = [], 0
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged(parts)], names=["code", "c"])
 
     return docs.where("text <> ''").select("text").mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
 
@@ -185,24 +206,42 @@ class Model:
         return out
 
 
+def packed(model: DataFrame) -> list[bytes]:
+    """The model's rows as arrays of 25 bytes a row, one for each partition; for models of bounded size."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for batch in batches:
+            rows = np.empty(batch.num_rows, ROW)
+            for name, column in zip(ROW.names, batch.columns):
+                rows[name] = column.to_numpy(zero_copy_only=False)
+            parts.append(rows.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["rows"])
+
+    return [bytes(r.rows) for r in model.select("n", "code", "p", "bow").mapInArrow(run, "rows binary").collect()]
+
+
+@lru_cache(1)
+def loaded(key: str, held: Broadcast) -> Model:
+    """The model of a broadcast, built once in each worker process."""
+    rows = np.concatenate([np.frombuffer(b, ROW) for b in held.value])
+    return Model(rows["n"].astype(np.int64), rows["code"].copy(), rows["p"].copy(), rows["bow"].copy())
+
+
 def score(docs: DataFrame, model: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """``docs`` with __n (symbols) and __nll (their summed negative log-probability).
 
     A model of more than ``most`` rows is not broadcast: see ``score_sharded``."""
-    rows = model.limit(most + 1).count()
-    if rows > most:
+    if model.count() > most:
         return score_sharded(docs, model)
     small_batches(docs.sparkSession)
-    got = model.toPandas()  # at most ``most`` rows
-    arrays = [got["n"].to_numpy(np.int64), got["code"].to_numpy(np.int64), got["p"].to_numpy(float), got["bow"].to_numpy(float)]
-    held = docs.sparkSession.sparkContext.broadcast(arrays)
+    held, key = docs.sparkSession.sparkContext.broadcast(packed(model)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*held.value)
+        own = loaded(key, held)
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             n, nll = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-            for a, b in chunks(texts, 1_000_000):
+            for a, b in chunks(texts, SCORED_CHARS):
                 codes, n[a:b] = ngrams(texts[a:b])
                 some = a + np.flatnonzero(n[a:b])
                 if len(some):
@@ -263,11 +302,14 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     return enough.groupBy("__all", "lang").agg((F.min("bin") * BIN).alias("limit"))
 
 
-def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """``docs`` with __n, __nll, __limit and __keep. Needs doc_id, text and lang."""
+def judged(docs: DataFrame, labels: DataFrame, carry: list[str], quantile: float = QUANTILE) -> DataFrame:
+    """The columns ``carry`` (doc_id and lang among them) of ``docs``, with __n, __mean, __limit and __keep."""
     trusted = materialize(trusted_ids(labels), "trusted")
-    learnt = docs.select("doc_id", "text").join(trusted.where("not __held"), F.col("doc_id") == F.col("__id"))
-    scored = materialize(score(docs, train(learnt)), "scored")
+    learnt_ids = trusted.where("not __held")
+    likely = bit_filter(learnt_ids.select(F.xxhash64("__id").alias("hash")), FILTER_BITS)  # spares the join most other texts
+    texts = docs.select("doc_id", "text").where(may_hold(likely, F.xxhash64(F.col("doc_id").cast(trusted.schema["__id"].dataType)), FILTER_BITS))
+    learnt = texts.join(learnt_ids, F.col("doc_id") == F.col("__id"))
+    scored = materialize(score(docs, train(learnt)).select(*carry, "__n", "__nll"), "scored")
     held = scored.select("doc_id", "lang", "__n", "__nll").join(trusted.where("__held"), F.col("doc_id") == F.col("__id"))
     limits = materialize(thresholds(held, quantile), "limits")
     whole = limits.where("__all").select(F.col("limit").alias("__whole"))
@@ -285,11 +327,11 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Da
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, n_symbols, perplexity, max_perplexity, keep of every document."""
-    rows = judged(docs.select("doc_id", "text", "lang"), labels, quantile)
+    rows = judged(docs.select("doc_id", "text", "lang"), labels, ["doc_id", "lang"], quantile)
     return rows.select("doc_id", "lang", F.col("__n").alias("n_symbols"), F.exp("__mean").alias("perplexity"),
                        F.exp("__limit").alias("max_perplexity"), F.col("__keep").alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """The documents that the classifier does not reject, as they came."""
-    return judged(docs, labels, quantile).where("__keep").select(*docs.columns)
+    return judged(docs, labels, docs.columns, quantile).where("__keep").select(*docs.columns)
