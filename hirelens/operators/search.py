@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import presets
+from ..sources.chunks import number_rows
 from ..functions.classify import is_recruiter, role_match, tier_of_score, tier_score
 from ..functions.text import any_contains, blank_to_null, fuzzy_match, split_terms, strip_ws, word_match
 
@@ -205,6 +206,10 @@ def search(df: DataFrame, spec: FilterSpec, now: dt.datetime, status: DataFrame
 
 # ---------------------------------------------------------------- sorting ---
 
+#: A page within so many rows of either end is a top-k; beyond, the order is numbered.
+DEEP_ROWS = 100_000
+
+
 def sort_value(df: DataFrame, key: str) -> Column:
     if key == "salary":
         return salary_median(df)
@@ -219,9 +224,14 @@ def sort_value(df: DataFrame, key: str) -> Column:
     return F.nullif(F.lower(strip_ws(F.coalesce(raw, F.lit("")))), F.lit(""))
 
 
-def sort_columns(df: DataFrame, key: str, direction: str = "asc", tie: str | None = "job_id") -> list[Column]:
-    """Nulls (and blank text) last in both directions; explicit tie-break."""
+def sort_columns(df: DataFrame, key: str, direction: str = "asc", tie: str | None = "job_id",
+                 backwards: bool = False) -> list[Column]:
+    """Nulls (and blank text) last in both directions; explicit tie-break.
+    ``backwards``: the same order from its end."""
     v = sort_value(df, key)
+    if backwards:
+        cols = [v.desc_nulls_first() if direction == "asc" else v.asc_nulls_first()]
+        return cols + ([F.col(tie).desc()] if tie and tie in df.columns else [])
     cols = [v.asc_nulls_last() if direction == "asc" else v.desc_nulls_last()]
     if tie and tie in df.columns:
         cols.append(F.col(tie).asc())
@@ -239,14 +249,30 @@ def clamp_page(n_rows: int, page_no: int, per_page: int) -> int:
 
 def page(df: DataFrame, key: str, direction: str, page_no: int, per_page: int = 25,
          tie: str | None = "job_id", n_rows: int | None = None) -> DataFrame:
-    """Page ``page_no`` (clamped to the last page) of the sorted rows; planned as
-    TakeOrderedAndProject with an offset — no global sort is materialised."""
+    """Page ``page_no`` (clamped to the last page) of the sorted rows."""
     if per_page not in presets.PAGE_SIZES:
         raise ValueError(f"per_page must be one of {presets.PAGE_SIZES}")
     if n_rows is None:
         n_rows = df.count()
     p = clamp_page(n_rows, page_no, per_page)
-    return sort_jobs(df, key, direction, tie).offset((p - 1) * per_page).limit(per_page)
+    return sorted_rows(df, key, direction, (p - 1) * per_page, per_page, n_rows, tie)
+
+
+def sorted_rows(df: DataFrame, key: str, direction: str, start: int, n: int, n_rows: int,
+                tie: str | None = "job_id") -> DataFrame:
+    """Rows [start, start + n) of the sorted ``n_rows`` rows. Near either end: a
+    top-k (TakeOrderedAndProject) from that end, so a task keeps few rows. Further
+    in: distributed numbering of the order, and a filter on the numbers."""
+    n = max(0, min(n, n_rows - start))
+    after = n_rows - start - n
+    if start <= min(after, DEEP_ROWS):
+        return sort_jobs(df, key, direction, tie).offset(start).limit(n)
+    if after <= DEEP_ROWS:
+        tail = df.orderBy(*sort_columns(df, key, direction, tie, backwards=True)).offset(after).limit(n)
+        return sort_jobs(tail, key, direction, tie)
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    numbered, _ = number_rows(df, sort_columns(df, key, direction, tie), parts)
+    return numbered.filter(F.col("_idx").between(start, start + n - 1)).orderBy("_idx").drop("_idx")
 
 
 def new_matching(df: DataFrame, now: dt.datetime, hours: float = 24, k: int = presets.NEW_MATCHING_LIMIT,
@@ -261,7 +287,8 @@ def new_matching(df: DataFrame, now: dt.datetime, hours: float = 24, k: int = pr
 
 # ---------------------------------------------------------------- presets ---
 
-def preset(name: str, df: DataFrame | None = None, role=None) -> tuple[FilterSpec, tuple[str, str] | None]:
+def preset(name: str, df: DataFrame | None = None, role=None,
+           fresh_hours: float = 24) -> tuple[FilterSpec, tuple[str, str] | None]:
     """Quick presets: clear to defaults, set the named controls, maybe a sort.
     The preferred country applies only if some row carries it (one cheap probe)."""
     role = role or presets.ROLE_PRESET
@@ -273,7 +300,7 @@ def preset(name: str, df: DataFrame | None = None, role=None) -> tuple[FilterSpe
         return ""
 
     if name == "new-for-me":
-        return FilterSpec(role_preset=True, fresh_hours=24, hide_applied=True, country=preferred()), ("first_seen", "desc")
+        return FilterSpec(role_preset=True, fresh_hours=fresh_hours, hide_applied=True, country=preferred()), ("first_seen", "desc")
     if name == "my-roles":
         return FilterSpec(role_preset=True, country=preferred()), None
     if name == "remote":
@@ -289,4 +316,14 @@ def preset(name: str, df: DataFrame | None = None, role=None) -> tuple[FilterSpe
     raise KeyError(name)
 
 
+def preset_page(name: str, df: DataFrame, now: dt.datetime, status: DataFrame | None = None, page_no: int = 1,
+                per_page: int = 25, tie: str | None = "job_id", fresh_hours: float = 24) -> DataFrame:
+    """A page of what a preset shows, in the preset's order (without one: as ``tie`` orders)."""
+    spec, order = preset(name, df, fresh_hours=fresh_hours)
+    hits = search(df, spec, now, status=status)
+    if order:
+        return page(hits, *order, page_no, per_page, tie)
+    return hits.orderBy(tie).offset((clamp_page(hits.count(), page_no, per_page) - 1) * per_page).limit(per_page)
+
+
 PRESET_NAMES = ["new-for-me", "my-roles", "remote", "entry", "has-salary", "saved", "applied"]

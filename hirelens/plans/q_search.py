@@ -209,19 +209,30 @@ def q_search(spark, sf):
 
 # -- presets ---------------------------------------------------------------------
 def _preset(spark, sf, name):
+    """All that a preset without an order shows."""
     j = jobs(spark, sf)
-    spec, _sort = S.preset(name, j)
-    st = fx.status_table(spark, sf)
-    return S.search(j, spec, NOW, status=st).select(*OUT)
+    spec, order = S.preset(name, j)
+    assert order is None
+    return S.search(j, spec, NOW, status=fx.status_table(spark, sf)).select(*OUT)
+
+
+FRESH_HOURS = 120 * 24  # the stand-in postings arrive a few a day
+
+
+def _preset_page(spark, sf, name, *extra):
+    """The first page of a preset with an order."""
+    page = S.preset_page(name, jobs(spark, sf), NOW, fx.status_table(spark, sf), per_page=50, fresh_hours=FRESH_HOURS)
+    return page.select(*OUT, *extra)
 
 
 _BASE_PRESET = f"{W_ST}\nSELECT j.job_id, j.title, j.company_slug FROM jobs_c j LEFT JOIN status s ON j.url = s.url\nWHERE {NOT_RECR}"
 
 register("preset_new_for_me", f"""{_BASE_PRESET}
  AND coalesce(s.status, '') NOT IN ('applied', 'ignored') AND {g.role_match('title', 'skill_level')}
- AND first_seen IS NOT NULL AND {g.age_us('first_seen', NOW)} <= {24 * 3600000000.0}
- AND (country = 'US' OR NOT EXISTS (SELECT 1 FROM jobs WHERE country = 'US'))""")(
-    lambda spark, sf: _preset(spark, sf, "new-for-me"))
+ AND first_seen IS NOT NULL AND {g.age_us('first_seen', NOW)} <= {FRESH_HOURS * 3600000000.0}
+ AND (country = 'US' OR NOT EXISTS (SELECT 1 FROM jobs WHERE country = 'US'))
+ORDER BY first_seen DESC NULLS LAST, j.job_id LIMIT 50""".replace("j.company_slug FROM", "j.company_slug, j.first_seen FROM"))(
+    lambda spark, sf: _preset_page(spark, sf, "new-for-me", "first_seen"))
 register("preset_my_roles", f"""{_BASE_PRESET} AND {g.role_match('title', 'skill_level')}
  AND (country = 'US' OR NOT EXISTS (SELECT 1 FROM jobs WHERE country = 'US'))""")(
     lambda spark, sf: _preset(spark, sf, "my-roles"))
@@ -229,8 +240,9 @@ register("preset_remote", f"{_BASE_PRESET} AND contains(lower(coalesce(location,
     lambda spark, sf: _preset(spark, sf, "remote"))
 register("preset_entry", f"{_BASE_PRESET} AND lower(coalesce(skill_level, '')) = 'entry'")(
     lambda spark, sf: _preset(spark, sf, "entry"))
-register("preset_has_salary", f"{_BASE_PRESET} AND salary_median IS NOT NULL")(
-    lambda spark, sf: _preset(spark, sf, "has-salary"))
+register("preset_has_salary", f"""{_BASE_PRESET} AND salary_median IS NOT NULL
+ORDER BY salary_median DESC NULLS LAST, j.job_id LIMIT 50""".replace("j.company_slug FROM", "j.company_slug, j.salary_median FROM"))(
+    lambda spark, sf: _preset_page(spark, sf, "has-salary", "salary_median"))
 register("preset_saved", f"{_BASE_PRESET} AND coalesce(s.status, '') = 'saved'")(
     lambda spark, sf: _preset(spark, sf, "saved"))
 register("preset_applied", f"{_BASE_PRESET} AND coalesce(s.status, '') = 'applied'")(
@@ -248,11 +260,14 @@ def q_sort_salary(spark, sf):
     return S.page(jobs(spark, sf), "salary", "desc", 1, 100).select(*OUT, "salary_median")
 
 
-@register("sort_salary_asc_nulls", _sql_page("salary_median ASC NULLS LAST", 100, offset=11200,
-                                             cols="job_id, title, company_slug, salary_median"))
+@register("sort_salary_asc_nulls", f"""{W}
+SELECT job_id, title, company_slug, salary_median FROM jobs_c ORDER BY salary_median ASC NULLS LAST, job_id
+LIMIT 100 OFFSET (SELECT greatest(0, count(salary_median) - 50) FROM jobs_c)""")
 def q_sort_salary_asc(spark, sf):
-    # the tail of the ascending order: the last priced rows, then the NULLs
-    return S.sort_jobs(jobs(spark, sf), "salary", "asc").offset(11200).limit(100).select(*OUT, "salary_median")
+    """Around the end of the priced rows in ascending order: the last of them, then the first NULLs."""
+    j = jobs(spark, sf)
+    n = j.agg(F.count("salary_median").alias("priced"), F.count(F.lit(1)).alias("rows")).first()
+    return S.sorted_rows(j, "salary", "asc", max(0, n.priced - 50), 100, n["rows"]).select(*OUT, "salary_median")
 
 
 @register("sort_first_seen", _sql_page("first_seen DESC NULLS LAST", 50, cols="job_id, title, company_slug, first_seen"))

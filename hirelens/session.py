@@ -37,11 +37,15 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the session.
 
-    A cluster names it in ``spark.checkpoint.dir``; only when it is unset (tests,
-    local runs) do we point it at a fresh scratch folder.
+    A cluster names it in ``spark.checkpoint.dir``; only when it is unset and the
+    master is local (tests, local runs) do we point it at a fresh scratch folder:
+    executors on other machines could not share it.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="hirelens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():

@@ -20,7 +20,7 @@ cluster), with a checkpoint location per query so a restarted driver resumes.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -53,10 +53,21 @@ def current_snapshot(spark: SparkSession, snapshot_dir: str) -> str | None:
     return f"{snapshot_dir.rstrip('/')}/{name.strip()}" if name else None
 
 
-def start_merge_stream(source: DataFrame, snapshot_dir: str, checkpoint: str, now: dt.datetime,
+def newest(batch: DataFrame, ts: str = "scraped_at") -> dt.datetime:
+    """A batch's own clock: its latest timestamp (NTZ or instant, as UTC wall time); the epoch for an empty one."""
+    us = batch.agg(F.max(F.unix_micros(F.col(ts).cast("timestamp")))).first()[0]
+    return dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=us or 0)
+
+
+def start_merge_stream(source: DataFrame, snapshot_dir: str, checkpoint: str,
+                       now: dt.datetime | Callable[[DataFrame], dt.datetime] = newest,
                        key: str = "key", seq: str = "seq", scraped: str = "scraped_at",
-                       max_days: int = presets.RETENTION_DAYS, available_now: bool = True) -> StreamingQuery:
-    """Overlay every micro-batch onto the previous epoch's snapshot."""
+                       max_days: int = presets.RETENTION_DAYS, available_now: bool = True,
+                       keep: int = 3) -> StreamingQuery:
+    """Overlay every micro-batch onto the previous epoch's snapshot. ``now`` is the
+    retention clock: an instant, or a function of the batch that is asked for every
+    batch, so that retention moves on in a stream that keeps running. Snapshots
+    older than the ``keep`` newest are deleted."""
     snapshot_dir = snapshot_dir.rstrip("/")
 
     def merge_batch(batch: DataFrame, epoch: int) -> None:
@@ -66,9 +77,13 @@ def start_merge_stream(source: DataFrame, snapshot_dir: str, checkpoint: str, no
             existing = spark.read.parquet(f"{snapshot_dir}/epoch={prior[-1]}")
         else:
             existing = batch.limit(0).withColumn("first_seen", F.col(scraped))
-        merged, _ = M.merge(existing, batch, now, key, seq, scraped, max_days)
+        clock = now(batch) if callable(now) else now
+        merged, _ = M.merge(existing, batch, clock, key, seq, scraped, max_days)
         merged.write.mode("overwrite").parquet(f"{snapshot_dir}/epoch={epoch}")
         write_text(spark, f"{snapshot_dir}/current", f"epoch={epoch}")
+        fs, _ = _fs(spark, snapshot_dir)
+        for old in [*prior, epoch][:-keep]:  # a replayed batch needs the epoch before it only
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{snapshot_dir}/epoch={old}"), True)
 
     w = source.writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="6 hours")

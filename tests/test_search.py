@@ -80,3 +80,32 @@ def test_presets(spark):
     assert spec.has_salary and sort == ("salary", "desc") and spec.hide_recruiters
     spec, _ = S.preset("new-for-me", _jobs(spark))
     assert spec.country == "US" and spec.fresh_hours == 24 and spec.hide_applied
+
+
+def test_any_slice_of_the_order(spark, monkeypatch):
+    """From the front, from the end and by numbering: the same rows."""
+    import random
+
+    from hirelens.operators import search as S
+    rng = random.Random(1)
+    rows = [(i, rng.choice([None, "", "b", "a", " C ", f"x{i % 17}"])) for i in range(230)]
+    df = spark.createDataFrame(rows, "job_id long, title string")
+    for direction in ("asc", "desc"):
+        whole = [r.job_id for r in S.sort_jobs(df, "title", direction).collect()]
+        for deep in (10, 10**6):
+            monkeypatch.setattr(S, "DEEP_ROWS", deep)
+            for start, n in ((0, 25), (5, 1), (100, 25), (205, 25), (225, 25), (230, 25)):
+                got = [r.job_id for r in S.sorted_rows(df, "title", direction, start, n, len(rows)).collect()]
+                assert got == whole[start:start + n]
+
+
+def test_preset_page_keeps_its_order(spark):
+    import datetime as dt
+
+    from hirelens.operators import search as S
+    rows = [(i, "c", "c", "Cloud Engineer", "mid", "Lever", None, False, i * 7 % 50 or None, False) for i in range(40)]
+    df = spark.createDataFrame([(*r, f"u{r[0]}", "x", dt.datetime(2030, 1, 1)) for r in rows],
+                               "job_id long, company string, company_slug string, title string, skill_level string, ats string, country string, "
+                               "remote boolean, salary_median int, is_recruiter boolean, url string, location string, first_seen timestamp_ntz")
+    got = [r.salary_median for r in S.preset_page("has-salary", df, dt.datetime(2030, 1, 2), per_page=25).collect()]
+    assert got == sorted((r[8] for r in rows if r[8]), reverse=True)[:25]
