@@ -10,13 +10,13 @@ size check broadcasts it when small and AQE splits a hot location otherwise.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import presets as P
 from ..functions.geo import country_from_address, country_from_freetext, lit_map, loc_normalize, parse_locations
 from ..functions.text import strip_accents
-from ..session import cut_lineage
+from ..session import materialize
 
 
 def gazetteer_maps(gaz: DataFrame, pos: str = "pos") -> dict[str, DataFrame]:
@@ -27,18 +27,26 @@ def gazetteer_maps(gaz: DataFrame, pos: str = "pos") -> dict[str, DataFrame]:
                    F.nullif(F.col("country"), F.lit("")).alias("country"),
                    F.struct(F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng")).alias("xy"),
                    F.col(pos).alias("pos")).filter(F.col("city_n") != "")
+    g = materialize(g, "gazetteer")  # normalised once, whatever the number of lookups
 
     def first(df: DataFrame, keys: list[str], val: str = "xy") -> DataFrame:
         return df.groupBy(*keys).agg(F.min_by(F.col(val), F.col("pos")).alias(val))
 
     has_admin, has_country = F.col("admin_n") != "", F.col("country").isNotNull()
-    return {
+    maps = {
         "city_admin_country": first(g.filter(has_admin & has_country), ["city_n", "admin_n", "country"]),
         "city_country": first(g.filter(has_country), ["city_n", "country"]),
         "city_admin": first(g.filter(has_admin), ["city_n", "admin_n"]),
         "city": first(g, ["city_n"]),
         "city_to_country": first(g.filter(has_country), ["city_n"], "country"),
     }
+    return {name: materialize(m, name) for name, m in maps.items()}
+
+
+def per_distinct(df: DataFrame, col: str, **exprs: Column) -> DataFrame:
+    """Add expressions of one column, computed once for each distinct value of it."""
+    own = df.select(col).distinct().select(F.col(col).alias("_v"), *[e.alias(n) for n, e in exprs.items()])
+    return df.join(own, df[col].eqNullSafe(own["_v"]), "left").drop("_v")
 
 
 def _lk(df: DataFrame, m: DataFrame, on: dict, out: str, val: str = "xy") -> DataFrame:
@@ -65,11 +73,10 @@ def resolve_distinct(locs: DataFrame, maps: dict[str, DataFrame], col: str = "lo
     city = F.when(city0.isin(P.NYC_BOROUGHS) & (admin == "ny"), F.lit("new york city")).otherwise(city0)
     d = d.select("location", F.col("_p_remote").alias("remote"), city.alias("city"), admin.alias("admin"),
                  F.col("_p_country").alias("country0"))
-    # Materialise the parsed DISTINCT strings (reliable checkpoint in the shared
-    # checkpoint dir): bounded by distinct locations, it stops the optimizer from
+    # Materialise the parsed DISTINCT strings in the shared folder: bounded by distinct locations, it stops the optimizer from
     # pushing the join cascade back into the staged parse expressions, and gives
     # the joins below real size statistics.
-    d = cut_lineage(d)
+    d = materialize(d, "locations")
 
     d = _lk(d, maps["city_admin_country"], {"city_n": F.col("city"), "admin_n": F.col("admin"), "country": F.lit("US")}, "_us")
     d = _lk(d, maps["city_to_country"], {"city_n": F.col("city")}, "_known", "country")
@@ -120,6 +127,17 @@ def resolve_locations(df: DataFrame, maps: dict[str, DataFrame], col: str = "loc
     return out.withColumn("geo_remote", F.coalesce("geo_remote", F.lit(False)))
 
 
+def enrich_postings(postings: DataFrame, maps: dict[str, DataFrame], lookup: str = "lookup") -> DataFrame:
+    """Add ``remote``, ``lat``, ``lng``, ``country`` to normalised postings from their
+    ``lookup`` text (NULL: nothing to look up). A posting is remote if its platform
+    says so or its text does."""
+    res = resolve_distinct(postings.filter(F.col(lookup).isNotNull()), maps, lookup)
+    res = res.select(F.col("location").alias("_loc"), F.col("remote").alias("_remote"), "lat", "lng", "country")
+    out = postings.join(res, F.col(lookup) == F.col("_loc"), "left")
+    remote = F.coalesce("remote_flag", F.lit(False)) | F.coalesce("_remote", F.lit(False))
+    return out.withColumn("remote", remote).drop("_loc", "_remote")
+
+
 def backfill_country(df: DataFrame, maps: dict[str, DataFrame], force: bool = False, col: str = "location",
                      top: int = 12) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fill ``country`` where missing (all rows when ``force``) from one lookup

@@ -192,9 +192,25 @@ LOCATION_STRINGS = [
 ]
 
 
-def gazetteer(spark: SparkSession) -> DataFrame:
+# FIXED VALUES: second words of the towns that suppliers stand for.
+TOWN_WORDS = ["Harbour", "Saint Cross", "Mt. Ridge", "Nörd"]
+
+
+def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The special rows above, then a town for each supplier in its nation. Towns
+    repeat, so that the first row of a key has to win."""
     rows = [(c, a, k, la, ln, i) for i, (c, a, k, la, ln) in enumerate(GAZETTEER)]
-    return spark.createDataFrame(rows, "city string, admin string, country string, lat double, lng double, pos int")
+    special = spark.createDataFrame(rows, "city string, admin string, country string, lat double, lng double, pos long")
+    s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    key = F.col("s_suppkey").cast("long")
+    word = _case(key % 4, list(enumerate(TOWN_WORDS)))
+    towns = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.concat(F.initcap(F.lower("n_name")), F.lit(" "), word).alias("city"),
+        F.when(key % 5 == 0, "").otherwise(F.concat(F.lit("R"), (key % 3).cast("string"))).alias("admin"),
+        F.substring("n_name", 1, 2).alias("country"), ((key * 37 % 180) - 90).cast("double").alias("lat"),
+        ((key * 91 % 360) - 180).cast("double").alias("lng"), (key + len(GAZETTEER)).alias("pos"))
+    return special.unionByName(towns)
 
 
 def geo_postings(spark: SparkSession, sf_dir: str) -> DataFrame:

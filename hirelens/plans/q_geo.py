@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geo as FG
 from ..operators import geo as G
+from ..sources.gazetteer import read_gazetteer, write_gazetteer
+from ..sources.trends import new_snapshot_dir
 from . import fixtures as fx
 from . import sqlgen_geo as sg
 from .registry import register
@@ -14,20 +16,22 @@ from .registry import register
 WG = "WITH " + sg.geo_postings_cte()
 
 
-def _maps(spark):
-    return G.gazetteer_maps(fx.gazetteer(spark))
+def _maps(spark, sf):
+    return G.gazetteer_maps(fx.gazetteer(spark, sf))
 
 
 @register("loc_normalize", f"{WG}\nSELECT job_id, location, {sg.norm('location')} AS normalized FROM gp")
 def q_loc_normalize(spark, sf):
-    return fx.geo_postings(spark, sf).select("job_id", "location", FG.loc_normalize("location").alias("normalized"))
+    p = G.per_distinct(fx.geo_postings(spark, sf), "location", normalized=FG.loc_normalize("location"))
+    return p.select("job_id", "location", "normalized")
 
 
 @register("is_remote", f"""{WG}
 SELECT job_id, CASE WHEN {sg.norm('location')} IN ({', '.join(sg.q(g) for g in FG.P.GARBAGE_LOCATIONS)}) THEN false
  ELSE {sg.any_contains(sg.norm('location'), FG.P.REMOTE_KEYWORDS)} END AS is_remote FROM gp""")
 def q_is_remote(spark, sf):
-    return fx.geo_postings(spark, sf).select("job_id", FG.is_remote("location").alias("is_remote"))
+    p = G.per_distinct(fx.geo_postings(spark, sf), "location", is_remote=FG.is_remote("location"))
+    return p.select("job_id", "is_remote")
 
 
 @register("loc_parse", f"""{WG},
@@ -59,9 +63,9 @@ UNION ALL SELECT 'city_admin', city_n, admin_n, NULL, lat, lng FROM m_ca
 UNION ALL SELECT 'city', city_n, NULL, NULL, lat, lng FROM m_c
 UNION ALL SELECT 'city_to_country', city_n, NULL, country, NULL, NULL FROM m_c2c""")
 def q_gazetteer_maps(spark, sf):
-    """The lookup maps themselves (first row wins per key). The gazetteer is a
-    fixed reference table, the same at every scale."""
-    m = _maps(spark)
+    """The lookup maps themselves (first row wins per key), from gazetteer files."""
+    path = write_gazetteer(fx.gazetteer(spark, sf), new_snapshot_dir(spark, "gazetteer-files"), rows_per_file=40)
+    m = G.gazetteer_maps(read_gazetteer(spark, path))
     null = F.lit(None)
     out = [m["city_admin_country"].select(F.lit("city_admin_country").alias("map"), "city_n", "admin_n", "country", "xy.lat", "xy.lng"),
            m["city_country"].select(F.lit("city_country").alias("map"), "city_n", null.cast("string").alias("admin_n"), "country", "xy.lat", "xy.lng"),
@@ -80,7 +84,7 @@ def q_gazetteer_maps(spark, sf):
 SELECT g.job_id, g.location, coalesce(r.remote, false) AS geo_remote, r.lat AS geo_lat, r.lng AS geo_lng, r.country AS geo_country
 FROM gp g LEFT JOIN resolved r ON g.location IS NOT DISTINCT FROM r.location""")
 def q_geo_resolve(spark, sf):
-    r = G.resolve_locations(fx.geo_postings(spark, sf), _maps(spark))
+    r = G.resolve_locations(fx.geo_postings(spark, sf), _maps(spark, sf))
     return r.select("job_id", "location", "geo_remote", "geo_lat", "geo_lng", "geo_country")
 
 
@@ -93,7 +97,7 @@ bf AS (SELECT g.job_id, nullif(g.country, '') IS NOT NULL AS skip, r.country AS
 @register("country_backfill", f"""{_BF}
 SELECT job_id, CASE WHEN skip THEN old_c ELSE new_c END AS country FROM bf""")
 def q_country_backfill(spark, sf):
-    out, _, _ = G.backfill_country(fx.geo_postings(spark, sf), _maps(spark))
+    out, _, _ = G.backfill_country(fx.geo_postings(spark, sf), _maps(spark, sf))
     return out.select("job_id", "country")
 
 
@@ -103,11 +107,11 @@ SELECT count(*) AS total, CAST(count_if(NOT skip AND new_c IS NOT NULL) AS BIGIN
  count(DISTINCT CASE WHEN NOT skip THEN loc END) AS distinct_locations,
  round(count_if(NOT skip AND new_c IS NULL) / greatest(count(*), 1) * 100, 1) AS unresolved_pct FROM bf""")
 def q_country_backfill_report(spark, sf):
-    return G.backfill_country(fx.geo_postings(spark, sf), _maps(spark))[1]
+    return G.backfill_country(fx.geo_postings(spark, sf), _maps(spark, sf))[1]
 
 
 @register("country_backfill_top", f"""{_BF}
 SELECT country, count(*) AS n FROM (SELECT CASE WHEN skip THEN old_c ELSE new_c END AS country FROM bf
  WHERE skip OR new_c IS NOT NULL) t GROUP BY country ORDER BY n DESC, country LIMIT 12""")
 def q_country_backfill_top(spark, sf):
-    return G.backfill_country(fx.geo_postings(spark, sf), _maps(spark))[2]
+    return G.backfill_country(fx.geo_postings(spark, sf), _maps(spark, sf))[2]

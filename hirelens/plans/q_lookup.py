@@ -13,7 +13,7 @@ from ..operators import shortlist as SL
 from ..sources import companies as SC
 from ..sources import raw as R
 from ..sources import salary as SS
-from ..session import cut_lineage
+from ..session import materialize
 from ..sources.trends import new_snapshot_dir
 from . import fixtures as fx
 from . import raw_fixture as rf
@@ -32,15 +32,7 @@ est AS (SELECT platform, slug, CASE WHEN platform = 'BambooHR' AND status = 200
 per AS (SELECT ats AS platform, slug, count(*) AS jobs FROM nj GROUP BY 1, 2)"""
 
 
-def _run(spark, sf):
-    """This run: live companies, their responses, statuses and postings."""
-    comp = rf.companies(spark, sf)
-    live = Q.live_companies(comp, rf.known_dead(spark, sf))
-    # the fetch stage only sees live companies; materialise that once, since
-    # all seven normalisers read it
-    raw = cut_lineage(rf.raw_responses(spark, sf).join(live.select("platform", "slug"), ["platform", "slug"], "left_semi"))
-    jobs_ = R.normalize_all(raw, comp.select("slug", "name"))
-    return comp, live, raw, jobs_
+_run = rf.run_postings
 
 
 @register("live_companies", f"{WR}\nSELECT platform, slug FROM co WHERE NOT (c_acctbal < {rf.DEAD_BALANCE})")
@@ -201,7 +193,7 @@ LEFT JOIN fall f ON {_FK.replace('title', 'j.title').replace('skill_level', 'j.s
 def q_salary_enrich(spark, sf):
     # the classified postings feed three steps: materialise them once, as the
     # pipeline's persisted job table would be
-    postings = cut_lineage(jobs(spark, sf))
+    postings = materialize(jobs(spark, sf), "jobs")
     prim, fall = _salary_from_shards(spark, sf, postings)
     e = SA.enrich_salary(postings, prim.select("key", "p25", "median", "p75", "n"), fall)
     return e.select("job_id", "salary.p25", "salary.median", "salary.p75", "salary.n", "salary_source")

@@ -14,7 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import presets
-from ..session import cut_lineage, read_table
+from ..operators.geo import gazetteer_maps
+from ..operators.quality import live_companies
+from ..session import materialize, read_table
+from ..sources.raw import normalize_run
 from . import fixtures as fx
 
 PAGE_SIZE = 20
@@ -96,8 +99,10 @@ def _posting(platform: str) -> Column:
                         .otherwise(loc).alias("locationName"))
     if platform == "BambooHR":
         city, state = _city_state(loc)
-        return F.struct(okey.cast("string").alias("id"), title.alias("jobOpeningName"),
-                        F.struct(city.alias("city"), state.alias("state")).alias("location"))
+        own = [okey.cast("string").alias("id"), title.alias("jobOpeningName")]
+        whole = F.concat(loc, F.lit(" (main campus, north entrance, third floor)"))
+        return F.when(okey % 4 == 1, F.to_json(F.struct(*own, whole.alias("location")))) \
+            .otherwise(F.to_json(F.struct(*own, F.struct(city.alias("city"), state.alias("state")).alias("location"))))
     if platform == "Lever":
         return F.struct(title.alias("text"), F.concat(F.lit("https://jobs.lever.example/"), okey.cast("string"))
                         .alias("hostedUrl"), F.struct(loc.alias("location")).alias("categories"))
@@ -126,12 +131,14 @@ def _icims_url(slug: Column) -> Column:
                     F.coalesce(F.date_format("updated_at", "yyyy-MM-dd"), F.lit("")), F.lit("</lastmod></url>"))
 
 
-def raw_responses(spark: SparkSession, sf: str) -> DataFrame:
+def raw_responses(spark: SparkSession, sf: str, only: DataFrame | None = None) -> DataFrame:
     """(platform, slug, status, content_type, page, body, fetched_at): one
-    aggregation pass builds every platform's pages; the result is materialised
-    once (as a landed raw-response table would be) so each normaliser reads it
-    instead of re-deriving it."""
+    aggregation pass builds every platform's pages; the result is landed once,
+    a partition for each platform, so each normaliser reads its own partition.
+    ``only`` = companies(platform, slug) that are fetched at all."""
     comp = companies(spark, sf)
+    if only is not None:
+        comp = comp.join(only.select("platform", "slug"), ["platform", "slug"], "left_semi")
     jobs = _job_rows(spark, sf)
     base = comp.join(jobs, "c_custkey", "left")
     base = base.withColumn("page", F.coalesce("page", F.lit(0))).withColumn("n_jobs", F.coalesce("n_jobs", F.lit(0)))
@@ -139,7 +146,7 @@ def raw_responses(spark: SparkSession, sf: str) -> DataFrame:
     plat = F.col("platform")
     item = None
     for p in presets.PLATFORMS:
-        expr = _icims_url(F.col("slug")) if p == "iCIMS" else F.to_json(_posting(p))
+        expr = _icims_url(F.col("slug")) if p == "iCIMS" else _posting(p) if p == "BambooHR" else F.to_json(_posting(p))
         item = F.when(plat == p, expr) if item is None else item.when(plat == p, expr)
     g = base.groupBy("platform", "slug", "status", "content_type", "c_custkey", "page", "n_jobs").agg(
         F.array_join(F.collect_list(F.when(has, item)), ",").alias("items"),
@@ -168,4 +175,15 @@ def raw_responses(spark: SparkSession, sf: str) -> DataFrame:
         "platform", "slug", "status", "content_type", "page",
         F.when(ok, body).otherwise(F.lit("")).alias("body"),
         fx.ts_lit(fx.JOBS_NOW).alias("fetched_at"))
-    return cut_lineage(raw)
+    return materialize(raw, "raw", partition_by="platform")
+
+
+def run_postings(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """This run: tracked companies, live ones, their landed responses, and the postings
+    of these, normalised and written once."""
+    comp = companies(spark, sf)
+    live = live_companies(comp, known_dead(spark, sf))
+    raw = raw_responses(spark, sf, live)
+    maps = gazetteer_maps(fx.gazetteer(spark, sf))
+    postings = normalize_run(raw, maps, comp.select("slug", "name"), scraped_at=fx.ts_lit(fx.JOBS_NOW))
+    return comp, live, raw, materialize(postings, "postings")

@@ -135,7 +135,12 @@ parsed AS (
 def gazetteer_ctes() -> str:
     rows = ", ".join(f"({q(c)}, {q(a)}, {q(k)}, {la}, {ln}, {i})" for i, (c, a, k, la, ln) in enumerate(fx.GAZETTEER))
     agg = "arg_min(lat, pos) AS lat, arg_min(lng, pos) AS lng"
-    return f"""gz0 AS (SELECT * FROM (VALUES {rows}) t(city, admin, country, lat, lng, pos)),
+    words = _case("s_suppkey % 4", list(enumerate(fx.TOWN_WORDS)))
+    nation = "array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+    return f"""gz0 AS (SELECT * FROM (VALUES {rows}) t(city, admin, country, lat, lng, pos)
+ UNION ALL SELECT {nation} || ' ' || {words}, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE 'R' || (s_suppkey % 3) END, n_name[1:2],
+  (s_suppkey * 37 % 180) - 90, (s_suppkey * 91 % 360) - 180, s_suppkey + {len(fx.GAZETTEER)}
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 gz AS (SELECT {norm('city')} AS city_n, {norm('admin')} AS admin_n, nullif(country, '') AS country,
   CAST(lat AS DOUBLE) AS lat, CAST(lng AS DOUBLE) AS lng, pos FROM gz0),
 gz1 AS (SELECT * FROM gz WHERE city_n <> ''),

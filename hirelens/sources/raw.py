@@ -9,12 +9,13 @@ nothing is parsed on the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import presets
 from ..functions.classify import is_recruiter, relative_date, tier_of_score, tier_score
 from ..functions.text import blank_to_null, html_unescape, url_title
+from ..operators.geo import enrich_postings
 
 CUT = presets.LOCATION_CUT
 
@@ -22,7 +23,7 @@ SCHEMAS = {
     "Greenhouse": "jobs ARRAY<STRUCT<title: STRING, location: STRUCT<name: STRING>, absolute_url: STRING, "
                   "departments: ARRAY<STRUCT<name: STRING>>, id: BIGINT, updated_at: STRING>>",
     "Ashby": "data STRUCT<jobBoard: STRUCT<jobPostings: ARRAY<STRUCT<id: STRING, title: STRING, locationName: STRING>>>>",
-    "BambooHR": "result ARRAY<STRUCT<id: STRING, jobOpeningName: STRING, location: STRUCT<city: STRING, state: STRING>>>",
+    "BambooHR": "result ARRAY<STRUCT<id: STRING, jobOpeningName: STRING, location: STRING>>",
     "Lever": "ARRAY<STRUCT<text: STRING, hostedUrl: STRING, categories: STRUCT<location: STRING>>>",
     "Workday": "total BIGINT, jobPostings ARRAY<STRUCT<title: STRING, externalPath: STRING, locationsText: STRING, "
                "postedOn: STRING>>",
@@ -32,7 +33,7 @@ SCHEMAS = {
                  "PublishedDate: STRING, Description: STRING>>",
 }
 PAGEDATA = r"(?s)window\.pageData\s*=\s*(\{.*?\});\s*</script>"
-JOB_COLS = ["company", "company_slug", "title", "location", "url", "absolute_url", "departments", "id",
+JOB_COLS = ["company", "company_slug", "title", "location", "location_full", "lookup", "url", "absolute_url", "departments", "id",
             "updated_at", "remote_flag", "is_recruiter", "ats", "skill_level", "slug", "page"]
 
 
@@ -40,8 +41,11 @@ def _ok(raw: DataFrame, platform: str) -> DataFrame:
     return raw.filter((F.col("platform") == platform) & (F.col("status") == 200))
 
 
-def _cut(c: Column) -> Column:
-    return F.substring(c, 1, CUT)
+def _place(full: Column, cut: bool = True, look_up_full: bool = False) -> list[Column]:
+    """location (cut on some platforms), location_full (the whole text), lookup (what
+    the gazetteer is asked for)."""
+    shown = F.substring(full, 1, CUT) if cut else full
+    return [shown.alias("location"), full.alias("location_full"), (full if look_up_full else shown).alias("lookup")]
 
 
 def _finish(df: DataFrame, ats: str, recruiter_of: Column | None = None) -> DataFrame:
@@ -62,7 +66,7 @@ def normalize_greenhouse(raw: DataFrame) -> DataFrame:
     return _finish(j.select(
         "slug", "page", F.col("slug").alias("company"), F.col("slug").alias("company_slug"),
         F.col("j.title").alias("title"),
-        F.coalesce(F.col("j.location.name"), F.lit("Not specified")).alias("location"),
+        *_place(F.coalesce(F.col("j.location.name"), F.lit("Not specified")), cut=False),
         F.col("j.absolute_url").alias("url"), F.col("j.absolute_url").alias("absolute_url"),
         F.transform("j.departments", lambda d: d["name"]).alias("departments"),
         F.col("j.id").cast("string").alias("id"), F.col("j.updated_at").alias("updated_at")), "Greenhouse")
@@ -74,21 +78,24 @@ def normalize_ashby(raw: DataFrame) -> DataFrame:
     return _finish(j.select(
         "slug", "page", F.col("slug").alias("company"), F.col("slug").alias("company_slug"),
         F.coalesce(F.col("j.title"), F.lit("")).alias("title"),
-        _cut(F.coalesce(F.col("j.locationName"), F.lit("Not specified"))).alias("location"),
+        *_place(F.coalesce(F.col("j.locationName"), F.lit("Not specified"))),
         F.concat(F.lit("https://jobs.ashbyhq.com/"), F.col("slug"), F.lit("/"),
                  F.coalesce(F.col("j.id"), F.lit("None"))).alias("url")), "Ashby")
 
 
 def normalize_bamboohr(raw: DataFrame) -> DataFrame:
-    """A 200 reply that is not JSON counts as 404 (see ``effective_status``)."""
+    """A 200 reply that is not JSON counts as 404 (see ``effective_status``). A location
+    is an object of city and state, or plain text."""
     p = (_ok(raw, "BambooHR").filter(F.coalesce(F.col("content_type"), F.lit("")).contains("application/json"))
          .select("slug", "page", F.from_json("body", SCHEMAS["BambooHR"]).alias("b")))
     j = p.select("slug", "page", F.explode("b.result").alias("j"))
-    joined = F.concat_ws(", ", blank_to_null(F.col("j.location.city")), blank_to_null(F.col("j.location.state")))
-    loc = F.coalesce(blank_to_null(joined), F.lit("Not specified"))
+    place = F.from_json("j.location", "city STRING, state STRING")  # an object comes as its JSON text
+    joined = F.concat_ws(", ", blank_to_null(place["city"]), blank_to_null(place["state"]))
+    text = F.when(F.col("j.location").startswith("{"), joined).otherwise(F.col("j.location"))
+    loc = F.coalesce(blank_to_null(text), F.lit("Not specified"))
     return _finish(j.select(
         "slug", "page", F.col("slug").alias("company"), F.col("slug").alias("company_slug"),
-        F.col("j.jobOpeningName").alias("title"), _cut(loc).alias("location"),
+        F.col("j.jobOpeningName").alias("title"), *_place(loc, look_up_full=True),
         F.concat(F.lit("https://"), F.col("slug"), F.lit(".bamboohr.com/careers/"),
                  F.coalesce(F.col("j.id"), F.lit("None"))).alias("url")), "BambooHR")
 
@@ -99,23 +106,25 @@ def normalize_lever(raw: DataFrame) -> DataFrame:
     return _finish(j.select(
         "slug", "page", F.col("slug").alias("company"), F.col("slug").alias("company_slug"),
         F.col("j.text").alias("title"),
-        _cut(F.coalesce(F.col("j.categories.location"), F.lit("Not specified"))).alias("location"),
+        *_place(F.coalesce(F.col("j.categories.location"), F.lit("Not specified"))),
         F.col("j.hostedUrl").alias("url")), "Lever")
 
 
 def workday_pages(raw: DataFrame) -> DataFrame:
     """Pages of a Workday slug that the pager keeps: in page order, stop at the
     first page that failed, is empty, or reports a different total than the
-    first page. Slugs must be ``company|wdN|site``."""
+    first page. Slugs must be ``company|wdN|site``. Only (slug, page, status,
+    total, size) are grouped by slug; bodies meet the one cut page of their slug."""
     wd = raw.filter((F.col("platform") == "Workday") & (F.size(F.split("slug", r"\|")) == 3))
-    p = wd.withColumn("b", F.when(F.col("status") == 200, F.from_json("body", SCHEMAS["Workday"])))
-    per_slug = Window.partitionBy("slug")
-    first_total = F.min_by(F.col("b.total"), F.col("page")).over(per_slug)
-    bad = ((F.col("status") != 200) | F.col("b").isNull() | (F.coalesce(F.size("b.jobPostings"), F.lit(0)) <= 0)
-           | ~F.coalesce(F.col("b.total") == F.col("_first_total"), F.lit(False)))
-    p = p.withColumn("_first_total", first_total)
-    cut = F.min(F.when(bad, F.col("page"))).over(per_slug)
-    return p.withColumn("_cut", cut).filter(F.col("_cut").isNull() | (F.col("page") < F.col("_cut")))
+    body = F.from_json("body", SCHEMAS["Workday"])
+    pages = wd.select("slug", "page", "status", F.when(F.col("status") == 200, body).alias("b")).select(
+        "slug", "page", "status", F.col("b.total").alias("total"), F.coalesce(F.size("b.jobPostings"), F.lit(0)).alias("n"))
+    firsts = pages.groupBy("slug").agg(F.min_by("total", "page").alias("first_total"))
+    bad = ((F.col("status") != 200) | (F.col("n") <= 0)
+           | ~F.coalesce(F.col("total") == F.col("first_total"), F.lit(False)))
+    cut = pages.join(firsts, "slug").groupBy("slug").agg(F.min(F.when(bad, F.col("page"))).alias("_cut"))
+    kept = wd.join(cut, "slug").filter(F.col("_cut").isNull() | (F.col("page") < F.col("_cut")))
+    return kept.withColumn("b", body)
 
 
 def normalize_workday(raw: DataFrame) -> DataFrame:
@@ -129,7 +138,7 @@ def normalize_workday(raw: DataFrame) -> DataFrame:
     run_date = F.to_date("fetched_at")
     return _finish(j.select(
         "slug", "page", "company", F.col("slug").alias("company_slug"), F.col("j.title").alias("title"),
-        _cut(F.coalesce(blank_to_null(F.col("j.locationsText")), F.lit("Not specified"))).alias("location"),
+        *_place(F.coalesce(blank_to_null(F.col("j.locationsText")), F.lit("Not specified"))),
         F.concat(F.col("_base"), F.lit("/"), F.col("_site"), F.coalesce(F.col("j.externalPath"), F.lit("")))
         .alias("url"),
         F.date_format(relative_date(F.col("j.postedOn"), run_date), "yyyy-MM-dd").alias("updated_at")),
@@ -148,7 +157,7 @@ def normalize_icims(raw: DataFrame) -> DataFrame:
     t = t.withColumn("title", url_title("url")).filter(F.col("title").isNotNull())
     return _finish(t.select(
         "slug", "page", F.col("slug").alias("company"), F.col("slug").alias("company_slug"), "title",
-        F.lit("Not specified").alias("location"), "url", "updated_at",
+        F.lit("Not specified").alias("location"), F.lit("Not specified").alias("location_full"), "url", "updated_at",
         F.lit(False).alias("remote_flag")), "iCIMS")
 
 
@@ -182,7 +191,7 @@ def normalize_paylocity(raw: DataFrame, names: DataFrame | None = None) -> DataF
     out = j.select(
         "slug", "page", "company", F.col("slug").alias("company_slug"),
         html_unescape(F.coalesce(F.col("j.JobTitle"), F.lit(""))).alias("title"),
-        html_unescape(raw_loc).alias("location"), detail.alias("url"), detail.alias("absolute_url"),
+        *_place(html_unescape(raw_loc), cut=False), detail.alias("url"), detail.alias("absolute_url"),
         F.when(dept.isNotNull(), F.array(html_unescape(dept))).otherwise(F.array().cast("array<string>"))
         .alias("departments"),
         jid.cast("string").alias("id"), F.col("j.PublishedDate").alias("updated_at"),
@@ -213,10 +222,17 @@ def union_platforms(*dfs: DataFrame, scraped_at: Column, source: str = "automate
     return res.withColumn("scraped_at", scraped_at).withColumn("source", F.lit(source))
 
 
+def normalize_run(raw: DataFrame, maps: dict[str, DataFrame], names: DataFrame | None = None, *,
+                  scraped_at: Column, source: str = "automated") -> DataFrame:
+    """A run's responses -> one table of postings with remote flag, coordinates, country
+    and scrape metadata. Worth writing once: every statistic reads it."""
+    return enrich_postings(normalize_all(raw, names), maps).withColumn("scraped_at", scraped_at).withColumn("source", F.lit(source))
+
+
 def effective_status(raw: DataFrame) -> DataFrame:
     """Per fetched slug, the status the fetcher reports: BambooHR non-JSON 200s
-    count as 404; Workday reports its last kept page's status (a bad slug
-    format reports NULL); others their page-0 status."""
+    count as 404; a Workday slug of a bad format reports NULL; all others their
+    first page's status."""
     st = F.col("status")
     st = F.when((F.col("platform") == "BambooHR") & (st == 200)
                 & ~F.coalesce(F.col("content_type"), F.lit("")).contains("application/json"), F.lit(404)).otherwise(st)

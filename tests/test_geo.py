@@ -33,7 +33,7 @@ EXPECTED = {
 
 @pytest.fixture(scope="module")
 def resolved(spark):
-    maps = G.gazetteer_maps(fx.gazetteer(spark))
+    maps = G.gazetteer_maps(fx.gazetteer(spark, "/root/testdata/sf0.001"))
     locs = spark.createDataFrame([(s,) for s in EXPECTED], "location string")
     return {r["location"]: (r["remote"], r["lat"], r["country"]) for r in G.resolve_distinct(locs, maps).collect()}
 
@@ -44,13 +44,13 @@ def test_branch(resolved, loc):
 
 
 def test_first_row_wins(spark):
-    maps = G.gazetteer_maps(fx.gazetteer(spark))
+    maps = G.gazetteer_maps(fx.gazetteer(spark, "/root/testdata/sf0.001"))
     row = maps["city"].filter("city_n = 'houston'").collect()[0]
     assert row["xy"]["lat"] == 37.3265   # the Missouri row comes first in the file
 
 
 def test_backfill_only_fills_missing(spark):
-    maps = G.gazetteer_maps(fx.gazetteer(spark))
+    maps = G.gazetteer_maps(fx.gazetteer(spark, "/root/testdata/sf0.001"))
     df = spark.createDataFrame([(1, "London", None), (2, "London", "CA"), (3, "nowhere land", None)],
                                "job_id long, location string, country string")
     out, summary, top = G.backfill_country(df, maps)
