@@ -43,4 +43,4 @@ def load_all() -> None:
         importlib.import_module(f"{__package__}.{mod}")
 
 
-MODULES = ["q_search", "q_facets", "q_merge", "q_trends", "q_sources", "q_lookup", "q_geo", "q_text", "q_chunks", "q_stream"]
+MODULES = ["q_search", "q_facets", "q_merge", "q_trends", "q_sources", "q_lookup", "q_geo", "q_text", "q_chunks", "q_stream", "q_run"]

@@ -21,6 +21,8 @@ def read_companies(spark: SparkSession, path: str, kind: str = "flat") -> DataFr
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
+    # a file holds one array (possibly pretty-printed) or several, one a line
+    files = files.select(F.explode(F.split("value", r"\n(?=\[)")).alias("value"))
     if kind == "flat":
         rows = files.select(F.explode(F.from_json("value", "array<string>")).alias("slug"))
         return rows.filter(blank_to_null(F.col("slug")).isNotNull()) \

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,21 @@ def read_salary(spark: SparkSession, path: str) -> DataFrame:
                     F.element_at(parts, -2).alias("title"), F.element_at(parts, -1).alias("level"), "v.*")
 
 
+def read_salary_lookup(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """One file ``{"primary": {key: values}, "fallback": {key: values}}`` -> two lookup tables
+    (key, p25, median, p75, n); a missing file gives two empty ones."""
+    entries = f"map<string, {SALARY_VALUE}>"
+    try:
+        files = spark.read.format("text").option("wholetext", "true").load(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        empty = spark.createDataFrame([], "key string, p25 int, median int, p75 int, n int")
+        return empty, empty
+    b = files.select(F.from_json("value", f"primary {entries}, fallback {entries}").alias("b"))
+    return tuple(b.select(F.explode(f"b.{part}").alias("key", "v")).select("key", "v.*") for part in ("primary", "fallback"))
+
+
 def write_salary(table: DataFrame, path: str, keys_per_object: int = 50_000) -> str:
     """Write (key, p25, median, p75, n) as shard folders ``shard=<letter>`` of
     JSON objects. Keys are hash-bucketed so each object holds about

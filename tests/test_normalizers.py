@@ -71,3 +71,17 @@ def test_icims_sitemap_filters_and_titles(spark):
             "<url><loc>https://careers-z.icims.com/about</loc></url></urlset>")
     out = R.normalize_icims(_raw(spark, [("iCIMS", "z", 200, "text/xml", 0, body)])).collect()
     assert [(r["title"], r["updated_at"], r["skill_level"]) for r in out] == [("Senior Data Engineer", "2025-01-02", "senior")]
+
+
+def test_bamboohr_locations_of_both_shapes(spark):
+    import json
+
+    from hirelens.sources import raw as R
+    jobs = [{"id": "1", "jobOpeningName": "A", "location": {"city": "Ulm", "state": ""}}, {"id": "2", "jobOpeningName": "B", "location": "Plain place " + "x" * 60},
+            {"id": "3", "jobOpeningName": "C", "location": None}, {"id": "4", "jobOpeningName": "D", "location": ""}, {"id": "5", "jobOpeningName": "E"}]
+    raw = spark.createDataFrame([("BambooHR", "s", 200, "application/json", 0, json.dumps({"result": jobs}))],
+                                "platform string, slug string, status int, content_type string, page int, body string")
+    got = {r.title: (r.location, r.location_full, r.lookup) for r in R.normalize_bamboohr(raw).collect()}
+    whole = "Plain place " + "x" * 60
+    assert got["A"] == ("Ulm",) * 3 and got["B"] == (whole[:50], whole, whole)
+    assert got["C"] == got["D"] == got["E"] == ("Not specified",) * 3

@@ -81,3 +81,34 @@ def test_trend_log_torn_line_and_last_wins(spark, tmp_path):
     assert [(r["date"].day, r["total_jobs"]) for r in rows] == [(1, 9), (2, 2)]
     with pytest.raises(Exception):
         read_trends(spark, str(p), strict=True).collect()
+
+
+def test_word_boundaries_are_ascii(spark):
+    from hirelens.functions.text import word_match
+    rows = ["développeur", "veloppeur", "my_veloppeur", "c++ dev", "c++x", "ac++x"]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    assert [r[0] for r in df.select(word_match("t", "veloppeur")).collect()] == [True, True, False, False, False, False]
+    # after a sign, a boundary needs a word character, as in browsers
+    assert [r[0] for r in df.select(word_match("t", "c++")).collect()] == [False, False, False, False, True, False]
+
+
+def test_title_keeps_stray_percent_signs(spark):
+    from hirelens.functions.text import url_title
+    urls = {"https://x/jobs/1/sales%20rep-50%/job": "Sales Rep 50%", "https://x/jobs/1/a%2Fb-%zz/job": "A/B %Zz", "https://x/jobs/1/c+d": "C+D", "https://x/jobs/1": None}
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    assert [r[0] for r in df.select(url_title("u")).collect()] == list(urls.values())
+
+
+def test_health_of_a_silent_platform(spark):
+    import datetime as dt
+
+    from hirelens.operators import trends as TR
+    log = spark.createDataFrame([(dt.date(2030, 1, d), {"a": 100, "b": 10} if d < 4 else {"a": 40}) for d in range(1, 5)], "date date, by_platform map<string,bigint>")
+    got = {r.platform: (r.value, r.mean, r.note) for r in TR.platform_health(log, platforms=["a", "b", "c"]).where("date = '2030-01-04'").collect()}
+    assert got == {"a": (40, 100.0, "possible block"), "b": (None, 10.0, None), "c": (None, None, None)}
+
+
+def test_empty_facet(spark):
+    from hirelens.operators.facets import facet_country
+    df = spark.createDataFrame([], "country string, remote boolean")
+    assert [tuple(r) for r in facet_country(df).collect()] == [("__remote__", 0)]
