@@ -25,9 +25,7 @@ trusted documents held out of training (a language with under ``LEAST_HELD`` of
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -220,9 +218,9 @@ def packed(model: DataFrame) -> list[bytes]:
     return [bytes(r.rows) for r in model.select("n", "code", "p", "bow").mapInArrow(run, "rows binary").collect()]
 
 
-@lru_cache(1)
-def loaded(key: str, held: Broadcast) -> Model:
-    """The model of a broadcast, built once in each worker process."""
+def loaded(held: Broadcast) -> Model:
+    """The model of a broadcast. Built for each task (half a second) and not kept, so that
+    idle worker processes hold none."""
     rows = np.concatenate([np.frombuffer(b, ROW) for b in held.value])
     return Model(rows["n"].astype(np.int64), rows["code"].copy(), rows["p"].copy(), rows["bow"].copy())
 
@@ -234,10 +232,10 @@ def score(docs: DataFrame, model: DataFrame, most: int = BROADCAST_ROWS) -> Data
     if model.count() > most:
         return score_sharded(docs, model)
     small_batches(docs.sparkSession)
-    held, key = docs.sparkSession.sparkContext.broadcast(packed(model)), uuid.uuid4().hex
+    held = docs.sparkSession.sparkContext.broadcast(packed(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = loaded(key, held)
+        own = loaded(held)
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             n, nll = np.zeros(len(texts), np.int64), np.zeros(len(texts))

@@ -210,24 +210,21 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
             yield b.assign(cell=tree.cell(proj.points(stack(b["v"]))))
 
     placed = materialize(rows.mapInPandas(place, "id long, v array<double>, cell long"), "placed")
-    load = {r.cell: r.n for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # MAX_CELLS rows at most
-    parts = F.create_map(*[F.lit(x) for c in range(len(tree.low)) for x in (c, max(1, -(-load.get(c, 0) // (2 * CELL_ROWS))))])
-    points = placed.select("cell", F.pmod(F.xxhash64("id"), parts[F.col("cell")]).alias("part"), "id", "v")
-    split = {c: max(1, -(-n // (2 * CELL_ROWS))) for c, n in load.items()}
+    loads = placed.groupBy("cell").agg(F.ceil(F.count("*") / (2 * CELL_ROWS)).alias("parts"))  # MAX_CELLS rows at most
+    points = (placed.join(F.broadcast(loads), "cell")
+              .select("cell", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), "id", "v"))
     queries = placed.where(F.col("id") % every == 0)
 
     def meet(asked: DataFrame, label: str) -> DataFrame:
         """asked(id, v, cell, limit) searched in their cells -> id, found, ip."""
         asked = materialize(asked, "asked")
-        count = {r.cell: r.n for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-        if not count:
-            return spark.createDataFrame([], "query long, found long, ip double")
-        blocks = spark.createDataFrame([(c, p, b) for c, n in count.items() for p in range(split.get(c, 1)) for b in range(-(-n // QUERY_BLOCK))],
-                                       "cell long, part long, block long")
-        n_blocks = F.create_map(*[F.lit(x) for c, n in count.items() for x in (c, -(-n // QUERY_BLOCK))])
-        q = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), n_blocks[F.col("cell")]))
-        left = points.join(F.broadcast(blocks), ["cell", "part"])  # a row a task
-        right = q.join(F.broadcast(blocks), ["cell", "block"]).select("cell", "part", "block", "id", "v", "limit")
+        blocks = asked.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("blocks"))  # MAX_CELLS rows at most
+        # a task for each part of a cell and each block of the queries that come to it
+        left = (points.join(F.broadcast(blocks), "cell")
+                .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks"))
+        right = (asked.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")))
+                 .join(F.broadcast(loads), "cell")
+                 .select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "block", "id", "v", "limit"))
 
         def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if not len(a) or not len(b):

@@ -13,6 +13,7 @@ moves whole slots, never single documents.
 from __future__ import annotations
 
 import heapq
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -106,7 +107,7 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, map
     loads = slot_loads(rows).collect()  # one row a slot: n_slots at most
     size = {r["virtual_slot"]: r["bytes"] for r in loads}
     count = {r["virtual_slot"]: r["n"] for r in loads}
-    path = map_path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/slot-map-{spark.sparkContext.applicationId}-{id(docs)}"
+    path = map_path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/slot-map-{uuid.uuid4().hex}"
     write_map(spark, path, 1, assign(size, n_slots, n_shards), size)
     seen = dict.fromkeys(range(n_shards), 0)
     first = []
