@@ -10,6 +10,7 @@ from ..operators import geo as G
 from ..sources.gazetteer import read_gazetteer, write_gazetteer
 from ..sources.trends import new_snapshot_dir
 from . import fixtures as fx
+from . import raw_fixture as rf
 from . import sqlgen_geo as sg
 from .registry import register
 
@@ -17,7 +18,7 @@ WG = "WITH " + sg.geo_postings_cte()
 
 
 def _maps(spark, sf):
-    return G.gazetteer_maps(fx.gazetteer(spark, sf))
+    return rf.gazetteer(spark, sf)
 
 
 @register("loc_normalize", f"{WG}\nSELECT job_id, location, {sg.norm('location')} AS normalized FROM gp")

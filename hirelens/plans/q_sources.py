@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.geo import enrich_postings, gazetteer_maps
+from ..operators.geo import enrich_postings
 from ..sources import raw as R
 from . import fixtures as fx
 from . import raw_fixture as rf
@@ -23,11 +23,11 @@ def _out(df):
 
 
 def _raw(spark, sf):
-    return rf.raw_responses(spark, sf)
+    return rf.all_responses(spark, sf)
 
 
 def _maps(spark, sf):
-    return gazetteer_maps(fx.gazetteer(spark, sf))
+    return rf.gazetteer(spark, sf)
 
 
 def _names(spark, sf):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import presets
 from ..operators.geo import gazetteer_maps
 from ..operators.quality import live_companies
-from ..session import materialize, read_table
+from ..session import landed, materialize, read_table
 from ..sources.raw import normalize_run
 from . import fixtures as fx
 
@@ -131,6 +131,18 @@ def _icims_url(slug: Column) -> Column:
                     F.coalesce(F.date_format("updated_at", "yyyy-MM-dd"), F.lit("")), F.lit("</lastmod></url>"))
 
 
+INPUTS = ["orders", "customer", "nation", "supplier"]
+
+
+def gazetteer(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    return landed(spark, sf, "gazetteer", INPUTS, lambda: gazetteer_maps(fx.gazetteer(spark, sf)))
+
+
+def all_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """The landed responses of every tracked company."""
+    return landed(spark, sf, "raw", INPUTS, lambda: raw_responses(spark, sf))
+
+
 def raw_responses(spark: SparkSession, sf: str, only: DataFrame | None = None) -> DataFrame:
     """(platform, slug, status, content_type, page, body, fetched_at): one
     aggregation pass builds every platform's pages; the result is landed once,
@@ -180,10 +192,14 @@ def raw_responses(spark: SparkSession, sf: str, only: DataFrame | None = None) -
 
 def run_postings(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """This run: tracked companies, live ones, their landed responses, and the postings
-    of these, normalised and written once."""
+    of these, normalised and written once; all statistics read them."""
+    return landed(spark, sf, "run", INPUTS, lambda: _run(spark, sf))
+
+
+def _run(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     comp = companies(spark, sf)
     live = live_companies(comp, known_dead(spark, sf))
     raw = raw_responses(spark, sf, live)
-    maps = gazetteer_maps(fx.gazetteer(spark, sf))
+    maps = gazetteer(spark, sf)
     postings = normalize_run(raw, maps, comp.select("slug", "name"), scraped_at=fx.ts_lit(fx.JOBS_NOW))
     return comp, live, raw, materialize(postings, "postings")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,5 +70,23 @@ def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> D
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_LANDED: dict[tuple, object] = {}
+
+
+def landed(spark: SparkSession, sf_dir: str, name: str, tables: list[str], build: Callable[[], object]):
+    """What ``build`` has written for these input tables in this application: built at first
+    use, then read by every query that needs it. A changed input is another key."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    stamps = []
+    for t in tables:
+        p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{t}.parquet")
+        status = p.getFileSystem(conf).getFileStatus(p)
+        stamps.append((status.getModificationTime(), status.getLen()))
+    key = (spark.sparkContext.applicationId, sf_dir, name, tuple(stamps))
+    if key not in _LANDED:
+        _LANDED[key] = build()
+    return _LANDED[key]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
