@@ -70,16 +70,31 @@ def q_heatmap_jitter(spark, sf):
     return FA.heat_buckets(jobs(spark, sf), jitter=True)
 
 
+# companies of many initials, hexadecimal and all-digit names among them
+_INITIALS = "abcdefghijklmnopqrstuvwxyz0123456789éÅ"
+_NAMED = f"""named AS (SELECT * REPLACE (CASE WHEN job_id % 41 = 0 THEN CAST(job_id + 10000000 AS VARCHAR)
+  WHEN job_id % 43 = 0 THEN 'deadbeef' || (job_id % 10) ELSE '{_INITIALS}'[job_id % {len(_INITIALS)} + 1] || company END AS company) FROM jobs_c)"""
+
+
+def _named(spark, sf):
+    k = F.col("job_id")
+    initial = F.substring(F.lit(_INITIALS), (k % len(_INITIALS) + 1).cast("int"), F.lit(1))
+    return jobs(spark, sf).withColumn("company", F.when(k % 41 == 0, (k + 10_000_000).cast("string"))
+                                      .when(k % 43 == 0, F.concat(F.lit("deadbeef"), (k % 10).cast("string")))
+                                      .otherwise(F.concat(initial, "company")))
+
+
 @register("marker_sample", f"""{W},
+{_NAMED},
 c AS (SELECT lower(substr(company, 1, 1)) AS initial, job_id, company, title, lat, lng, salary_median,
   row_number() OVER (PARTITION BY lower(substr(company, 1, 1)) ORDER BY job_id) AS rn
-  FROM jobs_c WHERE lat IS NOT NULL AND lng IS NOT NULL AND company IS NOT NULL AND company <> ''
+  FROM named WHERE lat IS NOT NULL AND lng IS NOT NULL AND company IS NOT NULL AND company <> ''
   AND NOT regexp_matches(company, '^\\d+$') AND NOT regexp_matches(company, '^[a-f0-9]{{8,}}$', 'i')
   AND lat BETWEEN -90 AND 90 AND lng BETWEEN -180 AND 180)
 SELECT initial, job_id, company, title, lat, lng, salary_median, coalesce(salary_median <> 0, false) AS salaried
 FROM c WHERE rn = 1 ORDER BY job_id LIMIT {presets.MARKER_LIMIT}""")
 def q_marker_sample(spark, sf):
-    return FA.marker_sample(jobs(spark, sf), box=(-90, -180, 90, 180))
+    return FA.marker_sample(_named(spark, sf), box=(-90, -180, 90, 180))
 
 
 # -- label functions --------------------------------------------------------------

@@ -113,6 +113,6 @@ def q_country_backfill_report(spark, sf):
 
 @register("country_backfill_top", f"""{_BF}
 SELECT country, count(*) AS n FROM (SELECT CASE WHEN skip THEN old_c ELSE new_c END AS country FROM bf
- WHERE skip OR new_c IS NOT NULL) t GROUP BY country ORDER BY n DESC, country LIMIT 12""")
+ WHERE skip OR new_c IS NOT NULL) t GROUP BY country ORDER BY n DESC, country LIMIT 5""")
 def q_country_backfill_top(spark, sf):
-    return G.backfill_country(fx.geo_postings(spark, sf), _maps(spark, sf))[2]
+    return G.backfill_country(fx.geo_postings(spark, sf), _maps(spark, sf), top=5)[2]

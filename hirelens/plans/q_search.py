@@ -73,12 +73,19 @@ def q_clean_jobs(spark, sf):
     return kept.select("job_id", "title", "url", "company")
 
 
-@register("clean_reasons", f"""{W}
-SELECT reason, count(*) AS n FROM (SELECT {_CLEAN_SQL} AS reason FROM jobs_c) t
+@register("clean_reasons", f"""{W},
+torn AS (SELECT * REPLACE (CASE WHEN job_id % 17 = 0 THEN '' WHEN job_id % 17 <> 1 THEN url END AS url,
+  CASE WHEN job_id % 19 <> 0 THEN company END AS company, CASE WHEN job_id % 19 <> 0 THEN company_slug ELSE '' END AS company_slug) FROM jobs_c)
+SELECT reason, count(*) AS n FROM (SELECT {_CLEAN_SQL} AS reason FROM torn) t
 WHERE reason IS NOT NULL GROUP BY reason""")
 def q_clean_reasons(spark, sf):
-    _, reasons = clean_op.clean(jobs(spark, sf))
-    return reasons
+    """Postings with URLs or companies torn off, so that each reason occurs."""
+    k = F.col("job_id")
+    torn = jobs(spark, sf).withColumns({
+        "url": F.when(k % 17 == 0, "").when(k % 17 != 1, F.col("url")),
+        "company": F.when(k % 19 != 0, F.col("company")),
+        "company_slug": F.when(k % 19 != 0, F.col("company_slug")).otherwise("")})
+    return clean_op.clean(torn)[1]
 
 
 # -- single controls (recruiters shown unless the control is the recruiter one) --
