@@ -46,6 +46,11 @@ def id_text(col: str = "doc_id") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def id_hash(col: str = "doc_id") -> Column:
+    """64-bit hash of an id, also of a null one."""
+    return F.xxhash64(F.coalesce(F.col(col).cast("string"), F.lit("null")))
+
+
 def chunks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about ``limit`` characters; a longer text is a range of its own."""
     at, total = 0, 0

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import append_columns, chunks, materialize, run_starts, small_batches, with_fields
+from .common import append_columns, bit_filter, chunks, id_hash, materialize, may_hold, run_starts, small_batches, with_fields
 from .components import components
 
 SHINGLE = 3
@@ -45,6 +45,7 @@ PARTS, WIDTH = 4, 16
 #: What a probe costs beside a candidate, and a fingerprint's own one-bit variants.
 PROBE_COST = 0.05
 VARIANTS = 65
+FILTER_BITS = 1 << 23
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE) -> list[int]:
@@ -253,9 +254,22 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BI
 
 def deduplicate(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one document of each component: that with the smallest doc_id
-    (of rows repeating it, and of components with null ids only, any one)."""
-    marked = materialize(fingerprint(docs, "__fp", size), "simhash")
-    groups = group(marked.select("doc_id", F.col("__fp").alias("fp")), max_bits)
-    groups = groups.select(F.col("fp").alias("__fp"), F.col("component").alias("__component"), F.col("component_id").alias("__least"))
-    kept = marked.join(groups, "__fp").where(F.col("doc_id").eqNullSafe(F.col("__least")))
-    return kept.dropDuplicates(["__component"]).select(*docs.columns)
+    (of rows repeating it, and of components with null ids only, any one).
+
+    Fingerprints are decided on without the texts. Ids that go, and ids that are null or repeated, are set
+    in a bit filter; a text that it clears stays without a join, the others meet the exact sets. Rows whose id is null or
+    repeated are fingerprinted again and told apart by their component."""
+    fps = materialize(fingerprint(docs.select("doc_id", "text"), "fp", size).select("doc_id", "fp"), "simhash")
+    groups = group(fps, max_bits)
+    marked = fps.join(groups, "fp").groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("least"))
+    ids = materialize(marked.select(F.col("doc_id").alias("__id"), ((F.col("n") > 1) | F.col("doc_id").isNull()).alias("unclear"), "least")
+                      .where("unclear or not least"), "ids")
+    again = ids.where("unclear and least").select("__id")
+    same = F.col("doc_id").eqNullSafe(F.col("__id"))
+    suspect, unclear = (may_hold(bit_filter(x.select(id_hash("__id").alias("hash")), FILTER_BITS), id_hash("doc_id"), FILTER_BITS) for x in (ids, again))
+    kept = docs.where(~suspect).unionByName(docs.where(suspect).join(ids, same, "left_anti"))
+    told = groups.select(F.col("fp").alias("__fp"), F.col("component").alias("__component"), F.col("component_id").alias("__least"))
+    told = (fingerprint(docs.where(unclear).join(again, same, "left_semi"), "__fp", size)
+            .join(told, "__fp").where(F.col("doc_id").eqNullSafe(F.col("__least"))))
+    return kept.unionByName(told.dropDuplicates(["__component"]).select(*docs.columns))
