@@ -15,7 +15,8 @@ rows (25 bytes each) workers hold it whole; a larger one stays sharded by code:
 n-grams of the corpus are joined with the count shards order by order, and the documents' n-grams with these.
 
 A document is kept if its perplexity is at most the ``QUANTILE`` of its language, taken over
-trusted documents held out of training (a language with under ``LEAST_HELD`` of them uses that of all).
+trusted documents held out of training (a language with under ``LEAST_HELD`` of them uses that of all). For this, ``PRIOR_SYMBOLS``
+symbols of the language's mean are added to every document, so that very short texts neither set the limit nor fail it by chance.
 
 * Null and empty texts hold nothing to judge: perplexity null, not kept.
 * A null language is a language of its own. Null, repeated and contradictory labels: trusted
@@ -44,12 +45,14 @@ SYMBOLS = 1 << BITS
 HELD_ONE_IN = 5
 QUANTILE = 0.995
 LEAST_HELD = 40
+PRIOR_SYMBOLS = 50
 BIN = 1e-3  # thresholds are exact to this step of the mean log-probability
 BROADCAST_ROWS = 4_000_000
 ROW = np.dtype([("n", np.int8), ("code", np.int64), ("p", np.float64), ("bow", np.float64)])
 FILTER_BITS = 1 << 22
 SCORED_CHARS = 1_000_000  # a worker's arrays hold so many symbols at once
 HELD_GRAMS = 1_000_000
+LANGS = 10_000  # so many languages' thresholds are broadcast; beyond, they are joined by shuffle
 
 
 def symbols(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -286,48 +289,67 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
         F.col("doc_id").alias("__id"), held.alias("__held"))
 
 
-def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """scored(lang, __n, __nll) of held-out documents -> (lang, limit): mean negative
-    log-probability that the given share does not exceed, for each language, and for all under ``__all``."""
-    bins = scored.where("__n > 0").select("lang", F.ceil(F.col("__nll") / F.col("__n") / BIN).alias("bin"))
-    bins = bins.groupBy("lang", "bin").agg(F.count("*").alias("c"))
-    both = bins.withColumn("__all", F.lit(False)).union(
-        bins.groupBy("bin").agg(F.sum("c").alias("c")).select(F.lit(None).cast("string").alias("lang"), "bin", "c", F.lit(True).alias("__all")))
+def few(df: DataFrame) -> DataFrame:
+    """A table of a row a language, broadcast if it has at most ``LANGS`` rows."""
+    return F.broadcast(df) if df.count() <= LANGS else df
+
+
+def smoothed(prior: Column) -> Column:
+    """Mean negative log-probability of a document, with ``PRIOR_SYMBOLS`` symbols of its language's mean added:
+    a few words alone are too little to be out of the ordinary."""
+    return (F.col("__nll") + prior * PRIOR_SYMBOLS) / (F.col("__n") + PRIOR_SYMBOLS)
+
+
+def standards(held: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """held(lang, __n, __nll) of held-out documents -> (__all, lang, prior, limit): mean negative log-probability a
+    symbol, and the smoothed one of a document that the given share does not exceed, for each language
+    with enough documents, and for all of them (``__all``)."""
+    rows = held.where("__n > 0")
+    both = rows.withColumn("__all", F.lit(False)).union(
+        rows.select(F.lit(None).cast("string").alias("lang"), "__n", "__nll", F.lit(True).alias("__all")))
+    priors = both.groupBy("__all", "lang").agg((F.sum("__nll") / F.sum("__n")).alias("prior"), F.count("*").alias("docs"))
+    priors = materialize(priors.where(F.col("__all") | (F.col("docs") >= LEAST_HELD)), "priors")
+    p = priors.select(F.col("__all").alias("__a"), F.col("lang").alias("__lang"), "prior")
+    same = (F.col("__all") == F.col("__a")) & F.col("lang").eqNullSafe(F.col("__lang"))
+    bins = both.join(few(p), same).groupBy("__all", "lang", "prior", F.ceil(smoothed(F.col("prior")) / BIN).alias("bin")).agg(F.count("*").alias("c"))
     w = Window.partitionBy("__all", "lang")
     upto = F.sum("c").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = both.withColumn("upto", upto).withColumn("all", F.sum("c").over(w))
-    enough = ranked.where((F.col("upto") >= F.ceil(F.col("all") * quantile)) & (F.col("__all") | (F.col("all") >= LEAST_HELD)))
-    return enough.groupBy("__all", "lang").agg((F.min("bin") * BIN).alias("limit"))
+    ranked = bins.withColumn("upto", upto).withColumn("docs", F.sum("c").over(w))
+    return ranked.where(F.col("upto") >= F.ceil(F.col("docs") * quantile)).groupBy("__all", "lang", "prior").agg((F.min("bin") * BIN).alias("limit"))
+
+
+def labelled(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, text, lang of the documents with the ids (__id); a bit filter spares the join most other texts,
+    and the join shuffles at any size (labels grow with the corpus)."""
+    likely = bit_filter(ids.select(F.xxhash64("__id").alias("hash")), FILTER_BITS)
+    texts = docs.select("doc_id", "text", "lang").where(
+        may_hold(likely, F.xxhash64(F.col("doc_id").cast(ids.schema["__id"].dataType)), FILTER_BITS))
+    return texts.join(ids.hint("merge"), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "lang")
 
 
 def judged(docs: DataFrame, labels: DataFrame, carry: list[str], quantile: float = QUANTILE) -> DataFrame:
-    """The columns ``carry`` (doc_id and lang among them) of ``docs``, with __n, __mean, __limit and __keep."""
+    """The columns ``carry`` (doc_id and lang among them) of ``docs``, with __n, __mean, __smooth, __limit and __keep.
+    The model and the thresholds are learnt first; then one pass over all documents judges them where they are."""
     trusted = materialize(trusted_ids(labels), "trusted")
-    learnt_ids = trusted.where("not __held")
-    likely = bit_filter(learnt_ids.select(F.xxhash64("__id").alias("hash")), FILTER_BITS)  # spares the join most other texts
-    texts = docs.select("doc_id", "text").where(may_hold(likely, F.xxhash64(F.col("doc_id").cast(trusted.schema["__id"].dataType)), FILTER_BITS))
-    learnt = texts.join(learnt_ids, F.col("doc_id") == F.col("__id"))
-    scored = materialize(score(docs, train(learnt)).select(*carry, "__n", "__nll"), "scored")
-    held = scored.select("doc_id", "lang", "__n", "__nll").join(trusted.where("__held"), F.col("doc_id") == F.col("__id"))
-    limits = materialize(thresholds(held, quantile), "limits")
-    whole = limits.where("__all").select(F.col("limit").alias("__whole"))
-    own = limits.where("not __all").select(F.col("lang").alias("__lang"), F.col("limit").alias("__own"))
-    each = scored.select("lang").distinct().join(own, F.col("lang").eqNullSafe(F.col("__lang")), "left").select(
-        F.col("lang").alias("__lang"), "__own")
-    each = each.join(whole, F.lit(True), "left")  # one row at most on the right
-    limit = F.coalesce("__own", "__whole")
-    each = each.select("__lang", limit.alias("__limit"))
-    mean = F.when(F.col("__n") > 0, F.col("__nll") / F.col("__n"))
-    return (scored.join(each, F.col("lang").eqNullSafe(F.col("__lang"))).drop("__lang")
-            .withColumn("__mean", mean)
-            .withColumn("__keep", F.coalesce(F.col("__mean") <= F.coalesce("__limit", F.lit(float("inf"))), F.lit(False))))
+    model = train(labelled(docs, trusted.where("not __held")))
+    held = materialize(score(labelled(docs, trusted.where("__held")), model).select("lang", "__n", "__nll"), "held")
+    learnt = materialize(standards(held, quantile), "standards")
+    own = learnt.where("not __all").select(F.col("lang").alias("__lang"), F.col("prior").alias("__p"), F.col("limit").alias("__own"))
+    whole = learnt.where("__all").select(F.col("prior").alias("__q"), F.col("limit").alias("__whole"))  # one row at most
+    scored = score(docs, model).select(*carry, "__n", "__nll")
+    scored = scored.join(few(own), F.col("lang").eqNullSafe(F.col("__lang")), "left").drop("__lang")
+    scored = scored.join(F.broadcast(whole), F.lit(True), "left")
+    judged_by = F.when(F.col("__n") > 0, F.coalesce(smoothed(F.coalesce("__p", "__q")), F.lit(0.0)))
+    return (scored.withColumn("__limit", F.coalesce("__own", "__whole")).withColumn("__smooth", judged_by)
+            .withColumn("__mean", F.when(F.col("__n") > 0, F.col("__nll") / F.col("__n")))
+            .withColumn("__keep", F.coalesce(F.col("__smooth") <= F.coalesce("__limit", F.lit(float("inf"))), F.lit(False))))
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """doc_id, lang, n_symbols, perplexity, max_perplexity, keep of every document."""
+    """doc_id, lang, n_symbols, perplexity, smoothed_perplexity, max_perplexity (of the smoothed one), keep of every document."""
     rows = judged(docs.select("doc_id", "text", "lang"), labels, ["doc_id", "lang"], quantile)
     return rows.select("doc_id", "lang", F.col("__n").alias("n_symbols"), F.exp("__mean").alias("perplexity"),
-                       F.exp("__limit").alias("max_perplexity"), F.col("__keep").alias("keep"))
+                       F.exp("__smooth").alias("smoothed_perplexity"), F.exp("__limit").alias("max_perplexity"), F.col("__keep").alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:

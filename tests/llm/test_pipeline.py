@@ -46,19 +46,22 @@ def plain_quality(rows, labels):
     trusted = {i for i, q, _ in labels if q == 1}
     held = {i for i in trusted if zlib.crc32(str(i).encode()) % kneser_ney.HELD_ONE_IN == 0}
     p = plain_model([r[1] for r in rows if r[0] in trusted - held and r[1]], kneser_ney.ORDER)
-    mean = [plain_nll(p, r[1], kneser_ney.ORDER) / len(r[1]) if r[1] else None for r in rows]
+    nll = [plain_nll(p, r[1], kneser_ney.ORDER) if r[1] else None for r in rows]
+    smooth = lambda x, n, prior: (x + prior * kneser_ney.PRIOR_SYMBOLS) / (n + kneser_ney.PRIOR_SYMBOLS)
 
-    def limit(values):
-        bins = sorted(math.ceil(v / kneser_ney.BIN) for v in values)
-        return bins[math.ceil(len(bins) * kneser_ney.QUANTILE) - 1] * kneser_ney.BIN
+    def standard(texts):
+        prior = sum(x for x, _ in texts) / sum(n for _, n in texts)
+        bins = sorted(math.ceil(smooth(x, n, prior) / kneser_ney.BIN) for x, n in texts)
+        return prior, bins[math.ceil(len(bins) * kneser_ney.QUANTILE) - 1] * kneser_ney.BIN
 
     own = {}
-    for r, m in zip(rows, mean):
-        if r[0] in held and m is not None:
-            own.setdefault(r[2], []).append(m)
-    whole = limit([m for v in own.values() for m in v])
-    limits = {lang: limit(v) for lang, v in own.items() if len(v) >= kneser_ney.LEAST_HELD}
-    return [r for r, m in zip(rows, mean) if m is not None and m <= limits.get(r[2], whole)]
+    for r, x in zip(rows, nll):
+        if r[0] in held and x is not None:
+            own.setdefault(r[2], []).append((x, len(r[1])))
+    whole = standard([t for v in own.values() for t in v])
+    by = {lang: standard(v) for lang, v in own.items() if len(v) >= kneser_ney.LEAST_HELD}
+    judge = lambda r, x: (lambda s: smooth(x, len(r[1]), s[0]) <= s[1])(by.get(r[2], whole))
+    return [r for r, x in zip(rows, nll) if x is not None and judge(r, x)]
 
 
 def plain_pipeline(rows, labels, items):
@@ -73,7 +76,7 @@ def plain_pipeline(rows, labels, items):
     taken = {d: (t, n) for d, t, n in con.execute(f"SELECT doc_id, taken, size FROM ({apportion.oracle()})").fetchall()}
     mixed = []
     for r in rows:
-        key = hashlib.md5(f"{apportion.SEED}:{r[0]}:{r[1]}".encode()).hexdigest()
+        key = hashlib.md5(f"{apportion.SEED}:{r[0]}:{hashlib.md5(r[1].encode()).hexdigest()}".encode()).hexdigest()
         draw = int(hashlib.md5(f"round:{key}".encode()).hexdigest()[:8], 16) / 2**32
         t, n = taken[r[0]]
         mixed += [r] * math.floor(t / n + draw)
