@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -82,19 +83,44 @@ def places(h: Column, bits: int) -> list[Column]:
     return [F.pmod(h, F.lit(bits)), F.pmod(F.shiftright(h, 32), F.lit(bits))]
 
 
+def bit_words(hashes: DataFrame, bits: int) -> DataFrame:
+    """hashes(hash long) -> (w, v): the words of a set of ``bits`` bits, two bits set for each hash.
+    At most ``bits`` / 64 rows, for any input."""
+    return (hashes.select(F.explode(F.array(*places(F.col("hash"), bits))).alias("b"))
+            .groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("v")))
+
+
+def has_bit(word: Column, place: Column) -> Column:
+    return F.call_function("getbit", word, F.pmod(place, F.lit(64)).cast("int")) == 1
+
+
 def bit_filter(hashes: DataFrame, bits: int) -> Column:
-    """hashes(hash long) -> a constant array of ``bits`` / 64 longs, two bits set for each hash: of the
-    same size for any input. With ``may_hold`` it spares a join what surely has no partner."""
-    words = (hashes.select(F.explode(F.array(*places(F.col("hash"), bits))).alias("b"))
-             .groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("v")))
+    """The words as one constant array, for use inside array functions (``may_hold``). It is
+    part of the plan's text, so keep it small."""
     array = np.zeros(bits // 64, np.int64)
-    for r in words.collect():  # at most bits / 64 rows
+    for r in bit_words(hashes, bits).collect():  # at most bits / 64 rows
         array[r.w] = r.v
     return F.lit(array)
 
 
 def may_hold(held: Column, h: Column, bits: int) -> Column:
     """Whether the hash may be one of those of the filter (never false for one that is)."""
-    bit = lambda b: F.call_function("getbit", F.get(held, F.shiftright(b, 6).cast("int")), F.pmod(b, F.lit(64)).cast("int")) == 1
-    a, b = places(h, bits)
-    return bit(a) & bit(b)
+    return reduce(lambda a, b: a & b, (has_bit(F.get(held, F.shiftright(p, 6).cast("int")), p) for p in places(h, bits)))
+
+
+#: Bits of the filters on ids: 131,072 words of 16 bytes at most are broadcast.
+ID_BITS = 1 << 23
+
+
+def mark(df: DataFrame, col: str, ids: DataFrame, name: str, bits: int = ID_BITS) -> DataFrame:
+    """``df`` with a boolean column ``name``: whether its id ``col`` may be among ``ids`` (one column). A
+    set of bits of fixed size is broadcast, whatever the number of ids; an exact join is to follow for
+    the rows marked, the others need none."""
+    words = materialize(bit_words(ids.select(id_hash(ids.columns[0]).alias("hash")), bits), "bits")
+    found = F.lit(True)
+    for k, p in enumerate(places(id_hash(col), bits)):
+        w = words.select(F.col("w").alias(f"__w{k}"), F.col("v").alias(f"__v{k}"))
+        df = df.withColumn(f"__p{k}", p)
+        df = df.join(F.broadcast(w), F.shiftright(F.col(f"__p{k}"), 6) == F.col(f"__w{k}"), "left")  # bits / 64 rows at most
+        found = found & F.coalesce(has_bit(F.col(f"__v{k}"), F.col(f"__p{k}")), F.lit(False))
+    return df.withColumn(name, found).drop(*[f"__{x}{k}" for x in "pwv" for k in range(2)])

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
 
-from .common import append_columns, bit_filter, chunks, id_text, materialize, may_hold, run_starts, small_batches, with_fields
+from .common import append_columns, chunks, id_text, mark, materialize, run_starts, small_batches, with_fields
 
 ORDER = 5
 BITS = 12
@@ -49,7 +49,6 @@ PRIOR_SYMBOLS = 50
 BIN = 1e-3  # thresholds are exact to this step of the mean log-probability
 BROADCAST_ROWS = 4_000_000
 ROW = np.dtype([("n", np.int8), ("code", np.int64), ("p", np.float64), ("bow", np.float64)])
-FILTER_BITS = 1 << 22
 SCORED_CHARS = 1_000_000  # a worker's arrays hold so many symbols at once
 HELD_GRAMS = 1_000_000
 LANGS = 10_000  # so many languages' thresholds are broadcast; beyond, they are joined by shuffle
@@ -321,9 +320,7 @@ def standards(held: DataFrame, quantile: float = QUANTILE) -> DataFrame:
 def labelled(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id, text, lang of the documents with the ids (__id); a bit filter spares the join most other texts,
     and the join shuffles at any size (labels grow with the corpus)."""
-    likely = bit_filter(ids.select(F.xxhash64("__id").alias("hash")), FILTER_BITS)
-    texts = docs.select("doc_id", "text", "lang").where(
-        may_hold(likely, F.xxhash64(F.col("doc_id").cast(ids.schema["__id"].dataType)), FILTER_BITS))
+    texts = mark(docs.select("doc_id", "text", "lang"), "doc_id", ids.select("__id"), "__may").where("__may")
     return texts.join(ids.hint("merge"), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "lang")
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import append_columns, bit_filter, chunks, id_hash, materialize, may_hold, run_starts, small_batches, with_fields
+from .common import append_columns, chunks, mark, materialize, run_starts, small_batches, with_fields
 from .components import components
 
 SHINGLE = 3
@@ -45,7 +45,6 @@ PARTS, WIDTH = 4, 16
 #: What a probe costs beside a candidate, and a fingerprint's own one-bit variants.
 PROBE_COST = 0.05
 VARIANTS = 65
-FILTER_BITS = 1 << 23
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE) -> list[int]:
@@ -267,9 +266,10 @@ def deduplicate(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS)
                       .where("unclear or not least"), "ids")
     again = ids.where("unclear and least").select("__id")
     same = F.col("doc_id").eqNullSafe(F.col("__id"))
-    suspect, unclear = (may_hold(bit_filter(x.select(id_hash("__id").alias("hash")), FILTER_BITS), id_hash("doc_id"), FILTER_BITS) for x in (ids, again))
-    kept = docs.where(~suspect).unionByName(docs.where(suspect).join(ids, same, "left_anti"))
+    rows = mark(docs, "doc_id", ids.select("__id"), "__suspect")
+    kept = rows.where("not __suspect").unionByName(rows.where("__suspect").join(ids, same, "left_anti")).select(*docs.columns)
+    unclear = mark(docs, "doc_id", again, "__unclear").where("__unclear").select(*docs.columns)
     told = groups.select(F.col("fp").alias("__fp"), F.col("component").alias("__component"), F.col("component_id").alias("__least"))
-    told = (fingerprint(docs.where(unclear).join(again, same, "left_semi"), "__fp", size)
+    told = (fingerprint(unclear.join(again, same, "left_semi"), "__fp", size)
             .join(told, "__fp").where(F.col("doc_id").eqNullSafe(F.col("__least"))))
     return kept.unionByName(told.dropDuplicates(["__component"]).select(*docs.columns))

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, id_hash, materialize, may_hold, text_of
+from .common import bit_filter, mark, materialize, may_hold, text_of
 
 WINDOW = 8  # a power of two
 LITERALS = 3
@@ -134,6 +134,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVE
     """The documents in which no benchmark item was found, as they came. Only texts that a bit filter
     of the contaminated ids does not clear are shuffled to the exact join."""
     bad = materialize(contaminated(docs, benchmark, cover).select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
-    suspect = may_hold(bit_filter(bad.select(id_hash("__bad").alias("hash")), FILTER_BITS), id_hash(), FILTER_BITS)
-    cleared = docs.where(suspect).join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
-    return docs.where(~suspect).unionByName(cleared)
+    rows = mark(docs, "doc_id", bad, "__suspect")
+    cleared = rows.where("__suspect").join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    return rows.where("not __suspect").unionByName(cleared).select(*docs.columns)
