@@ -4,8 +4,11 @@ Text becomes a sequence of words and numbers. Numbers, units and names (capitali
 all their letters are capitals, and whatever begins a sentence) become typed placeholders, so a question whose numbers, units
 and names were exchanged keeps its template. Windows of ``WINDOW`` template words are hashed and
 hash-joined between benchmark and documents. Matches on one alignment (document position
-minus item position) are taken together and their slots compared: an item's value must stand
-for one and the same document value wherever it occurs, which chance matches of a template don't.
+minus item position) are taken together and their slots compared: an item's name or unit should stand
+for one and the same document value wherever it occurs, which in chance matches of a template it doesn't.
+A slot is odd if its document value is neither the item's own nor that of most places of the item's value;
+numbers (equal ones may be unequal anew) and sentence openers are never odd. Unless most slots of an
+alignment are consistent, its windows that cover an odd slot are dropped.
 
 A document is contaminated by an item if windows on consistent alignments cover at least ``COVER`` of
 the item's windows. Before the join, document windows are tested against a fixed-size bit set of the
@@ -96,35 +99,63 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return rows.select("item_id", "item", "windows", "words", "x.i", "x.hash").withColumn("slots", F.slice("words", F.col("i") + 1, WINDOW)).drop("words")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, item, windows (of the item), matched (its windows met on consistent alignments), first, last (word positions)."""
+ALIGNMENT = ["doc_id", "item_id", "item", "shift"]
+
+
+def odd_alignments(pairs: DataFrame) -> DataFrame:
+    """x_doc_id, x_item_id, x_item, x_shift: alignments in which an item's value stands for two document values anywhere."""
+    # values of the item against those of the document, over all placeholders of an alignment
+    slot = F.filter(F.arrays_zip(F.transform("slots", lambda w, k: F.struct(value(w).alias("v"), template(w, F.col("i") + k).alias("t"))).alias("s"),
+                                 F.transform("own", value).alias("o")), lambda x: x["s"]["t"].isin("@", "#", "~"))
+    values = pairs.select(*ALIGNMENT, F.explode(slot).alias("x")).select(*ALIGNMENT, F.col("x.s").alias("s"), F.col("x.o").alias("o"))
+    return (values.groupBy(*ALIGNMENT, "s").agg(F.min("o").alias("a"), F.max("o").alias("b")).where("a <> b")
+            .select(*(F.col(c).alias("x_" + c) for c in ALIGNMENT)).distinct())
+
+
+def odd_slots(pairs: DataFrame) -> DataFrame:
+    """x_doc_id, x_item_id, x_item, x_shift, odd (item positions): the odd slots of alignments of which not most slots are consistent."""
+    slot = F.filter(F.transform("slots", lambda w, k: F.struct((F.col("i") + k).alias("at"), value(w).alias("v"), template(w, F.col("i") + k).alias("t"),
+                                                               value(F.get("own", k)).alias("o"), is_start(w).alias("opens"))),
+                    lambda x: x["t"].isin("@", "~") & ~x["opens"] & (x["at"] > 0))
+    values = pairs.select(*ALIGNMENT, F.explode(slot).alias("x")).select(*ALIGNMENT, "x.v", "x.t", "x.at", "x.o")
+    # an array holds the places of one value in one item
+    places = values.groupBy(*ALIGNMENT, "v", "t").agg(F.collect_set(F.struct("at", "o")).alias("xs"))
+    odd = F.filter("xs", lambda x: (x["o"] != F.col("v")) & (F.size(F.filter("xs", lambda y: y["o"] == x["o"])) * 2 <= F.size("xs")))
+    judged = places.select(*ALIGNMENT, F.size("xs").alias("slots"), F.transform(odd, lambda x: x["at"]).alias("odd"))
+    judged = judged.groupBy(*ALIGNMENT).agg(F.sum("slots").alias("slots"), F.flatten(F.collect_list("odd")).alias("odd"))
+    return judged.where((F.size("odd") > 0) & (F.size("odd") * 2 >= F.col("slots"))).select(*(F.col(c).alias("x_" + c) for c in ALIGNMENT), "odd")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, veto: bool = True) -> DataFrame:
+    """doc_id, item_id, item, windows (of the item), matched (its windows met on consistent alignments), first, last (word positions).
+
+    ``veto``: one value that stands for two drops its whole alignment, numbers and sentence openers included. Without it,
+    windows that cover odd slots are dropped, as above; that finds all that the veto lets through, and more."""
     items = materialize(item_windows(benchmark), "items")
     likely = bit_filter(items.select("hash"), FILTER_BITS)
     found = F.filter(F.transform("hashes", lambda h, p: F.struct(h.alias("hash"), p.alias("p"))), lambda x: x["hash"].isNotNull() & may_hold(likely, x["hash"], FILTER_BITS))
     # exploding the expression, not a column of it: for a column Spark would infer a filter and compute it twice
     rows = windows(docs.select("doc_id", "text")).select("doc_id", "words", F.explode(found).alias("f"))
     rows = rows.select("doc_id", F.col("f.hash").alias("hash"), F.col("f.p").alias("p"), F.slice("words", F.col("f.p") + 1, WINDOW).alias("own"))
-    pairs = materialize(rows.join(items, "hash").select("doc_id", "item_id", "item", "windows", "i", "p", "slots", "own"), "matches")
-    key = ["doc_id", "item_id", "item", F.expr("p - i").alias("shift")]
-    # values of the item against those of the document, over all placeholders of an alignment
-    slot = F.filter(F.arrays_zip(F.transform("slots", lambda w, k: F.struct(value(w).alias("v"), template(w, F.col("i") + k).alias("t"))).alias("s"),
-                                 F.transform("own", value).alias("o")), lambda x: x["s"]["t"].isin("@", "#", "~"))
-    values = pairs.select(*key, F.explode(slot).alias("x")).select("doc_id", "item_id", "item", "shift", F.col("x.s").alias("s"), F.col("x.o").alias("o"))
-    odd = (values.groupBy("doc_id", "item_id", "item", "shift", "s").agg(F.min("o").alias("a"), F.max("o").alias("b")).where("a <> b")
-           .select(*(F.col(c).alias("x_" + c) for c in ("doc_id", "item_id", "item", "shift"))).distinct())
-    aligned = pairs.select("doc_id", "item_id", "item", "windows", F.expr("p - i").alias("shift"), "i", "p")
+    pairs = rows.join(items, "hash").select("doc_id", "item_id", "item", "windows", "i", "p", F.expr("p - i").alias("shift"), "slots", "own")
+    pairs = materialize(pairs, "matches")
+    aligned = pairs.select(*ALIGNMENT, "windows", "i", "p")
     same = F.lit(True)
-    for c in ("doc_id", "item_id", "item", "shift"):
+    for c in ALIGNMENT:
         same = same & F.col(c).eqNullSafe(F.col("x_" + c))
-    consistent = aligned.join(odd, same, "left_anti")
+    if veto:
+        consistent = aligned.join(odd_alignments(pairs), same, "left_anti")
+    else:
+        covered = F.exists("odd", lambda q: (q >= F.col("i")) & (q < F.col("i") + WINDOW))
+        consistent = aligned.join(odd_slots(pairs), same, "left").where(~F.coalesce(covered, F.lit(False)))
     return consistent.groupBy("doc_id", "item_id", "item", "windows").agg(
         F.count_distinct("i").alias("matched"), F.min("p").alias("first"), F.max(F.col("p") + WINDOW).alias("last"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, veto: bool = True) -> DataFrame:
     """One row for each document and benchmark item found in it:
     doc_id, item_id, windows (of the item), matched, coverage, first_word, end_word."""
-    found = matches(docs, benchmark).withColumn("coverage", F.col("matched") / F.col("windows"))
+    found = matches(docs, benchmark, veto).withColumn("coverage", F.col("matched") / F.col("windows"))
     return found.where(F.col("coverage") >= cover).select(
         "doc_id", "item_id", F.col("windows").cast("long").alias("windows"), "matched", "coverage",
         F.col("first").cast("long").alias("first_word"), F.col("last").cast("long").alias("end_word"))
@@ -133,7 +164,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) ->
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
     """The documents in which no benchmark item was found, as they came. Only texts that a bit filter
     of the contaminated ids does not clear are shuffled to the exact join."""
-    bad = materialize(contaminated(docs, benchmark, cover).select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
+    bad = materialize(contaminated(docs, benchmark, cover, veto=False).select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
     rows = mark(docs, "doc_id", bad, "__suspect")
     cleared = rows.where("__suspect").join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
     return rows.where("not __suspect").unionByName(cleared).select(*docs.columns)

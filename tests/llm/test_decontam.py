@@ -105,6 +105,23 @@ def test_matches_brute_force(spark):
     assert got(D.contaminated(spark.createDataFrame([(d, t, None, None, None) for d, t in rows], DOCS), spark.createDataFrame(items, ITEMS))) == want
 
 
+SHEEP = ("A farmer keeps 5 sheep in the barn behind the house and also 5 goats on the hill near the river, "
+         "so how many animals does the farmer feed each day?")
+OPENERS = ("The baker sells bread at the old market. The miller brings flour to the bakery each morning. "
+           "The children carry water from the well to the kitchen.")
+EDITED = "We know that Carla paints a fence while the neighbour of Carla waters the roses."
+
+
+def test_one_odd_slot_vetoes_no_copy(spark):
+    rows = [(1, SHEEP.replace("5 sheep", "7 sheep").replace("5 goats", "9 goats")), (2, "Its".join(OPENERS.rsplit("The", 1))),
+            (3, EDITED.replace("of Carla", "of Berta")), (4, TORN)]
+    items = [(20, SHEEP), (21, OPENERS), (22, EDITED), (10, QUESTION)]
+    docs, bench = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS), spark.createDataFrame(items, ITEMS)
+    found = {(r.doc_id, r.item_id): r.coverage for r in D.contaminated(docs, bench, veto=False).collect()}
+    assert found == {(1, 20): 1, (2, 21): 1, (3, 22): 0.5}  # the last without the windows that hold Berta
+    assert {r.doc_id for r in D.drop_contaminated(docs, bench).collect()} == {4}
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, QUESTION, None, None, None)], DOCS), spark.createDataFrame([(1, QUESTION)], ITEMS)
     assert D.contaminated(docs.limit(0), items).count() == 0
