@@ -45,7 +45,7 @@ def op4_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_template_decontamination")
 def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return template_decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), veto=False)
+    return template_decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), veto=False, run=template_decontam.RUN)
 
 
 @query("op10_secret_battery")

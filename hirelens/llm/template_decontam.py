@@ -11,7 +11,7 @@ numbers (equal ones may be unequal anew) and sentence openers are never odd. Unl
 alignment are consistent, its windows that cover an odd slot are dropped.
 
 A document is contaminated by an item if windows on consistent alignments cover at least ``COVER`` of
-the item's windows. Before the join, document windows are tested against a fixed-size bit set of the
+the item's windows, or an unbroken run of them on one alignment spans ``RUN`` words, however long the item. Before the join, document windows are tested against a fixed-size bit set of the
 benchmark's window hashes, so that only likely matches are shuffled; the join is exact.
 
 * In text all in capitals names can't be told, so there only items (or windows) without names are found.
@@ -31,6 +31,7 @@ from .common import bit_filter, mark, materialize, may_hold, text_of
 WINDOW = 8  # a power of two
 LITERALS = 3
 COVER = 0.5
+RUN = 16  # words
 FILTER_BITS = 1 << 20
 
 # Units of measure, money and time that become the placeholder for units.
@@ -42,6 +43,11 @@ UNITS = ["mm", "cm", "m", "km", "in", "inch", "inches", "ft", "foot", "feet", "y
          "$", "€", "£", "%", "dollar", "dollars", "cent", "cents", "euro", "euros", "percent",
          "km/h", "mph", "°"]
 
+# Number words, which become the placeholder for numbers.
+NUMBERS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen",
+           "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty",
+           "seventy", "eighty", "ninety", "hundred", "thousand", "million", "billion", "dozen"]
+
 #: A word, number or sign; the end of the sentence before it comes along.
 TOKEN = r"(?:[.!?]\s+)?(?:\p{L}[\p{L}\p{M}'/]*|\p{N}+(?:[.,]\p{N}+)*|[$€£%°])"
 
@@ -63,7 +69,7 @@ def template(token: Column, at: Column) -> Column:
     """The word, or # for a number, ~ for a unit, @ for a name or the beginning of a sentence."""
     first = F.substring(token, 1, 1)
     return (F.when((at == 0) | is_start(token), "@")
-            .when(first.between("0", "9"), "#")
+            .when(first.between("0", "9") | F.lower(token).isin(NUMBERS), "#")
             .when(F.lower(token).isin(UNITS), "~")
             .when((first != F.lower(first)) & (token != F.upper(token)), "@")
             .when(token.rlike(r"^\p{N}"), "#")
@@ -126,8 +132,20 @@ def odd_slots(pairs: DataFrame) -> DataFrame:
     return judged.where((F.size("odd") > 0) & (F.size("odd") * 2 >= F.col("slots"))).select(*(F.col(c).alias("x_" + c) for c in ALIGNMENT), "odd")
 
 
+def longest_run(at: Column) -> Column:
+    """Words of the longest run that windows at the sorted positions span without a gap."""
+    start = F.struct(F.lit(-WINDOW - 1).alias("last"), F.lit(0).alias("from"), F.lit(0).alias("best"))
+
+    def step(acc: Column, i: Column) -> Column:
+        begin = F.when(i > acc["last"] + WINDOW, i).otherwise(acc["from"])
+        return F.struct(i.alias("last"), begin.alias("from"), F.greatest(acc["best"], i + WINDOW - begin).alias("best"))
+
+    return F.aggregate(at, start, step, lambda acc: acc["best"])
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, veto: bool = True) -> DataFrame:
-    """doc_id, item_id, item, windows (of the item), matched (its windows met on consistent alignments), first, last (word positions).
+    """doc_id, item_id, item, windows (of the item), matched (its windows met on consistent alignments), run (words of
+    the longest unbroken run of these on one alignment), first, last (word positions).
 
     ``veto``: one value that stands for two drops its whole alignment, numbers and sentence openers included. Without it,
     windows that cover odd slots are dropped, as above; that finds all that the veto lets through, and more."""
@@ -148,15 +166,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, veto: bool = True) -> DataFra
     else:
         covered = F.exists("odd", lambda q: (q >= F.col("i")) & (q < F.col("i") + WINDOW))
         consistent = aligned.join(odd_slots(pairs), same, "left").where(~F.coalesce(covered, F.lit(False)))
-    return consistent.groupBy("doc_id", "item_id", "item", "windows").agg(
-        F.count_distinct("i").alias("matched"), F.min("p").alias("first"), F.max(F.col("p") + WINDOW).alias("last"))
+    # an array holds positions in one item
+    runs = consistent.groupBy(*ALIGNMENT, "windows").agg(F.array_sort(F.collect_set("i")).alias("at"))
+    runs = runs.select("doc_id", "item_id", "item", "windows", "shift", longest_run(F.col("at")).alias("run"), F.explode("at").alias("i"))
+    return runs.groupBy("doc_id", "item_id", "item", "windows").agg(
+        F.count_distinct("i").alias("matched"), F.max("run").alias("run"),
+        F.min(F.col("i") + F.col("shift")).alias("first"), F.max(F.col("i") + F.col("shift") + WINDOW).alias("last"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, veto: bool = True) -> DataFrame:
-    """One row for each document and benchmark item found in it:
+def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, veto: bool = True, run: int = 0) -> DataFrame:
+    """One row for each document and benchmark item found in it, by coverage or by a run of ``run`` words (0: by coverage alone):
     doc_id, item_id, windows (of the item), matched, coverage, first_word, end_word."""
     found = matches(docs, benchmark, veto).withColumn("coverage", F.col("matched") / F.col("windows"))
-    return found.where(F.col("coverage") >= cover).select(
+    long_run = F.lit(run > 0) & (F.col("run") >= run)
+    return found.where((F.col("coverage") >= cover) | long_run).select(
         "doc_id", "item_id", F.col("windows").cast("long").alias("windows"), "matched", "coverage",
         F.col("first").cast("long").alias("first_word"), F.col("last").cast("long").alias("end_word"))
 
@@ -164,7 +187,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, ve
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
     """The documents in which no benchmark item was found, as they came. Only texts that a bit filter
     of the contaminated ids does not clear are shuffled to the exact join."""
-    bad = materialize(contaminated(docs, benchmark, cover, veto=False).select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
+    bad = materialize(contaminated(docs, benchmark, cover, veto=False, run=RUN).select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
     rows = mark(docs, "doc_id", bad, "__suspect")
     cleared = rows.where("__suspect").join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
     return rows.where("not __suspect").unionByName(cleared).select(*docs.columns)

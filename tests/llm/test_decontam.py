@@ -122,6 +122,21 @@ def test_one_odd_slot_vetoes_no_copy(spark):
     assert {r.doc_id for r in D.drop_contaminated(docs, bench).collect()} == {4}
 
 
+def test_long_passages_and_number_words(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(6))
+    words = [word() for _ in range(89)]
+    count = "We know that Mia puts three apples and two pears in a basket and sells five of the apples for eight coins."
+    rows = [(1, "Before. " + " ".join(words[:35]) + " after"), (2, "Before " + " ".join(words[40:40 + D.RUN - 1]) + " after"),
+            (3, count.replace("three", "seven").replace("two", "9").replace("five", "six").replace("eight", "forty")),
+            (4, " ".join([*words[:10], word(), *words[11:21], word()]))]  # runs of 10 words only
+    items = [(30, " ".join(words)), (31, count)]
+    docs, bench = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS), spark.createDataFrame(items, ITEMS)
+    found = {(r.doc_id, r.item_id): r.matched for r in D.contaminated(docs, bench, veto=False, run=D.RUN).collect()}
+    assert set(found) == {(1, 30), (3, 31)} and found[1, 30] == 28
+    assert {r.doc_id for r in D.drop_contaminated(docs, bench).collect()} == {2, 4}
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, QUESTION, None, None, None)], DOCS), spark.createDataFrame([(1, QUESTION)], ITEMS)
     assert D.contaminated(docs.limit(0), items).count() == 0
