@@ -2,7 +2,8 @@
 
 Patterns (kinds ``assign``, ``access``, ``hex``) are matched leftmost, without overlap, per kind,
 and matches that are too short are dropped. Beside them every run of ``LEAST``-plus characters of the
-base64 alphabets is a candidate. For its inferred encoding (hex, base32, base36, base62, base64)
+base64 alphabets is a candidate, and so is every piece as long of it between ``-`` and ``_``, between ``+`` and ``/``,
+and between any of these (keys in paths and after prefixes). For its inferred encoding (hex, base32, base36, base62, base64)
 three tests ask whether its characters look drawn at random:
 
 * chi-squared uniformity over the encoding's alphabet,
@@ -13,7 +14,8 @@ A candidate passes the battery if Fisher's combination of the three p-values is
 That alone would let ordinary short words pass, so the same chi-squared statistic is held against what ordinary
 text of that length would give (a non-central chi-squared whose non-centrality grows with the length;
 the text's letter frequencies are counted over all documents), and Benjamini-Hochberg over
-all candidates of the corpus bounds the share of false discoveries by ``FDR``.
+all candidates of the corpus, pieces included, bounds the share of false discoveries by ``FDR``. A piece inside
+another discovery is not reported again.
 
 Offsets are code points, ends exclusive. Null texts are empty, repeated rows are scanned each, an
 empty table gives an empty result.
@@ -39,6 +41,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{%d,}" % HEX_LEAST)  # maximal runs, so shorter ones need not be matched and dropped
 LEAST = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % LEAST)
+PIECES = [re.compile(r"[%s]{%d,}" % (held, LEAST)) for held in ("A-Za-z0-9+/", "A-Za-z0-9_-", "A-Za-z0-9")]
 KINDS = ["assign", "access", "hex", "random"]
 ALPHA = 1e-3
 FDR = 0.01
@@ -68,6 +71,16 @@ def encoding(s: str) -> tuple[str, dict[str, int]] | None:
     return next(((name, index) for name, index in INDEX if used <= index.keys()), None)
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the runs and of their pieces between separators, each once, in order."""
+    out = set()
+    for m in CANDIDATE.finditer(text):
+        out.add(m.span())
+        if not m[0].isalnum():
+            out |= {p.span() for held in PIECES for p in held.finditer(text, *m.span())}
+    return sorted(out)
+
+
 def normal_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
@@ -130,10 +143,10 @@ def scan(docs: DataFrame) -> DataFrame:
                 for t in texts[a:b]:
                     base.append([list(x) for x in base_spans(t)])
                     own = []
-                    for m in CANDIDATE.finditer(t):
-                        got = battery(m[0])
+                    for start, end in candidates(t):
+                        got = battery(t[start:end])
                         if got:
-                            own.append({"start": m.start(), "end": m.end(), "encoding": got[0], "size": got[1], "chi2": got[2], "p_random": got[3]})
+                            own.append({"start": start, "end": end, "encoding": got[0], "size": got[1], "chi2": got[2], "p_random": got[3]})
                     found.append(own)
             cols = [[*ids, None], [*base, None], [*found, None], [None] * len(ids) + [letters.tolist()]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=schema.names)
@@ -175,6 +188,18 @@ def bh_limit(p: DataFrame, fdr: float = FDR) -> float:
     return max(passed) / 100 if passed else -math.inf
 
 
+def outermost(spans: Column) -> Column:
+    """The spans (struct of start, kind, end) that lie in no other one."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"))))
+    none = F.struct(F.lit(-1).cast("long").alias("reach"), F.filter(spans, lambda s: F.lit(False)).alias("kept"))
+
+    def step(acc: Column, s: Column) -> Column:
+        own = F.array(F.struct(s["start"].alias("start"), F.lit(3).alias("kind"), (-s["less"]).alias("end")))
+        return F.when(-s["less"] <= acc["reach"], acc).otherwise(F.struct((-s["less"]).alias("reach"), F.concat(acc["kept"], own).alias("kept")))
+
+    return F.aggregate(ordered, none, step, lambda acc: acc["kept"])
+
+
 def secrets(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans (base and random ones), n_random."""
     scanned = materialize(scan(docs), "secrets")
@@ -188,7 +213,7 @@ def secrets(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     joined = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
     span = lambda a, k, b: F.struct(a.alias("start"), k.cast("int").alias("kind"), b.alias("end"))
     base = F.transform("base", lambda s: span(s[0], s[1], s[2]))
-    extra = F.transform(F.filter("found", lambda f: z_of(f) <= F.lit(limit)), lambda f: span(f["start"], F.lit(3), f["end"]))
+    extra = outermost(F.transform(F.filter("found", lambda f: z_of(f) <= F.lit(limit)), lambda f: span(f["start"], F.lit(3), f["end"])))
     count = lambda k: F.size(F.filter("base", lambda s: s[1] == k)).cast("long")
     return rows.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),

@@ -68,6 +68,27 @@ def test_battery_finds_keys_and_few_words(mixed):
     assert hits >= 0.9 * len(keys) and wrong <= 0.05 * hits  # false discoveries are bounded; short base32 keys may stay below
 
 
+def test_keys_in_paths_are_found(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("eeeeettttaaaooiinnsshhrrdlucmfwypvbgk") for _ in range(n))
+    key = lambda: "".join(rng.choice(S.ALPHABETS[5][1]) for _ in range(48))
+    rows, where = [], {}
+    for i in range(200):
+        text = " ".join(word(rng.randrange(2, 12)) for _ in range(100))
+        if i % 4 == 0:
+            text += " " + ["svc-a/", "/my_app/hooks/", "a+b_"][i // 4 % 3]
+            where[i] = (len(text), len(text) + 48)
+            text += key() + " end"
+        rows.append((i, text, "en", "s", 0))
+    hits, seen = 0, 0
+    for r in S.secrets(spark.createDataFrame(rows, SCHEMA)).collect():
+        spans = [tuple(map(int, s.split(":")[1:])) for s in filter(None, r.spans.split(",")) if s.startswith("random")]
+        assert r.n_random == len(spans) == len(set(spans)) and all(not (a <= c and d <= b) for a, b in spans for c, d in spans if (a, b) != (c, d))
+        seen += len(spans)
+        hits += any(a <= where[r.doc_id][0] and where[r.doc_id][1] <= b for a, b in spans) if r.doc_id in where else 0
+    assert hits >= 0.9 * len(where) and seen <= 1.1 * hits
+
+
 def test_p_values_are_even_for_random_strings():
     rng = random.Random(9)
     low = sum(S.battery("".join(rng.choice(S.ALPHABETS[5][1]) for _ in range(60)))[3] < 0.05 for _ in range(2000))
