@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hirelens.session import read_table
 
-from . import apportion, chat_grammar, kneser_ney, language_spans, projection_search, secret_battery, simhash_pigeonhole, slots, template_decontam, token_spans
+from . import apportion, chat_grammar, kneser_ney, language_spans, packing, periodic_runs, projection_search, secret_battery, simhash_pigeonhole, slots, template_decontam, token_spans, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -72,3 +75,32 @@ def op5_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_projected_neighbours")
 def op1_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection_search.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+def looped_words(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The contract's loops: a text whose id's crc32 is divisible by ten repeats its words from a place on. A null id has none."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    i = np.arange(n)
+    return np.where(i < a, i, a + (i - a) % p)
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.detect(read_table(spark, sf_dir, "documents"), looped_words))
+
+
+@query("op11_differencing_packs")
+def op11_differencing_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = packing.pieces(read_table(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids"))
+    return rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens", "padded_to")
