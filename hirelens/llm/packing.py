@@ -18,7 +18,6 @@ No row is shuffled: a group lies in one task, a task's last group may be smaller
 from __future__ import annotations
 
 import heapq
-import re
 from collections.abc import Iterator
 from itertools import count as counter
 
@@ -28,27 +27,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import run_starts, small_batches
+from .common import chunks, small_batches
 from .token_spans import VOCABULARY, Encoder, encoder
 
 CAPACITY, END_TOKEN = 1024, 0
 #: Longest piece of a document's rest, and tokens packed together.
-PIECE, GROUP = 128, 262_144
+PIECE, GROUP = 256, 131_072
 #: Powers of two that a group's rest may become.
 SHORT = 3
 #: Of a group's pieces one for so many windows is halved down to single tokens: small differences that level the windows.
 FINE = 3
-#: Words whose tokens a worker keeps.
-HELD_WORDS = 200_000
+#: Characters encoded at once, and words whose tokens a worker keeps.
+CHARS, HELD_WORDS = 1_000_000, 400_000
 #: Pieces handed over at once.
 ROWS = 4096
-#: A blank after white space: the tokens around it depend on each other.
-_TIED = re.compile(r"\s ")
 
 
 class WordEncoder:
     """Tokens (little-endian unsigned 32-bit) of texts. Before a single blank after a word a token always ends, so the words of a text are
-    encoded apart, new ones of a text at once, and kept; texts with other white space before a blank are encoded whole."""
+    encoded apart, the new ones of many texts at once, and kept; texts with other white space before a blank are encoded whole."""
 
     def __init__(self, enc: Encoder):
         self.enc, self.held = enc, {}
@@ -56,24 +53,33 @@ class WordEncoder:
     def raw(self, text: str) -> bytes:
         return self.enc.encode(text).astype("<u4").tobytes() if text else b""
 
-    def encode(self, text: str) -> bytes:
-        words = text.split(" ")
-        if len(words) < 3 or _TIED.search(text):
-            return self.raw(text)
-        inner = words[1:-1]
-        new = list(set(inner) - self.held.keys())
-        if new:
-            if len(self.held) + len(new) > HELD_WORDS:
-                self.held.clear()
-                new = list(set(inner))
-            ids = self.enc.encode(" " + " ".join(new))
-            ends = np.cumsum([len(w.encode("utf-8")) + 1 for w in new])
-            cut = np.searchsorted(np.cumsum(self.enc.lengths[ids]), ends, "right") * 4
-            whole, at = ids.astype("<u4").tobytes(), 0
-            for w, to in zip(new, cut.tolist()):
-                self.held[w] = whole[at:to]
-                at = to
-        return b"".join([self.raw(words[0]), *map(self.held.__getitem__, inner), self.raw(" " + words[-1])])
+    def learn(self, new: list[str]) -> None:
+        """Keep the tokens of words, each with the blank before it. Empty words and those with white space at their end are never kept."""
+        new = [w for w in new if w and not w[-1].isspace()]
+        if not new:
+            return
+        if len(self.held) + len(new) > HELD_WORDS:
+            self.held.clear()
+        ids = self.enc.encode(" " + " ".join(new))
+        ends = np.cumsum([len(w.encode("utf-8")) + 1 for w in new])
+        cut = np.searchsorted(np.cumsum(self.enc.lengths[ids]), ends, "right") * 4
+        whole = ids.astype("<u4").tobytes()
+        self.held.update(zip(new, map(whole.__getitem__, map(slice, [0, *cut.tolist()], cut.tolist()))))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        words = [t.split(" ") for t in texts]
+        distinct = set().union(*words)
+        new = [w for w in distinct if w not in self.held]
+        if len(self.held) + len(new) > HELD_WORDS:
+            new = list(distinct)  # what is kept is let go
+        self.learn(new)
+        out = []
+        for t, own in zip(texts, words):
+            try:
+                out.append(b"".join([self.raw(own[0]), *map(self.held.__getitem__, own[1:])]))
+            except KeyError:
+                out.append(self.raw(t))
+        return out
 
 
 def difference(sizes: np.ndarray, k: int) -> tuple[np.ndarray, int]:
@@ -221,9 +227,14 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
+        def encoded(words: WordEncoder, batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
+            names, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            for a, b in chunks(texts, CHARS):
+                for name, raw in zip(names[a:b], words.encode(texts[a:b])):
+                    yield name, raw + end
+
         for batch in batches:
-            for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw = words.encode(t or "") + end
+            for doc_id, raw in encoded(words, batch):
                 n = len(raw) // 4
                 whole = n - n % capacity
                 for start in range(0, whole, capacity):
