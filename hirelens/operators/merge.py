@@ -34,20 +34,25 @@ _DAY_US = 86_400_000_000
 _TZ_SUFFIX = r"(?i)(z|[+-]\d{2}:?\d{2})$"
 
 
-def stale_flag(df: DataFrame, ts_col: str, now: dt.datetime, max_days: int = presets.RETENTION_DAYS) -> Column:
-    """True when the row is too old to keep. String columns: only zone-qualified
-    parseable text can be stale (zone-less text cannot be compared, so it is
-    kept). Timestamp columns are instants (NTZ read as UTC)."""
+def stale_at(df: DataFrame, ts_col: str, now_us: Column, max_days: int = presets.RETENTION_DAYS) -> Column:
+    """``stale_flag`` by a clock in microseconds since 1970 that may differ from row to row; a null clock keeps all."""
     c = F.col(ts_col)
     if isinstance(df.schema[ts_col].dataType, T.StringType):
         s = F.trim(c)
         ts = F.when(s.rlike(_TZ_SUFFIX), s.try_cast("timestamp"))
     else:
         ts = c.cast("timestamp")
-    age = F.lit(epoch_micros(now)) - F.unix_micros(ts)
+    age = now_us - F.unix_micros(ts)
     return F.coalesce(age >= F.lit((max_days + 1) * _DAY_US), F.lit(False))
 
 
+def stale_flag(df: DataFrame, ts_col: str, now: dt.datetime, max_days: int = presets.RETENTION_DAYS) -> Column:
+    """True when the row is too old to keep. String columns: only zone-qualified
+    parseable text can be stale (zone-less text cannot be compared, so it is
+    kept). Timestamp columns are instants (NTZ read as UTC)."""
+    return stale_at(df, ts_col, F.lit(epoch_micros(now)), max_days)
+
+
 def retain(df: DataFrame, ts_col: str, now: dt.datetime, max_days: int = presets.RETENTION_DAYS) -> DataFrame:
     return df.filter(~stale_flag(df, ts_col, now, max_days))
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .. import presets
 from ..functions.classify import relative_date
+from ..operators import bucket_merge as BM
 from ..operators import merge as M
 from ..session import read_table
+from ..sources.trends import new_snapshot_dir
 from . import fixtures as fx
 from . import sqlgen as g
 from .registry import register
@@ -98,6 +100,44 @@ def q_merge_first_seen(spark, sf):
     return merged.select("key", "seq", "ats", "company", "url", "id", "title", "scraped_at", "first_seen")
 
 
+def _bucketed(spark, sf, existing=None, new=None):
+    """The existing load as a bucketed dataset's first version, the new one merged onto it."""
+    root = new_snapshot_dir(spark, "buckets")
+    BM.load(spark, root, fx.existing_load(spark, sf) if existing is None else existing, 16, now=NOW, locality=BM.company_of)
+    return root, BM.merge(spark, root, fx.new_load(spark, sf) if new is None else new, NOW, locality=BM.company_of)
+
+
+@register("merge_buckets", f"{_MERGE_CTES}\nSELECT * FROM merged")
+def q_merge_buckets(spark, sf):
+    """merge_first_seen, of which only the buckets that the new load meets are rewritten."""
+    root, _ = _bucketed(spark, sf)
+    return BM.read(spark, root).select("key", "seq", "ats", "company", "url", "id", "title", "scraped_at", "first_seen")
+
+
+_DAY = "CAST(date_diff('day', DATE '2024-01-01', CAST(scraped_at AS DATE)) AS INT)"
+
+
+@register("merge_bucket_days", f"""{WE}, d AS (SELECT key, {_DAY} AS day FROM ep WHERE key <> ''),
+f AS (SELECT key, min(day) AS first FROM d GROUP BY key)
+SELECT d.day, count(*) FILTER (WHERE d.day = f.first) AS new_jobs,
+ (SELECT count(*) FROM f AS g WHERE g.first <= d.day) AS total_jobs FROM d JOIN f ON d.key = f.key
+WHERE d.day % 10 = 3 GROUP BY d.day""")
+def q_merge_bucket_days(spark, sf):
+    """The scrape log merged onto a bucketed dataset, split after every tenth day from the third on: what the day's own
+    run adds, and how many postings there are after it. Earlier versions are read beside later ones."""
+    day = F.datediff(F.to_date("scraped_at"), F.lit("2024-01-01").cast("date"))
+    log = fx.event_postings(spark, sf).drop("first_seen").withColumn("day", day)
+    root, out = new_snapshot_dir(spark, "bucket-days"), None
+    last = -1
+    for d in (3, 13, 23):  # the log covers 30 days, whatever its size
+        BM.merge(spark, root, log.filter((F.col("day") > last) & (F.col("day") < d)).drop("day"), fx.STREAM_NOW, buckets=16, locality=BM.company_of, keep=10)
+        m = BM.merge(spark, root, log.filter(F.col("day") == d).drop("day"), fx.STREAM_NOW, locality=BM.company_of, keep=10)
+        total = BM.read(spark, root, m.version).agg(F.count(F.lit(1)).alias("total_jobs"))
+        row = total.select(F.lit(d).alias("day"), F.lit(m.new_count).cast("long").alias("new_jobs"), "total_jobs")
+        out, last = row if out is None else out.union(row), d
+    return out
+
+
 @register("merge_schema_drift", f"""{_MERGE_CTES}
 SELECT m.key, m.title, CASE WHEN n.key IS NULL THEN length(m.company) END AS name_len,
  CASE WHEN n.key IS NOT NULL THEN upper(m.ats) END AS platform_code, m.first_seen

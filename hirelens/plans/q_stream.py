@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import presets
+from ..operators import bucket_merge as BM
 from ..sources.trends import new_snapshot_dir
 from ..streaming import streams as ST
 from . import fixtures as fx
@@ -42,16 +43,30 @@ fs AS (SELECT r.key, arg_max(r.scraped_at, r.seq) AS first_seen FROM runs r JOIN
 last AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM runs) t WHERE rn = 1)"""
 
 
-@register("stream_merge", f"""{_FIRST_SEEN_SQL}
-SELECT l.key, l.seq, l.ats, l.company, l.url, l.id, l.title, l.scraped_at, f.first_seen FROM last l JOIN fs f ON l.key = f.key""")
+_STREAM_MERGE_SQL = f"""{_FIRST_SEEN_SQL}
+SELECT l.key, l.seq, l.ats, l.company, l.url, l.id, l.title, l.scraped_at, f.first_seen FROM last l JOIN fs f ON l.key = f.key"""
+_MERGED = ["key", "seq", "ats", "company", "url", "id", "title", "scraped_at", "first_seen"]
+
+
+@register("stream_merge", _STREAM_MERGE_SQL)
 def q_stream_merge(spark, sf):
+    """Onto a bucketed dataset: each run rewrites the buckets that it meets."""
+    def arrive(base, incoming):
+        ST.start_bucket_merge_stream(_source(spark, incoming), f"{base}/table", f"{base}/ckpt-merge", fx.STREAM_NOW,
+                                     buckets=16, locality=BM.company_of).awaitTermination()
+    base = _feed(spark, sf, arrive)
+    return BM.read(spark, f"{base}/table").select(*_MERGED)
+
+
+@register("stream_merge_snapshots", _STREAM_MERGE_SQL)
+def q_stream_merge_snapshots(spark, sf):
+    """Onto whole snapshots."""
     def arrive(base, incoming):
         ST.start_merge_stream(_source(spark, incoming), f"{base}/snapshots", f"{base}/ckpt-merge",
                               fx.STREAM_NOW).awaitTermination()
     base = _feed(spark, sf, arrive)
     snap = ST.current_snapshot(spark, f"{base}/snapshots")
-    return spark.read.parquet(snap).select("key", "seq", "ats", "company", "url", "id", "title", "scraped_at",
-                                           "first_seen")
+    return spark.read.parquet(snap).select(*_MERGED)
 
 
 @register("stream_first_seen", f"{_FIRST_SEEN_SQL}\nSELECT key, first_seen FROM fs")

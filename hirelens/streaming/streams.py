@@ -3,7 +3,9 @@
 * merge stream   — each micro-batch of a scrape feed is overlaid onto the
                    standing dataset (retention, last-wins, first_seen) and
                    written as a NEW snapshot directory per epoch (idempotent on
-                   replay: epoch e always merges onto the snapshot of e-1).
+                   replay: epoch e always merges onto the snapshot of e-1), or
+                   onto a bucketed dataset of which a batch rewrites only the
+                   buckets it meets (``start_bucket_merge_stream``).
 * first-seen     — keyed state (``applyInPandasWithState``): emits a key the
                    first time it is sighted; every sighting renews an
                    event-time timeout, after which the key is forgotten and a
@@ -29,6 +31,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import presets
+from ..operators import bucket_merge as BM
 from ..operators import facets as FA
 from ..operators import merge as M
 from ..sources.chunks import _fs, read_text, write_text
@@ -90,6 +93,24 @@ def start_merge_stream(source: DataFrame, snapshot_dir: str, checkpoint: str,
     return w.start()
 
 
+def start_bucket_merge_stream(source: DataFrame, root: str, checkpoint: str,
+                              now: dt.datetime | Callable[[DataFrame], dt.datetime] = newest,
+                              key: str = "key", seq: str = "seq", scraped: str = "scraped_at",
+                              max_days: int = presets.RETENTION_DAYS, available_now: bool = True,
+                              buckets: int = 64, locality: BM.Locality | None = None, keep: int = 3) -> StreamingQuery:
+    """``start_merge_stream`` onto a bucketed dataset: epoch e is its version e. A replayed
+    epoch starts from the version before it, so it gives the same snapshot."""
+
+    def merge_batch(batch: DataFrame, epoch: int) -> None:
+        clock = now(batch) if callable(now) else now
+        BM.merge(batch.sparkSession, root, batch, clock, key, seq, scraped, max_days=max_days, version=epoch,
+                 buckets=buckets, locality=locality, keep=keep)
+
+    w = source.writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="6 hours")
+    return w.start()
+
+
 FIRST_SEEN_OUT = "key string, first_seen timestamp, seq long"
 FIRST_SEEN_STATE = "first_seen timestamp, last_seen timestamp"
 
