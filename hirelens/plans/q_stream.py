@@ -5,12 +5,15 @@ job would. Results are read back from the sinks' files."""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from .. import presets
 from ..operators import bucket_merge as BM
 from ..sources.trends import new_snapshot_dir
 from ..streaming import streams as ST
+from ..streaming import timers as TM
 from . import fixtures as fx
 from . import sqlgen as g
 from .registry import register
@@ -78,6 +81,37 @@ def q_stream_first_seen(spark, sf):
     return out.select("key", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"))
 
 
+TTL_DAYS = 4  # short beside the log's 30 days, so that many postings are forgotten and found again
+_VISITS_SQL = f"""{"WITH " + g.event_postings_cte()},
+visit AS (SELECT key, {_RUN} AS run, min(scraped_at) AS earliest, max(scraped_at) AS latest, arg_max(scraped_at, seq) AS last, max(seq) AS seq
+ FROM ep WHERE key <> '' GROUP BY 1, 2),
+seen AS (SELECT *, max(latest) OVER (PARTITION BY key ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM visit)"""
+
+
+def _timed(spark, sf):
+    def arrive(base, incoming):
+        ST.run_to_files(TM.sightings(_source(spark, incoming), dt.timedelta(days=TTL_DAYS)), f"{base}/sightings", f"{base}/ckpt-timers")
+    return _feed(spark, sf, arrive)
+
+
+@register("stream_first_seen_timers", f"""{_VISITS_SQL}
+SELECT key, last AS first_seen, seq FROM seen
+WHERE before IS NULL OR epoch_ms(earliest) >= epoch_ms(before) + {TTL_DAYS * 86_400_000}""")
+def q_stream_first_seen_timers(spark, sf):
+    """A posting not sighted for four days is forgotten; its next sighting counts as new. One sighted in time is renewed."""
+    out = spark.read.parquet(f"{_timed(spark, sf)}/sightings")
+    return out.select("key", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"), "seq")
+
+
+@register("stream_first_seen_state", f"""{_VISITS_SQL}
+SELECT key, max(latest) AS latest FROM seen GROUP BY key
+HAVING epoch_ms(max(latest)) + {TTL_DAYS * 86_400_000} >= (SELECT epoch_ms(max(scraped_at)) - 86400000 FROM ep WHERE key <> '')""")
+def q_stream_first_seen_state(spark, sf):
+    """The keys that the state holds after the last run: those whose timer the watermark (latest sighting - 1 day) hasn't passed."""
+    held = TM.held_keys(spark, f"{_timed(spark, sf)}/ckpt-timers")
+    return held.select("key", F.col("latest").cast("timestamp_ntz").alias("latest"))
+
+
 @register("stream_daily_counts", f"""{"WITH " + g.event_postings_cte()},
 wm AS (SELECT max(scraped_at) - INTERVAL 1 DAY AS w FROM ep)
 SELECT CAST(scraped_at AS DATE) AS day, ats AS platform, count(*) AS n FROM ep
