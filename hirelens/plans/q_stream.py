@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import presets
 from ..operators import bucket_merge as BM
+from ..operators import partials as PA
 from ..sources.trends import new_snapshot_dir
 from ..streaming import streams as ST
 from ..streaming import timers as TM
@@ -125,13 +126,29 @@ def q_stream_daily_counts(spark, sf):
     return spark.read.parquet(f"{base}/daily").select("day", "platform", "n")
 
 
-@register("stream_facets", f"""{"WITH " + g.event_postings_cte()},
+_FACETS_SQL = f"""{"WITH " + g.event_postings_cte()},
 epc AS (SELECT *, {g.tier('title')} AS skill_level FROM ep)
 SELECT 'ats' AS facet, lower(ats) AS value, count(*) AS n FROM epc WHERE nullif(lower(ats), '') IS NOT NULL GROUP BY 2
 UNION ALL
 SELECT 'skill_level' AS facet, lower(skill_level) AS value, count(*) AS n FROM epc
-WHERE nullif(lower(skill_level), '') IS NOT NULL GROUP BY 2""")
+WHERE nullif(lower(skill_level), '') IS NOT NULL GROUP BY 2"""
+
+
+@register("stream_facets", _FACETS_SQL)
 def q_stream_facets(spark, sf):
+    """From partial aggregates, one a run; the older of them folded."""
+    from ..functions.classify import tier
+
+    def arrive(base, incoming):
+        src = _source(spark, incoming).withColumn("skill_level", tier("title"))
+        ST.start_partial_stream(src, f"{base}/partials", f"{base}/ckpt-partials", fold=2).awaitTermination()
+    base = _feed(spark, sf, arrive)
+    return PA.counts(PA.read(spark, f"{base}/partials"), ("ats", "skill_level"))
+
+
+@register("stream_facets_complete", _FACETS_SQL)
+def q_stream_facets_complete(spark, sf):
+    """By a stream in complete mode."""
     from ..functions.classify import tier
 
     def arrive(base, incoming):

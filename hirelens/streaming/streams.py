@@ -13,7 +13,9 @@
 * daily counts   — event-time windows of one day per platform with a
                    watermark; append mode emits a day once it is closed.
 * facet refresh  — running facet counts in complete mode, each epoch's full
-                   result written to its own snapshot directory.
+                   result written to its own snapshot directory; or a partial
+                   aggregate an epoch, of which totals are sums
+                   (``start_partial_stream``).
 
 All sinks are files under folders the caller names (shared storage on a
 cluster), with a checkpoint location per query so a restarted driver resumes.
@@ -34,6 +36,7 @@ from .. import presets
 from ..operators import bucket_merge as BM
 from ..operators import facets as FA
 from ..operators import merge as M
+from ..operators import partials as PA
 from ..sources.chunks import _fs, read_text, write_text
 
 
@@ -169,13 +172,19 @@ def daily_counts_stream(source: DataFrame, ts: str = "scraped_at", platform: str
 
 
 def start_facet_stream(source: DataFrame, out_dir: str, checkpoint: str, cols=("ats", "skill_level"),
-                       available_now: bool = True) -> StreamingQuery:
-    """Running facet counts; each epoch's complete result goes to its own folder."""
+                       available_now: bool = True, keep: int = 3) -> StreamingQuery:
+    """Running facet counts; each epoch's complete result goes to its own folder. Folders older
+    than the ``keep`` newest are deleted."""
     out_dir = out_dir.rstrip("/")
 
     def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        prior = [e for e in _epochs(spark, out_dir) if e < epoch]
         batch.write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch}")
-        write_text(batch.sparkSession, f"{out_dir}/current", f"epoch={epoch}")
+        write_text(spark, f"{out_dir}/current", f"epoch={epoch}")
+        fs, _ = _fs(spark, out_dir)
+        for old in [*prior, epoch][:-keep]:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{out_dir}/epoch={old}"), True)
 
     agg = FA.facet_counts(source, cols)
     w = agg.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -183,6 +192,25 @@ def start_facet_stream(source: DataFrame, out_dir: str, checkpoint: str, cols=("
     return w.start()
 
 
+def start_partial_stream(source: DataFrame, root: str, checkpoint: str, cols=("ats", "skill_level"),
+                         available_now: bool = True, fold: int = 32) -> StreamingQuery:
+    """A partial aggregate of every micro-batch: an epoch writes its own counts and sketches only, a replayed one
+    in place of what it wrote. Once ``fold`` epochs are there, all but the newest become one part. Totals
+    are read with ``partials.read``; no state is kept."""
+    root = root.rstrip("/")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        PA.put(spark, root, PA.partial(batch, F.lit(f"e{epoch:012d}"), cols))
+        parts = sorted(PA.live(spark, root))
+        if len(parts) > fold:
+            PA.compact(spark, root, parts[:-1], parts[-2])
+
+    w = source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+    return w.start()
+
+
 def run_to_files(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Run a streaming DataFrame over everything available into Parquet files."""
     q = (stream.writeStream.format("parquet").outputMode(mode).option("path", path)
