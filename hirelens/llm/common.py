@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -78,20 +78,21 @@ def with_fields(schema: StructType, **types: DataType) -> StructType:
     return StructType([*schema.fields, *(StructField(n, t) for n, t in types.items())])
 
 
-def places(h: Column, bits: int) -> list[Column]:
-    """The two bits that stand for a 64-bit hash."""
-    return [F.pmod(h, F.lit(bits)), F.pmod(F.shiftright(h, 32), F.lit(bits))]
+def word_of(h: Column, bits: int) -> Column:
+    """The word of a bit set that a 64-bit hash is noted in."""
+    return F.pmod(h, F.lit(bits // 64)).cast("int")
 
 
-def bit_words(hashes: DataFrame, bits: int) -> DataFrame:
-    """hashes(hash long) -> (w, v): the words of a set of ``bits`` bits, two bits set for each hash.
-    At most ``bits`` / 64 rows, for any input."""
-    return (hashes.select(F.explode(F.array(*places(F.col("hash"), bits))).alias("b"))
-            .groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("v")))
+def mask_of(h: Column) -> Column:
+    """The two bits of its word that stand for a hash (one, now and then)."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 40).cast("int")).bitwiseOR(
+        F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 50).cast("int")))
 
 
-def has_bit(word: Column, place: Column) -> Column:
-    return F.call_function("getbit", word, F.pmod(place, F.lit(64)).cast("int")) == 1
+def bit_words(hashes: DataFrame, bits: int) -> DataFrame:
+    """hashes(hash long) -> (w, v): the words of a set of ``bits`` bits, two bits of one word set for each hash.
+    At most ``bits`` / 64 rows, for any input."""
+    return hashes.groupBy(word_of(F.col("hash"), bits).alias("w")).agg(F.bit_or(mask_of(F.col("hash"))).alias("v"))
 
 
 def bit_filter(hashes: DataFrame, bits: int) -> Column:
@@ -105,7 +106,15 @@ def bit_filter(hashes: DataFrame, bits: int) -> Column:
 
 def may_hold(held: Column, h: Column, bits: int) -> Column:
     """Whether the hash may be one of those of the filter (never false for one that is)."""
-    return reduce(lambda a, b: a & b, (has_bit(F.get(held, F.shiftright(p, 6).cast("int")), p) for p in places(h, bits)))
+    mask = mask_of(h)
+    return F.get(held, word_of(h, bits)).bitwiseAND(mask) == mask
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of what earlier work left on the driver. Spark drops broadcasts and shuffles once the driver's
+    collector finds them unused, by itself only every half an hour."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 #: Bits of the filters on ids: 131,072 words of 16 bytes at most are broadcast.
@@ -116,11 +125,8 @@ def mark(df: DataFrame, col: str, ids: DataFrame, name: str, bits: int = ID_BITS
     """``df`` with a boolean column ``name``: whether its id ``col`` may be among ``ids`` (one column). A
     set of bits of fixed size is broadcast, whatever the number of ids; an exact join is to follow for
     the rows marked, the others need none."""
-    words = materialize(bit_words(ids.select(id_hash(ids.columns[0]).alias("hash")), bits), "bits")
-    found = F.lit(True)
-    for k, p in enumerate(places(id_hash(col), bits)):
-        w = words.select(F.col("w").alias(f"__w{k}"), F.col("v").alias(f"__v{k}"))
-        df = df.withColumn(f"__p{k}", p)
-        df = df.join(F.broadcast(w), F.shiftright(F.col(f"__p{k}"), 6) == F.col(f"__w{k}"), "left")  # bits / 64 rows at most
-        found = found & F.coalesce(has_bit(F.col(f"__v{k}"), F.col(f"__p{k}")), F.lit(False))
-    return df.withColumn(name, found).drop(*[f"__{x}{k}" for x in "pwv" for k in range(2)])
+    words = materialize(bit_words(ids.select(id_hash(ids.columns[0]).alias("hash")), bits), "bits").select(F.col("w").alias("__w"), F.col("v").alias("__v"))
+    df = df.withColumn("__h", id_hash(col)).withColumn("__k", word_of(F.col("__h"), bits))
+    df = df.join(F.broadcast(words), F.col("__k") == F.col("__w"), "left")  # bits / 64 rows at most
+    mask = mask_of(F.col("__h"))
+    return df.withColumn(name, F.coalesce(F.col("__v").bitwiseAND(mask) == mask, F.lit(False))).drop("__h", "__k", "__w", "__v")
