@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a
 DataFrame, which is written as Parquet and reread as the next one's ``docs``. All but the last return the columns
-of ``documents``; the last returns the kept documents' places.
+of ``documents``; the last returns the kept documents' places. Each begins by letting go of what its predecessor left on the driver.
 """
 
 from __future__ import annotations
@@ -10,27 +10,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from hirelens.llm import apportion, kneser_ney, simhash_pigeonhole, slots, template_decontam
-from hirelens.llm.common import materialize
+from hirelens.llm.common import materialize, release
 from hirelens.session import read_table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return kneser_ney.keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return simhash_pigeonhole.deduplicate(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return template_decontam.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return apportion.apply(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return slots.shard(docs)
 
 
