@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import presets
-from ..sources.chunks import number_rows
+from . import order_index
 from ..functions.classify import is_recruiter, role_match, tier_of_score, tier_score
 from ..functions.text import any_contains, blank_to_null, fuzzy_match, split_terms, strip_ws, word_match
 
@@ -249,9 +249,12 @@ def clamp_page(n_rows: int, page_no: int, per_page: int) -> int:
 
 def page(df: DataFrame, key: str, direction: str, page_no: int, per_page: int = 25,
          tie: str | None = "job_id", n_rows: int | None = None) -> DataFrame:
-    """Page ``page_no`` (clamped to the last page) of the sorted rows."""
+    """Page ``page_no`` (clamped to the last page) of the sorted rows. The first page is one pass,
+    a top-k; later ones count first, since they may lie past the end."""
     if per_page not in presets.PAGE_SIZES:
         raise ValueError(f"per_page must be one of {presets.PAGE_SIZES}")
+    if page_no <= 1:
+        return sort_jobs(df, key, direction, tie).limit(per_page)
     if n_rows is None:
         n_rows = df.count()
     p = clamp_page(n_rows, page_no, per_page)
@@ -262,7 +265,7 @@ def sorted_rows(df: DataFrame, key: str, direction: str, start: int, n: int, n_r
                 tie: str | None = "job_id") -> DataFrame:
     """Rows [start, start + n) of the sorted ``n_rows`` rows. Near either end: a
     top-k (TakeOrderedAndProject) from that end, so a task keeps few rows. Further
-    in: distributed numbering of the order, and a filter on the numbers."""
+    in: an order index, of which only the folders that hold the page are read."""
     n = max(0, min(n, n_rows - start))
     after = n_rows - start - n
     if start <= min(after, DEEP_ROWS):
@@ -271,8 +274,8 @@ def sorted_rows(df: DataFrame, key: str, direction: str, start: int, n: int, n_r
         tail = df.orderBy(*sort_columns(df, key, direction, tie, backwards=True)).offset(after).limit(n)
         return sort_jobs(tail, key, direction, tie)
     parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    numbered, _ = number_rows(df, sort_columns(df, key, direction, tie), parts)
-    return numbered.filter(F.col("_idx").between(start, start + n - 1)).orderBy("_idx").drop("_idx")
+    index = order_index.build(df, sort_columns(df, key, direction, tie), parts)
+    return index.seek(start, n).orderBy(order_index.NUMBER).drop(order_index.NUMBER)
 
 
 def new_matching(df: DataFrame, now: dt.datetime, hours: float = 24, k: int = presets.NEW_MATCHING_LIMIT,
@@ -323,6 +326,8 @@ def preset_page(name: str, df: DataFrame, now: dt.datetime, status: DataFrame |
     hits = search(df, spec, now, status=status)
     if order:
         return page(hits, *order, page_no, per_page, tie)
+    if page_no <= 1:
+        return hits.orderBy(tie).limit(per_page)
     return hits.orderBy(tie).offset((clamp_page(hits.count(), page_no, per_page) - 1) * per_page).limit(per_page)
 
 

@@ -2,10 +2,9 @@
 one gzip JSON file per chunk of at most ``size`` rows, in publish order.
 
 Chunk numbering is exact without a single-partition window: rows are range
-partitioned on the publish order and sorted within partitions, the sorted
-result is checkpointed (so both passes see identical partitions), per-partition
-row counts (one number per partition) give prefix offsets, and each row's
-global index is its partition offset plus its position in the partition.
+partitioned on the publish order, sorted within partitions and stored
+(``operators.order_index``); a table of partition sizes, joined with them, gives each
+row's global index: its partition's offset plus its position in the partition.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import presets
-from ..session import cut_lineage
+from ..operators import order_index
 
 MANIFEST = "jobs_manifest.json"
 FRONTEND_FIELDS = ["title", "company", "location", "url", "ats", "skill_level", "is_recruiter", "workplaceType",
@@ -73,18 +72,8 @@ def slim(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
 def number_rows(df: DataFrame, order: list, partitions: int) -> tuple[DataFrame, int]:
     """Add ``_idx`` = 0-based global position in ``order`` (exact, distributed).
     Returns (numbered rows, total row count)."""
-    sorted_ = df.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-    sorted_ = cut_lineage(sorted_.withColumn("_pid", F.spark_partition_id())
-                          .withColumn("_mid", F.monotonically_increasing_id()))
-    counts = {r["_pid"]: r["n"] for r in sorted_.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()}
-    offsets, run = {}, 0
-    for pid in sorted(counts):
-        offsets[pid] = run
-        run += counts[pid]
-    off_map = F.create_map(*[x for pid, o in offsets.items() for x in (F.lit(pid), F.lit(o))]) if offsets \
-        else F.create_map().cast("map<int,bigint>")
-    pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
-    return sorted_.withColumn("_idx", F.element_at(off_map, F.col("_pid")) + pos).drop("_pid", "_mid"), run
+    index = order_index.build(df, order, partitions)
+    return index.numbered(), index.total
 
 
 def write_chunks(df: DataFrame, out_dir: str, timestamp: str, size: int = presets.CHUNK_SIZE,

@@ -16,6 +16,7 @@ from .. import presets
 from ..functions.classify import is_recruiter, relative_date, tier_of_score, tier_score
 from ..functions.text import blank_to_null, html_unescape, url_title
 from ..operators.geo import enrich_postings
+from ..session import materialize
 
 CUT = presets.LOCATION_CUT
 
@@ -111,20 +112,20 @@ def normalize_lever(raw: DataFrame) -> DataFrame:
 
 
 def workday_pages(raw: DataFrame) -> DataFrame:
-    """Pages of a Workday slug that the pager keeps: in page order, stop at the
-    first page that failed, is empty, or reports a different total than the
-    first page. Slugs must be ``company|wdN|site``. Only (slug, page, status,
-    total, size) are grouped by slug; bodies meet the one cut page of their slug."""
+    """(slug, page, fetched_at, b) of the pages of a Workday slug that the pager keeps: in page order, stop at
+    the first page that failed, is empty, or reports a different total than the
+    first page. Slugs must be ``company|wdN|site``. Bodies are parsed once and stored as structs; the
+    cut is found from total and size alone, which are columns of their own there, and no text is shuffled."""
     wd = raw.filter((F.col("platform") == "Workday") & (F.size(F.split("slug", r"\|")) == 3))
-    body = F.from_json("body", SCHEMAS["Workday"])
-    pages = wd.select("slug", "page", "status", F.when(F.col("status") == 200, body).alias("b")).select(
-        "slug", "page", "status", F.col("b.total").alias("total"), F.coalesce(F.size("b.jobPostings"), F.lit(0)).alias("n"))
+    parsed = wd.select("slug", "page", "status", "fetched_at", F.when(F.col("status") == 200, F.from_json("body", SCHEMAS["Workday"])).alias("b"))
+    parsed = materialize(parsed.withColumns({"total": F.col("b.total"), "n": F.coalesce(F.size("b.jobPostings"), F.lit(0))}), "workday")
+    pages = parsed.select("slug", "page", "status", "total", "n")
     firsts = pages.groupBy("slug").agg(F.min_by("total", "page").alias("first_total"))
     bad = ((F.col("status") != 200) | (F.col("n") <= 0)
            | ~F.coalesce(F.col("total") == F.col("first_total"), F.lit(False)))
     cut = pages.join(firsts, "slug").groupBy("slug").agg(F.min(F.when(bad, F.col("page"))).alias("_cut"))
-    kept = wd.join(cut, "slug").filter(F.col("_cut").isNull() | (F.col("page") < F.col("_cut")))
-    return kept.withColumn("b", body)
+    kept = parsed.join(cut, "slug").filter(F.col("_cut").isNull() | (F.col("page") < F.col("_cut")))
+    return kept.select("slug", "page", "fetched_at", "b")
 
 
 def normalize_workday(raw: DataFrame) -> DataFrame:
