@@ -23,6 +23,8 @@ benchmark's window hashes, so that only likely matches are shuffled; the join is
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,32 +68,51 @@ def value(token: Column) -> Column:
 
 
 def template(token: Column, at: Column) -> Column:
-    """The word, or # for a number, ~ for a unit, @ for a name or the beginning of a sentence."""
+    """The word, or # for a number, ~ for a unit, @ for a name or the beginning of a sentence.
+
+    A word in small letters, as most are, is told first and by few comparisons (signs, digits and sentence openers come
+    before ``A`` in byte order); nothing is lower-cased but once for it."""
     first = F.substring(token, 1, 1)
-    return (F.when((at == 0) | is_start(token), "@")
-            .when(first.between("0", "9") | F.lower(token).isin(NUMBERS), "#")
-            .when(F.lower(token).isin(UNITS), "~")
-            .when((first != F.lower(first)) & (token != F.upper(token)), "@")
-            .when(token.rlike(r"^\p{N}"), "#")
-            .otherwise(F.lower(token)))
+    small = (F.when(at == 0, "@")
+             .when(token.isin(NUMBERS + UNITS), F.when(token.isin(NUMBERS), "#").otherwise("~"))
+             .when((token >= "\u0080") & token.rlike(r"^\p{N}"), "#")
+             .otherwise(token))
+    other = (F.when((at == 0) | is_start(token), "@")
+             .when(first.between("0", "9") | F.lower(token).isin(NUMBERS), "#")
+             .when(F.lower(token).isin(UNITS), "~")
+             .when((first != F.lower(first)) & (token != F.upper(token)), "@")
+             .when(token.rlike(r"^\p{N}"), "#")
+             .otherwise(F.lower(token)))
+    return F.when((token >= "A") & (F.lower(token) == token), small).otherwise(other)
+
+
+def halves(array: str, half: int, both: Callable[[Column, Column], Column]) -> Column:
+    """``both`` of each element and the one ``half`` places later."""
+    n = F.greatest(F.size(array) - half, F.lit(0))
+    return F.zip_with(F.slice(F.col(array), F.lit(1), n), F.slice(F.col(array), F.lit(half + 1), n), both)
 
 
 def windows(rows: DataFrame) -> DataFrame:
-    """rows(..., text) -> + words (array), hashes (array: a hash for each window, null where it has too few words).
+    """rows(..., text) -> + words (array), hashes (array: a hash for each window).
 
     Hashes of runs of 1, 2, 4 and 8 words are built from two of half the length."""
     rows = rows.withColumn("words", tokens(text_of("text"))).drop("text")
-    rows = rows.withColumn("templates", F.transform("words", template))
-    rows = rows.withColumn("hashes", F.transform("templates", lambda t: F.xxhash64(t)))
-    literal = F.transform("templates", lambda t: F.when(t.isin("@", "#", "~"), 0).otherwise(1))
-    rows = rows.withColumn("literals", literal).drop("templates")
+    rows = rows.withColumn("hashes", F.transform("words", lambda w, i: F.xxhash64(template(w, i))))
+    half = 1
+    while half < WINDOW:
+        rows = rows.withColumn("hashes", halves("hashes", half, lambda a, b: F.xxhash64(a, b)))
+        half *= 2
+    return rows
+
+
+def told_windows(rows: DataFrame) -> DataFrame:
+    """``windows`` with null for the hash of a window of too few words that are not placeholders. Only items
+    need it: a document's window that meets one of theirs has the same template."""
+    literal = F.transform("words", lambda w, i: F.when(template(w, i).isin("@", "#", "~"), 0).otherwise(1))
+    rows = windows(rows).withColumn("literals", literal)
     half = 1
     while half < WINDOW:
-        n = F.greatest(F.size("hashes") - half, F.lit(0))
-        first = lambda a: F.slice(F.col(a), F.lit(1), n)
-        later = lambda a: F.slice(F.col(a), F.lit(half + 1), n)
-        rows = rows.withColumns({"hashes": F.zip_with(first("hashes"), later("hashes"), lambda a, b: F.xxhash64(a, b)),
-                                 "literals": F.zip_with(first("literals"), later("literals"), lambda a, b: a + b)})
+        rows = rows.withColumn("literals", halves("literals", half, lambda a, b: a + b))
         half *= 2
     told = F.zip_with("hashes", "literals", lambda h, k: F.when(k >= LITERALS, h))
     return rows.withColumn("hashes", told).drop("literals")
@@ -101,7 +122,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     """item_id, item (its row), windows (how many can match), i (position), hash, slots (values)."""
     rows = benchmark.select("item_id", F.xxhash64("item_id", "text").alias("item"), "text")
     told = F.filter(F.transform("hashes", lambda h, i: F.struct(i.alias("i"), h.alias("hash"))), lambda x: x["hash"].isNotNull())
-    rows = windows(rows).select("item_id", "item", F.size(told).alias("windows"), "words", F.explode(told).alias("x"))
+    rows = told_windows(rows).select("item_id", "item", F.size(told).alias("windows"), "words", F.explode(told).alias("x"))
     return rows.select("item_id", "item", "windows", "words", "x.i", "x.hash").withColumn("slots", F.slice("words", F.col("i") + 1, WINDOW)).drop("words")
 
 
@@ -151,7 +172,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, veto: bool = True) -> DataFra
     windows that cover odd slots are dropped, as above; that finds all that the veto lets through, and more."""
     items = materialize(item_windows(benchmark), "items")
     likely = bit_filter(items.select("hash"), FILTER_BITS)
-    found = F.filter(F.transform("hashes", lambda h, p: F.struct(h.alias("hash"), p.alias("p"))), lambda x: x["hash"].isNotNull() & may_hold(likely, x["hash"], FILTER_BITS))
+    place = lambda h, p: F.when(may_hold(likely, h, FILTER_BITS), F.struct(h.alias("hash"), p.alias("p")))
+    found = F.filter(F.transform("hashes", place), lambda x: x.isNotNull())
     # exploding the expression, not a column of it: for a column Spark would infer a filter and compute it twice
     rows = windows(docs.select("doc_id", "text")).select("doc_id", "words", F.explode(found).alias("f"))
     rows = rows.select("doc_id", F.col("f.hash").alias("hash"), F.col("f.p").alias("p"), F.slice("words", F.col("f.p") + 1, WINDOW).alias("own"))

@@ -19,7 +19,7 @@ def plain_tokens(text):
         start, low = t[0] in ".!?", re.sub(r"^[.!?]\s+", "", t).lower()
         if i == 0 or start:
             kind = "@"
-        elif t[0].isdigit():
+        elif t[0].isdigit() or low in D.NUMBERS:
             kind = "#"
         elif low in D.UNITS:
             kind = "~"
@@ -61,6 +61,55 @@ def plain(docs, items):
     return rows
 
 
+def opens(text):
+    """Word positions that begin a sentence."""
+    letter = r"[^\W\d_]"
+    found = re.findall(rf"(?:[.!?]\s+)?(?:{letter}(?:{letter}|['/])*|\d+(?:[.,]\d+)*|[$€£%°])", text or "")
+    return {i for i, t in enumerate(found) if i == 0 or t[0] in ".!?"}
+
+
+def plain_rule(docs, items, cover=D.COVER, run=D.RUN, most=True, numbers=True):
+    """The registered rule (odd slots drop windows, runs of words), by loops. ``most`` and ``numbers`` off break a rule on purpose."""
+    rows, n = set(), D.WINDOW
+
+    def cut(text):
+        t = plain_tokens(text)
+        if not numbers:
+            t = [(w if w in D.NUMBERS and k == "#" else k, w) for k, w in t]
+        return [(i, tuple(k for k, _ in t[i:i + n]), t[i:i + n]) for i in range(len(t) - n + 1)]
+
+    asked = {}
+    for item, text in items:
+        told = [(i, key, w) for i, key, w in cut(text) if sum(k not in "@#~" for k in key) >= D.LITERALS]
+        for i, key, w in told:
+            asked.setdefault(key, []).append((item, len(told), opens(text), i, w))
+    for d, text in docs:
+        shifts = {}
+        for p, key, own in cut(text):
+            for item, total, first, i, w in asked.get(key, []):
+                shifts.setdefault((item, total), {}).setdefault(p - i, []).append((i, w, own, first))
+        for (item, total), by_shift in shifts.items():
+            hit, longest = set(), 0
+            for found in by_shift.values():
+                places = {}
+                for i, w, own, first in found:
+                    for k, ((kind, v), (_, o)) in enumerate(zip(w, own)):
+                        if kind in "@~" and i + k not in first:
+                            places.setdefault((kind, v), set()).add((i + k, o))
+                odd = [at for (_, v), xs in places.items() for at, o in xs if o != v and 2 * sum(y == o for _, y in xs) <= len(xs)]
+                slots = sum(map(len, places.values()))
+                drop = set(odd) if 2 * len(odd) >= slots or not most else set()
+                at = sorted({i for i, *_ in found if not any(i <= q < i + n for q in drop)})
+                hit |= set(at)
+                for a, i in enumerate(at):
+                    if a == 0 or i > at[a - 1] + n:
+                        begin = i
+                    longest = max(longest, i + n - begin)
+            if len(hit) / total >= cover or longest >= run:
+                rows.add((d, item, total, len(hit)))
+    return rows
+
+
 def got(df):
     return {(r.doc_id, r.item_id, r.windows, r.matched) for r in df.collect()}
 
@@ -155,3 +204,32 @@ def test_tables_match_brute_force(spark):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     want = plain([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])
     assert want and got(D.contaminated(docs, items)) == want
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
+def test_registered_rule_matches_brute_force_on_tables(spark):
+    docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    want = plain_rule([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])
+    assert want and got(D.contaminated(docs, items, veto=False, run=D.RUN)) == want
+
+
+def test_registered_rule_matches_brute_force(spark):
+    rng = random.Random(16)
+    word = lambda: rng.choice(["the", "of", "Ann", "Bo", "runs", "12", "three", "Seven", "km", "Miles", "eats", "red", "big", "when", "near", "%", "It", "\u00e9t\u00e9", "\u00c9mile"]) + rng.choice([""] * 6 + [",", ".", "!"])
+    items = [(i, " ".join(word() for _ in range(rng.randrange(5, 70)))) for i in range(25)]
+    swap = {"Ann": "Cy", "Bo": "Di", "12": "9", "three": "two", "km": "lbs"}
+    rows = []
+    for d in range(160):
+        text = [word() for _ in range(rng.randrange(0, 60))]
+        if d % 2 == 0:
+            own = rng.choice(items)[1].split(" ")
+            a = rng.randrange(len(own))
+            own = own[a:] if d % 4 else [swap.get(w, w) if d % 8 else rng.choice([w, *swap.values()]) if w in swap else w for w in own]
+            text[len(text) // 2:len(text) // 2] = own
+        rows.append((d, " ".join(text)))
+    want = plain_rule(rows, items)
+    docs, bench = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], DOCS), spark.createDataFrame(items, ITEMS)
+    assert len(want) > 10
+    assert got(D.contaminated(docs, bench, veto=False, run=D.RUN)) == want
+    broken = [plain_rule(rows, items, run=10 ** 6), plain_rule(rows, items, most=False), plain_rule(rows, items, numbers=False)]
+    assert all(b != want for b in broken)  # the rows tell each of the three rules
