@@ -5,9 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import presets
 from ..functions.classify import clean_reason, tier_score
 from ..operators import clean as clean_op
 from ..operators import search as S
+from ..operators import word_index
+from ..session import read_table
 from . import fixtures as fx
 from . import sqlgen as g
 from .registry import register
@@ -124,6 +127,21 @@ def q_flt_location_fuzzy(spark, sf):
     return S.search(j, S.FilterSpec(hide_recruiters=False, location="Londn"), NOW).select(*OUT, "location")
 
 
+@register("fuzzy_index_location", _sql_filter(_FUZZY, "job_id, title, company_slug, location"))
+def q_fuzzy_index_location(spark, sf):
+    """The same search through a stored index of the locations' words."""
+    j = jobs(spark, sf)
+    return word_index.fuzzy_filter(j, "location", word_index.build(j, "location"), "Londn", presets.FUZZY_THRESHOLD).select(*OUT, "location")
+
+
+@register("fuzzy_index_words", """WITH words AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^A-Za-z0-9_]+')) AS word FROM documents)
+SELECT word, CAST(levenshtein('question', word) AS BIGINT) AS distance FROM words
+WHERE word <> '' AND 1.0 - levenshtein('question', word) / greatest(length(word), 8) >= 0.6""")
+def q_fuzzy_index_words(spark, sf):
+    """Words of all documents that are close to a term, with their distances."""
+    return word_index.close_words(word_index.build(read_table(spark, sf, "documents"), "text"), "question", 0.6)
+
+
 @register("flt_include", _sql_filter(
     "(contains(lower(coalesce(title, '')), 'engineer') OR contains(lower(coalesce(title, '')), 'developer'))"))
 def q_flt_include(spark, sf):
