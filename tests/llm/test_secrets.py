@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import random
 import re
 
@@ -97,3 +98,22 @@ def test_p_values_are_even_for_random_strings():
 
 def test_empty_table(spark):
     assert S.secrets(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("low", [0, 5, 60])
+def test_false_discoveries_as_in_the_textbook(spark, low):
+    """Benjamini-Hochberg by sorting every p-value, against the limit from a histogram of z."""
+    rng = random.Random(low)
+    z = [rng.gauss(0, 1) for _ in range(400)] + [rng.gauss(-4, 1) for _ in range(low)] + [-3.0, -3.0, 55.0]
+    z += [-60.0] if low else []
+    limits = []
+    for fdr in (0.01, 0.1):
+        limit = S.bh_limit(spark.createDataFrame([(x,) for x in z], "z double"), fdr)
+        for shift, compare in ((0.01, "subset"), (0.0, "superset")):
+            # a bin's p-value is that of its upper end: never more discoveries than with exact z, never fewer than 0.01 higher
+            p = sorted(0.5 * math.erfc(-(x + shift) / math.sqrt(2)) for x in z)
+            k = max((i for i, q in enumerate(p, 1) if q <= i * fdr / len(p)), default=0)
+            found = sum(x <= limit for x in z)
+            assert found >= k if compare == "subset" else found <= k
+        limits.append(limit)
+    assert limits[0] <= limits[1] and (low == 0 or limits[0] > -math.inf)
