@@ -8,11 +8,12 @@ hold ``###`` or ``</turn>`` unescaped, and ``name`` no unescaped ``: ``. A turn
 compared with its source; where they differ, its content is escaped more strongly, until they agree: first backslashes
 and whole control strings, then every control character (which always agrees).
 
-The loss mask is the list of spans of assistant bodies in the formatted text (code points, end exclusive).
+A formatted conversation is kept as a row a turn, never as one string: turns are rendered where they lie, and a conversation's text is
+its turns in order (``placed`` says where each begins). The loss mask is the spans of assistant bodies (code points, end exclusive).
 
-* Rows are ordered by turn, then role and text, nulls first; null texts and roles are empty. Repeated rows are repeated turns.
+* Rows are ordered by turn (null first), then role and text; null texts and roles are empty. Repeated rows are repeated turns.
 * A row without conv_id is a conversation of its own, with a null conv_id. An empty table gives an empty result.
-* Workers read each conversation's sorted rows as a stream and hold one conversation at a time.
+* A digest needs its conversation's turns one after another, so one task reads them: as a sorted stream, one batch held at a time.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches
@@ -103,66 +104,86 @@ def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]], in
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
-    """conv_id, formatted, loss_mask (array of start, end), escape_level."""
+    """Every turn formatted, without a shuffle: conv_id, turn, formatted, body_start and body_end (in it), learnt (whether the
+    body is under the loss mask), escape_level."""
     small_batches(conversations.sparkSession)
-    alone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))
-    rows = (conversations.select("conv_id", "turn", "role", "text").withColumn("alone", alone).repartition("conv_id", "alone")
-            .sortWithinPartitions("conv_id", "turn", "role", "text").select(F.col("conv_id").cast("long").alias("conv_id"), "role", "text"))
-    spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    types = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: list[tuple] = []
-        current, turns = None, []
+        for batch in batches:
+            done = []
+            for role, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                out, a, b, level = render_turn(role or "", text or "")
+                done.append((out, a, b, role == LEARNT, level))
+            cols = list(zip(*done)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, types))],
+                                             names=["conv_id", "turn", "formatted", "body_start", "body_end", "learnt", "escape_level"])
 
-        def close():
-            if turns:
-                text, mask, level = render(turns)
-                done.append((current, text, [{"start": a, "end": b} for a, b in mask], level))
+    return rows.mapInArrow(run, "conv_id long, turn long, formatted string, body_start long, body_end long, learnt boolean, escape_level int")
 
-        def flush():
-            cols = list(zip(*done)) or [[], [], [], []]
-            batch = pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], spans),
-                                                pa.array(cols[3], pa.int32())], names=["conv_id", "formatted", "loss_mask", "escape_level"])
-            done.clear()
-            return batch
 
-        for batch in batches:
-            for conv, role, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if conv is None or conv != current:
-                    close()
-                    current, turns = conv, []
-                turns.append((role or "", text or ""))
-            yield flush()
-        close()
-        yield flush()
+def read_back(formatted: DataFrame) -> DataFrame:
+    """``formatted`` with what orders turns: __role and __text, unescaped again, and __alone, which tells rows without conv_id apart."""
+    plain = lambda a, n: F.regexp_replace(F.substring("formatted", a + 1, n), r"\\([\\#<:])", "$1")
+    return formatted.withColumns({
+        "__role": plain(F.lit(len(HEAD)), F.col("body_start") - len(HEAD) - len(SEP)),
+        "__text": plain(F.col("body_start"), F.col("body_end") - F.col("body_start")),
+        "__alone": F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "formatted")),
+    })
+
 
-    return rows.mapInArrow(run, "conv_id long, formatted string, loss_mask array<struct<start: long, end: long>>, escape_level int")
+def placed(formatted: DataFrame) -> DataFrame:
+    """``formatted`` with position (from 0) and start of each turn in its conversation's text; a mask span is ``start`` + body_start to
+    ``start`` + body_end. Turns without conv_id stand alone at 0."""
+    order = Window.partitionBy("conv_id", "__alone").orderBy("turn", "__role", "__text")
+    before = F.sum(F.char_length("formatted")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    known = F.col("conv_id").isNotNull()
+    return (read_back(formatted).withColumn("position", F.when(known, F.row_number().over(order) - 1).otherwise(0).cast("long"))
+            .withColumn("start", F.when(known, F.coalesce(before, F.lit(0))).otherwise(0).cast("long")).drop("__role", "__text", "__alone"))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What parsing the formatted text recovers: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, escape_level."""
+    """What parsing the formatted turns recovers: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, escape_level."""
     small_batches(formatted.sparkSession)
+    rows = (read_back(formatted.repartition("conv_id", F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "formatted"))))
+            .sortWithinPartitions("conv_id", "turn", "__role", "__text").select("conv_id", "formatted", "body_start", "body_end", "learnt", "escape_level"))
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple] = []
+        current, n, chars, size, most = None, 0, 0, 0, 0
+        turns, loss = hashlib.sha256(), hashlib.sha256()
+
+        def close():
+            if n:
+                done.append((current, n, turns.hexdigest(), chars, loss.hexdigest(), size, most))
+
+        def flush():
+            cols = list(zip(*done)) or [[]] * 7
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
+                                              names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "escape_level"])
+
         for batch in batches:
-            rows = []
-            for conv, s, mask, level in zip(*(c.to_pylist() for c in batch.columns)):
-                n, turns, loss, chars = 0, hashlib.sha256(), hashlib.sha256(), 0
+            for conv, s, a, b, learnt, level in zip(*(c.to_pylist() for c in batch.columns)):
+                if conv is None or conv != current:
+                    close()
+                    current, n, chars, size, most = conv, 0, 0, 0, 0
+                    turns, loss = hashlib.sha256(), hashlib.sha256()
                 for role, text, _, _ in parse(s):
                     n += 1
                     turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-                for span in mask:
-                    text = unescape(s[span["start"]:span["end"]])
-                    chars += len(text)
-                    loss.update(text.encode("utf-8", "surrogatepass"))
-                rows.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), len(s), level))
-            cols = list(zip(*rows)) or [[]] * 7
-            types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
-                                             names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "escape_level"])
-
-    return formatted.select("conv_id", "formatted", "loss_mask", "escape_level").mapInArrow(
-        run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, escape_level int")
+                if learnt:
+                    said = unescape(s[a:b])
+                    chars += len(said)
+                    loss.update(said.encode("utf-8", "surrogatepass"))
+                size, most = size + len(s), max(most, level)
+            yield flush()
+        close()
+        yield flush()
+
+    return rows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, escape_level int")
 
 
 def hostile(spark: SparkSession) -> DataFrame:

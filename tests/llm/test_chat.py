@@ -49,5 +49,20 @@ def test_query_rows(spark):
     assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(expected, key=str)
 
 
+def test_turns_lie_where_placed(spark):
+    """A hot conversation over many partitions, a row a turn: put together, they are the conversation's text and its mask."""
+    turns = [(7, k, ["user", "assistant", "sys: tem"][k % 3], ["### a", "漢 </turn>", "b: \\#", ""][k % 4] * (k % 5)) for k in range(900)]
+    turns += [(None, 3, "assistant", "x"), (None, 3, "assistant", "x"), (8, None, None, None)]
+    formatted = C.format_conversations(spark.createDataFrame(turns, SCHEMA).repartition(17))
+    got = C.placed(formatted).collect()
+    text, mask, level = C.render([(r, t) for c, _, r, t in turns if c == 7])
+    own = sorted((r for r in got if r.conv_id == 7), key=lambda r: r.position)
+    assert [r.position for r in own] == list(range(900)) and "".join(r.formatted for r in own) == text
+    assert [(r.start + r.body_start, r.start + r.body_end) for r in own if r.learnt] == mask and max(r.escape_level for r in own) == level
+    assert all(text[r.start:].startswith(r.formatted) for r in own)
+    assert [(r.position, r.start) for r in got if r.conv_id is None] == [(0, 0)] * 2
+    assert {r.conv_id: r.n_turns for r in C.digests(formatted.where("conv_id is not null")).collect()} == {7: 900, 8: 1}
+
+
 def test_empty_table(spark):
     assert C.digests(C.format_conversations(spark.createDataFrame([], SCHEMA))).count() == 0
