@@ -2,7 +2,8 @@
 
 A whole document is encoded once with a byte-level BPE vocabulary. Tokens concatenate to the
 text's bytes, so their byte lengths give each token's span, mapped to code points. The token spans
-are interval-joined with the document's sections (sorted, disjoint character spans, gaps allowed).
+are interval-joined with the document's sections (character spans, gaps allowed). Where sections overlap, the one that
+starts first (then: ends first) keeps the characters and the later one begins after it; one that ends before it starts is empty.
 A token across a boundary is allocated by a rule:
 
 * ``start``: to the section that holds its first character;
@@ -107,23 +108,30 @@ def attribute(start: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray,
     return counts, crossing.astype(np.int64), outside
 
 
-def with_sections(docs: DataFrame, sections: DataFrame) -> DataFrame:
-    """``docs`` with the sections (doc_id, name, start, end) of each document in one array column."""
-    own = sections.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("name", "start", "end")).alias("sections"))
-    return docs.join(own, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+def disjoint(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sections sorted by start and end, each cut to begin where all before it have ended."""
+    before = np.concatenate([[0], np.maximum.accumulate(np.maximum(b, 0))[:-1]]) if len(a) else a
+    a = np.maximum(a, before)
+    return a, np.maximum(a, b)
 
 
-def count(docs: DataFrame, rule: str = "most", vocabulary: str = VOCABULARY) -> DataFrame:
+def with_sections(docs: DataFrame, sections: DataFrame, name: str = "sections") -> DataFrame:
+    """``docs`` with the sections (doc_id, name, start, end) of each document in one array column ``name``."""
+    own = sections.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("name", "start", "end")).alias(name))
+    return docs.drop(name).join(own, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+
+
+def count(docs: DataFrame, rule: str = "most", vocabulary: str = VOCABULARY, sections: str | None = None) -> DataFrame:
     """Tokens of every section of every document: doc_id, section (number from 0, null: outside all), name, start, end,
     n_tokens (by the rule), n_crossing, doc_tokens. ``docs`` has doc_id, text and, if its sections aren't
-    its lines, an array column ``sections`` of (name, start, end)."""
+    its lines, an array column of (name, start, end), named by ``sections``; other columns don't matter."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     spark = docs.sparkSession
     small_batches(spark)
     with open(vocabulary + ".tiktoken", "rb") as f, open(vocabulary + ".json", encoding="utf-8") as g:
         held = spark.sparkContext.broadcast((f.read(), g.read()))  # a vocabulary's size, whatever the corpus
-    by_lines = "sections" not in docs.columns
+    by_lines = sections is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(*held.value)
@@ -136,7 +144,7 @@ def count(docs: DataFrame, rule: str = "most", vocabulary: str = VOCABULARY) ->
                 for c, p in zip(cols, parts):
                     c.append(p)
 
-            for doc, text, sections in zip(ids, texts, given):
+            for doc, text, marked in zip(ids, texts, given):
                 start, end = enc.spans(text)
                 if by_lines:
                     ends = np.cumsum([len(x) for x in text.split("\n")], dtype=np.int64) + np.arange(1, text.count("\n") + 2)
@@ -145,12 +153,13 @@ def count(docs: DataFrame, rule: str = "most", vocabulary: str = VOCABULARY) ->
                     a, b = a[b > a], b[b > a]
                     names = [f"line {k + 1}" for k in range(len(a))]
                 else:
-                    own = sorted((s for s in sections or [] if s["start"] is not None and s["end"] is not None), key=lambda s: (s["start"], s["end"]))
+                    own = sorted((s for s in marked or [] if s["start"] is not None and s["end"] is not None), key=lambda s: (s["start"], s["end"]))
                     a, b = (np.array([s[k] for s in own], np.int64) for k in ("start", "end"))
                     names = [s["name"] for s in own]
-                    if (a[1:] < b[:-1]).any() or (a > b).any():
-                        raise ValueError("sections must be disjoint")
-                n, crossing, outside = attribute(start, end, a, b, rule)
+                    a, b = disjoint(a, b)
+                held_some = b > a
+                n, crossing = np.zeros(len(a)), np.zeros(len(a), np.int64)
+                n[held_some], crossing[held_some], outside = attribute(start, end, a[held_some], b[held_some], rule)
                 for k in range(len(a)):
                     add(doc, k, names[k], int(a[k]), int(b[k]), float(n[k]), int(crossing[k]), len(start))
                 if outside > 1e-9 or not len(a):
@@ -159,5 +168,5 @@ def count(docs: DataFrame, rule: str = "most", vocabulary: str = VOCABULARY) ->
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
                                              names=["doc_id", "section", "name", "start", "end", "n_tokens", "n_crossing", "doc_tokens"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([] if by_lines else ["sections"]))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([] if by_lines else [sections]))
     return rows.mapInArrow(run, "doc_id long, section int, name string, start long, end long, n_tokens double, n_crossing long, doc_tokens long")

@@ -98,5 +98,17 @@ def test_lines_of_documents(spark, other):
 def test_given_sections(spark):
     docs = spark.createDataFrame([(1, "title body text", None, None, None), (2, "no sections", None, None, None)], SCHEMA)
     sections = spark.createDataFrame([(1, "title", 0, 5), (1, "body", 6, 15), (9, "x", 0, 1)], "doc_id long, name string, start long, end long")
-    got = {(r.doc_id, r.name): (r.n_tokens, r.n_crossing) for r in T.count(T.with_sections(docs, sections)).collect()}
+    got = {(r.doc_id, r.name): (r.n_tokens, r.n_crossing) for r in T.count(T.with_sections(docs, sections), sections="sections").collect()}
     assert got == {(1, "title"): (1.0, 0), (1, "body"): (2.0, 1), (2, None): (2.0, 0)}
+
+
+def test_overlapping_sections_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "title body text", "x", 1)], "doc_id long, text string, sections string, start long")
+    assert [(r.name, r.n_tokens) for r in T.count(docs).collect()] == [("line 1", 3.0)]  # a column that happens to be called so
+    given = [(1, "all", 0, 10), (1, "inside", 2, 5), (1, "late", 4, 15), (1, "backwards", 12, 11), (1, "open", None, 3), (1, None, -3, -1)]
+    sections = spark.createDataFrame(given, "doc_id long, name string, start long, end long")
+    got = sorted(T.count(T.with_sections(docs, sections), sections="sections").collect(), key=lambda r: r.section)
+    assert [(r.name, r.start, r.end, r.n_tokens, r.n_crossing) for r in got] == [
+        (None, 0, 0, 0.0, 0), ("all", 0, 10, 2.0, 0), ("inside", 10, 10, 0.0, 0), ("late", 10, 15, 1.0, 0), ("backwards", 15, 15, 0.0, 0)]
+    other = T.with_sections(docs, sections.limit(1), "parts")
+    assert [(r.name, r.n_tokens) for r in T.count(other, sections="parts").collect()] == [("all", 2.0), (None, 1.0)]
