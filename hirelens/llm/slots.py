@@ -4,9 +4,12 @@ Every document hashes into one of ``n_slots`` virtual slots, bytes are summed pe
 slot, and a versioned slot-to-shard map says which shard holds which slot. The
 map has ``n_slots`` rows whatever the size of the corpus, so it is edited on the
 driver and joined back as a small table. Rebalancing writes a new version of the map and
-moves whole slots, never single documents.
+moves whole slots, never single documents: version 1 is the map for the shards asked for, version 2 the one with a shard more.
 
-* Null ids hash as the empty string, null texts have size 8, equal ids share a slot.
+The slot is that of the id, the text's crc32 and, for rows alike in id, size and crc32, their ordinal, so that no number of
+null or repeated ids or of equal texts weighs on one slot.
+
+* Null ids hash as the empty string, null texts have size 8 and crc32 0.
 * An empty table gives an empty result (and a map of empty slots).
 """
 
@@ -20,10 +23,12 @@ from pyspark.sql import functions as F
 
 from hirelens.session import ensure_checkpoint_dir
 
-from .common import id_text, text_of
+from .common import id_text, materialize, text_of
 
 N_SLOTS = 4096
 N_SHARDS = 24
+#: Rows alike are numbered in blocks of so many, dealt over the tasks.
+REPEATS = 10_000
 
 
 def slot_of(key: Column, n_slots: int = N_SLOTS) -> Column:
@@ -32,14 +37,17 @@ def slot_of(key: Column, n_slots: int = N_SLOTS) -> Column:
 
 
 def sized(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
-    """doc_id, size (UTF-8 bytes + 8), text_crc32, virtual_slot of every document."""
+    """doc_id, size (UTF-8 bytes + 8), text_crc32, virtual_slot of every document. Rows alike are counted before the
+    shuffle and written out again with their ordinals after it: each is as good as the other."""
     text = text_of("text")
-    return docs.select(
-        "doc_id",
-        (F.octet_length(text).cast("long") + 8).alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        slot_of(id_text(), n_slots).alias("virtual_slot"),
-    )
+    rows = docs.select("doc_id", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    alike = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
+    blocks = alike.select("*", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {REPEATS}"))).alias("block"))
+    blocks = blocks.repartition("doc_id", "text_crc32", "block")
+    first = F.col("block") * REPEATS
+    each = blocks.select("doc_id", "size", "text_crc32", F.explode(F.sequence(first, F.least(first + REPEATS, F.col("n")) - 1)).alias("ordinal"))
+    key = F.concat_ws(":", id_text(), F.col("text_crc32").cast("string"), F.col("ordinal").cast("string"))
+    return each.select("doc_id", "size", "text_crc32", slot_of(key, n_slots).alias("virtual_slot"))
 
 
 def slot_loads(rows: DataFrame) -> DataFrame:
@@ -99,19 +107,21 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, map
     """Put every document into a shard so that shard bytes are nearly equal (law ``bytes``).
 
     Returns doc_id, size, text_crc32, law, shard, slot (position inside the shard,
-    gapless from 0), grown_shard (null: this law decides no growth ahead of time),
-    virtual_slot. Only the four small columns are shuffled, never the texts.
+    gapless from 0), grown_shard (null: this law promises nothing for a shard more; where its slots
+    would go says version 2 of the map), virtual_slot. Only small columns are shuffled, never the texts.
     """
     spark = docs.sparkSession
-    rows = sized(docs, n_slots)
+    rows = materialize(sized(docs, n_slots), "sizes")
     loads = slot_loads(rows).collect()  # one row a slot: n_slots at most
     size = {r["virtual_slot"]: r["bytes"] for r in loads}
     count = {r["virtual_slot"]: r["n"] for r in loads}
     path = map_path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/slot-map-{uuid.uuid4().hex}"
-    write_map(spark, path, 1, assign(size, n_slots, n_shards), size)
+    mapping = assign(size, n_slots, n_shards)
+    for version, m in ((1, mapping), (2, grow(mapping, size))):
+        write_map(spark, path, version, m, size)
     seen = dict.fromkeys(range(n_shards), 0)
     first = []
-    for r in sorted(read_map(spark, path).collect(), key=lambda r: r["virtual_slot"]):
+    for r in sorted(read_map(spark, path, 1).collect(), key=lambda r: r["virtual_slot"]):
         first.append((r["virtual_slot"], r["shard"], seen[r["shard"]]))
         seen[r["shard"]] += count.get(r["virtual_slot"], 0)
     placed = spark.createDataFrame(first, "virtual_slot int, shard int, first long")
@@ -133,7 +143,7 @@ WITH RECURSIVE crc_bits AS (
                         lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
   FROM range(256) t(i)),
 crc_table AS (SELECT list(v ORDER BY i) AS tab FROM crc_bits),
-hexes AS (SELECT doc_id, text, hex(encode(coalesce(text, ''))) AS h, md5(coalesce(doc_id::VARCHAR, '')) AS m FROM {docs}),
+hexes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM {docs}),
 texts AS (SELECT DISTINCT h FROM hexes),
 crcs AS (
   SELECT h, xor(4294967295, list_reduce(
@@ -141,10 +151,14 @@ crcs AS (
                   lambda k: ('0x' || h[2 * k + 1 : 2 * k + 2])::BIGINT)),
      lambda c, b: xor(c >> 8, tab[1 + xor(c & 255, b)]))) AS crc
   FROM texts, crc_table),
-rows_ AS (
+alike AS (
   SELECT doc_id, (length(h) // 2 + 8)::BIGINT AS size, crc::BIGINT AS text_crc32,
-         (('0x' || m[1:8])::BIGINT % {n_slots})::INTEGER AS virtual_slot
+         row_number() OVER (PARTITION BY doc_id, length(h), crc) - 1 AS ordinal
   FROM hexes JOIN crcs USING (h)),
+rows_ AS (
+  SELECT doc_id, size, text_crc32,
+         (('0x' || md5(coalesce(doc_id::VARCHAR, '') || ':' || text_crc32 || ':' || ordinal)[1:8])::BIGINT % {n_slots})::INTEGER AS virtual_slot
+  FROM alike),
 loads AS (SELECT virtual_slot, sum(size)::BIGINT AS bytes, count(*) AS n FROM rows_ GROUP BY 1),
 queue AS (
   SELECT s::INTEGER AS virtual_slot, coalesce(bytes, 0)::BIGINT AS bytes, coalesce(n, 0)::BIGINT AS n,

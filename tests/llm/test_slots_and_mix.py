@@ -47,6 +47,23 @@ def test_shard_contract(spark):
     assert sorted(load)[-2] <= 1.02 * sorted(load)[0]
 
 
+def test_null_and_repeated_ids_weigh_on_no_slot(spark, tmp_path):
+    """A third of the rows without id, a third with one id and one text: shards stay even, and a shard more takes rows only into itself."""
+    rows = [(None, f"text {k} " + "x" * (k % 50), "en", "s", 0) for k in range(25_000)] + [(7, "the same text over and over", "en", "s", 0)] * 25_000
+    rows += [(100 + k, "w " * (k % 40), "en", "s", 0) for k in range(25_000)]
+    got = slots.shard(spark.createDataFrame(rows, DOCS).repartition(16), map_path=str(tmp_path / "map")).toPandas()
+    load = got.groupby("shard")["size"].sum()
+    assert len(got) == len(rows) and len(load) == 24 and load.max() < 1.05 * load.mean()
+    for _, own in got.groupby("shard"):
+        assert sorted(own["slot"]) == list(range(len(own)))
+    maps = [{r.virtual_slot: r.shard for r in slots.read_map(spark, str(tmp_path / "map"), v).collect()} for v in (1, 2)]
+    assert (got["virtual_slot"].map(maps[0]) == got["shard"]).all()
+    after = got["virtual_slot"].map(maps[1])
+    assert ((after == got["shard"]) | (after == 24)).all()
+    grown = got["size"].groupby(after).sum()
+    assert len(grown) == 25 and grown.max() < 1.1 * grown.mean()
+
+
 def test_rebalancing_moves_slots_into_the_new_shard_only(spark, tmp_path):
     loads = {k: (k * 7919) % 1000 + 1 for k in range(slots.N_SLOTS)}
     one = slots.assign(loads, slots.N_SLOTS, 24)
