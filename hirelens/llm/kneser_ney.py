@@ -14,9 +14,11 @@ the probability of its suffix, and so on down. If the model has at most ``BROADC
 rows (25 bytes each) workers hold it whole; a larger one stays sharded by code: distinct
 n-grams of the corpus are joined with the count shards order by order, and the documents' n-grams with these.
 
-A document is kept if its perplexity is at most the ``QUANTILE`` of its language, taken over
-trusted documents held out of training (a language with under ``LEAST_HELD`` of them uses that of all). For this, ``PRIOR_SYMBOLS``
-symbols of the language's mean are added to every document, so that very short texts neither set the limit nor fail it by chance.
+A document is kept if its perplexity is at most a limit of its language, learnt from the trusted documents held out of
+training: the language's mean plus the ``QUANTILE`` of the documents' distances from it. That distance is the mean of the language's own
+quantile, weighed by its held-out documents, and of the quantile over all languages, weighed ``PRIOR_DOCS``: one rule for languages
+of every size. ``PRIOR_SYMBOLS`` symbols of the language's mean are added to every document, so that very short texts
+neither set the limit nor fail it by chance. A language without held-out documents has the mean and the quantile of all.
 
 * Null and empty texts hold nothing to judge: perplexity null, not kept.
 * A null language is a language of its own. Null, repeated and contradictory labels: trusted
@@ -44,7 +46,7 @@ START = 2  # the symbol before a text
 SYMBOLS = 1 << BITS
 HELD_ONE_IN = 5
 QUANTILE = 0.995
-LEAST_HELD = 40
+PRIOR_DOCS = 50
 PRIOR_SYMBOLS = 50
 BIN = 1e-3  # thresholds are exact to this step of the mean log-probability
 BROADCAST_ROWS = 4_000_000
@@ -301,20 +303,25 @@ def smoothed(prior: Column) -> Column:
 
 def standards(held: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """held(lang, __n, __nll) of held-out documents -> (__all, lang, prior, limit): mean negative log-probability a
-    symbol, and the smoothed one of a document that the given share does not exceed, for each language
-    with enough documents, and for all of them (``__all``)."""
+    symbol, and the smoothed one that a document may not exceed, for each language and (``__all``) for those not among them."""
     rows = held.where("__n > 0")
-    both = rows.withColumn("__all", F.lit(False)).union(
-        rows.select(F.lit(None).cast("string").alias("lang"), "__n", "__nll", F.lit(True).alias("__all")))
-    priors = both.groupBy("__all", "lang").agg((F.sum("__nll") / F.sum("__n")).alias("prior"), F.count("*").alias("docs"))
-    priors = materialize(priors.where(F.col("__all") | (F.col("docs") >= LEAST_HELD)), "priors")
-    p = priors.select(F.col("__all").alias("__a"), F.col("lang").alias("__lang"), "prior")
-    same = (F.col("__all") == F.col("__a")) & F.col("lang").eqNullSafe(F.col("__lang"))
-    bins = both.join(few(p), same).groupBy("__all", "lang", "prior", F.ceil(smoothed(F.col("prior")) / BIN).alias("bin")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy("__all", "lang")
-    upto = F.sum("c").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = bins.withColumn("upto", upto).withColumn("docs", F.sum("c").over(w))
-    return ranked.where(F.col("upto") >= F.ceil(F.col("docs") * quantile)).groupBy("__all", "lang", "prior").agg((F.min("bin") * BIN).alias("limit"))
+    mean = F.sum("__nll") / F.sum("__n")
+    priors = materialize(rows.groupBy("lang").agg(mean.alias("prior")), "priors").select(F.col("lang").alias("__lang"), "prior")
+    bin_ = F.ceil((smoothed(F.col("prior")) - F.col("prior")) / BIN)
+    bins = (rows.join(few(priors), F.col("lang").eqNullSafe(F.col("__lang"))).groupBy("lang", "prior", bin_.alias("bin")).agg(F.count("*").alias("c")))
+    bins = materialize(bins, "distances")  # a row for each language and step of its distances
+
+    def upper(bins: DataFrame, *by: str) -> DataFrame:
+        w = Window.partitionBy(*by)
+        ranked = bins.withColumn("upto", F.sum("c").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))).withColumn("docs", F.sum("c").over(w))
+        return ranked.where(F.col("upto") >= F.ceil(F.col("docs") * quantile)).groupBy(*by, "docs").agg((F.min("bin") * BIN).alias("far"))
+
+    own = upper(bins, "lang", "prior")
+    pooled = bins.groupBy("bin").agg(F.sum("c").alias("c")).withColumn("__all", F.lit(True))  # a row a step: bounded by log(SYMBOLS) / BIN
+    whole = upper(pooled, "__all").select("__all", F.col("far").alias("__far")).crossJoin(rows.agg(mean.alias("__prior")))  # one row and one row
+    far = (F.col("far") * F.col("docs") + F.col("__far") * PRIOR_DOCS) / (F.col("docs") + PRIOR_DOCS)
+    each = own.join(F.broadcast(whole), F.lit(True)).select(F.lit(False).alias("__all"), "lang", "prior", (F.col("prior") + far).alias("limit"))
+    return each.union(whole.select("__all", F.lit(None).cast("string"), "__prior", F.col("__prior") + F.col("__far")))
 
 
 def labelled(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -49,17 +49,22 @@ def plain_quality(rows, labels):
     nll = [plain_nll(p, r[1], kneser_ney.ORDER) if r[1] else None for r in rows]
     smooth = lambda x, n, prior: (x + prior * kneser_ney.PRIOR_SYMBOLS) / (n + kneser_ney.PRIOR_SYMBOLS)
 
-    def standard(texts):
-        prior = sum(x for x, _ in texts) / sum(n for _, n in texts)
-        bins = sorted(math.ceil(smooth(x, n, prior) / kneser_ney.BIN) for x, n in texts)
-        return prior, bins[math.ceil(len(bins) * kneser_ney.QUANTILE) - 1] * kneser_ney.BIN
+    def mean(texts):
+        return sum(x for x, _ in texts) / sum(n for _, n in texts)
+
+    def far(texts):
+        bins = sorted(math.ceil((smooth(x, n, prior) - prior) / kneser_ney.BIN) for prior, x, n in texts)
+        return bins[math.ceil(len(bins) * kneser_ney.QUANTILE) - 1] * kneser_ney.BIN
 
     own = {}
     for r, x in zip(rows, nll):
         if r[0] in held and x is not None:
             own.setdefault(r[2], []).append((x, len(r[1])))
-    whole = standard([t for v in own.values() for t in v])
-    by = {lang: standard(v) for lang, v in own.items() if len(v) >= kneser_ney.LEAST_HELD}
+    apart = {lang: [(mean(v), *t) for t in v] for lang, v in own.items()}
+    pooled = far([t for v in apart.values() for t in v])
+    middle = mean([t for v in own.values() for t in v])
+    whole = middle, middle + pooled
+    by = {lang: (mean(own[lang]), mean(own[lang]) + (far(v) * len(v) + pooled * kneser_ney.PRIOR_DOCS) / (len(v) + kneser_ney.PRIOR_DOCS)) for lang, v in apart.items()}
     judge = lambda r, x: (lambda s: smooth(x, len(r[1]), s[0]) <= s[1])(by.get(r[2], whole))
     return [r for r, x in zip(rows, nll) if x is not None and judge(r, x)]
 
