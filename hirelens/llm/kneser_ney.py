@@ -46,7 +46,7 @@ START = 2  # the symbol before a text
 SYMBOLS = 1 << BITS
 HELD_ONE_IN = 5
 QUANTILE = 0.995
-PRIOR_DOCS = 50
+PRIOR_DOCS = 2000  # ten documents beyond the quantile: with far fewer, a language's own one is its farthest document
 PRIOR_SYMBOLS = 50
 BIN = 1e-3  # thresholds are exact to this step of the mean log-probability
 BROADCAST_ROWS = 4_000_000
