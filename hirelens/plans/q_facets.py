@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import presets
 from ..functions import labels as L
 from ..operators import facets as FA
+from ..operators import map_index
 from ..operators import partials as PA
 from ..operators import search as S
 from ..sources.trends import new_snapshot_dir
@@ -129,19 +130,45 @@ def _named(spark, sf):
                                       .otherwise(F.concat(initial, "company")))
 
 
-@register("marker_sample", f"""{W},
+def _markers_sql(south, west, north, east) -> str:
+    return f"""{W},
 {_NAMED},
 c AS (SELECT lower(substr(company, 1, 1)) AS initial, job_id, company, title, lat, lng, salary_median,
   row_number() OVER (PARTITION BY lower(substr(company, 1, 1)) ORDER BY job_id) AS rn
   FROM named WHERE lat IS NOT NULL AND lng IS NOT NULL AND company IS NOT NULL AND company <> ''
   AND NOT regexp_matches(company, '^\\d+$') AND NOT regexp_matches(company, '^[a-f0-9]{{8,}}$', 'i')
-  AND lat BETWEEN -90 AND 90 AND lng BETWEEN -180 AND 180)
+  AND lat BETWEEN {south} AND {north} AND lng BETWEEN {west} AND {east})
 SELECT initial, job_id, company, title, lat, lng, salary_median, coalesce(salary_median <> 0, false) AS salaried
-FROM c WHERE rn = 1 ORDER BY job_id LIMIT {presets.MARKER_LIMIT}""")
+FROM c WHERE rn = 1 ORDER BY job_id LIMIT {presets.MARKER_LIMIT}"""
+
+
+@register("marker_sample", _markers_sql(-90, -180, 90, 180))
 def q_marker_sample(spark, sf):
     return FA.marker_sample(_named(spark, sf), box=(-90, -180, 90, 180))
 
 
+#: A viewport: the middle of Europe.
+VIEWPORT = (40, -10, 56, 30)
+
+
+def _map(spark, sf):
+    return map_index.build(_named(spark, sf), F.col("job_id"), 64)
+
+
+@register("marker_viewport", _markers_sql(*VIEWPORT))
+def q_marker_viewport(spark, sf):
+    """The markers of a viewport, from the folders of the map index that it meets."""
+    return FA.marker_sample(_map(spark, sf).inside(VIEWPORT))
+
+
+@register("heat_viewport", f"""{W}
+SELECT lat, lng, count(*) AS n FROM jobs_c WHERE lat BETWEEN {VIEWPORT[0]} AND {VIEWPORT[2]} AND lng BETWEEN {VIEWPORT[1]} AND {VIEWPORT[3]}
+GROUP BY lat, lng HAVING count(*) >= {presets.HEAT_MIN_COUNT}""")
+def q_heat_viewport(spark, sf):
+    """The heat buckets of a viewport, from the same folders."""
+    return FA.heat_buckets(_map(spark, sf).inside(VIEWPORT))
+
+
 # -- label functions --------------------------------------------------------------
 def _sql_hours(c: str) -> str:
     return f"({g.age_us(c, NOW)} / 3600000000.0)"
