@@ -6,7 +6,7 @@
                    replay: epoch e always merges onto the snapshot of e-1), or
                    onto a bucketed dataset of which a batch rewrites only the
                    buckets it meets (``start_bucket_merge_stream``).
-* first-seen     — keyed state (``applyInPandasWithState``): emits a key the
+* first-seen     — state by buckets of keys (``applyInPandasWithState``): emits a key the
                    first time it is sighted; every sighting renews an
                    event-time timeout, after which the key is forgotten and a
                    later sighting counts as new again.
@@ -114,51 +114,62 @@ def start_bucket_merge_stream(source: DataFrame, root: str, checkpoint: str,
     return w.start()
 
 
-FIRST_SEEN_OUT = "key string, first_seen timestamp, seq long"
-FIRST_SEEN_STATE = "first_seen timestamp, last_seen timestamp"
+FIRST_SEEN_OUT = "key string, first_seen long, seq long"  # times in microseconds since 1970
+FIRST_SEEN_STATE = "keys array<string>, first_seen array<long>, latest array<long>"
+FIRST_SEEN_BUCKETS = 1024
 
 
 def first_seen_stream(source: DataFrame, key: str = "key", seq: str = "seq", ts: str = "scraped_at",
-                      ttl_days: int = presets.RETENTION_DAYS + 1, watermark: str = "1 day") -> DataFrame:
+                      ttl_days: int = presets.RETENTION_DAYS + 1, watermark: str = "1 day",
+                      buckets: int = FIRST_SEEN_BUCKETS) -> DataFrame:
     """(key, first_seen, seq) emitted once per key when it is first sighted
     (first_seen = the sighting's time; with several sightings of a new key in
     one batch, the last one by ``seq``). State expires ``ttl_days`` after the
-    latest sighting — each sighting renews it."""
+    latest sighting — each sighting renews it.
+
+    A bucket of keys is a group of the state: a group costs about as much whatever number of its keys are sighted. Its timeout
+    is the earliest of its keys'. A checkpoint stays with the number of ``buckets`` that it began with."""
     ttl_ms = ttl_days * 86_400_000
 
     def step(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        # Fold the group's Arrow batches one at a time: memory stays O(1) per key
-        # even when one key carries a large share of a micro-batch.
-        best_seq, best_ts, latest = None, None, None
-        for pdf in pdfs:
-            if not len(pdf):
-                continue
-            i = pdf["_seq"].idxmax()
-            if best_seq is None or pdf.at[i, "_seq"] > best_seq:
-                best_seq, best_ts = int(pdf.at[i, "_seq"]), pdf.at[i, "_ts"]
-            m = pdf["_ts"].max()
-            latest = m if latest is None or m > latest else latest
-        if best_seq is None:
+        held = dict(zip(state.get[0], zip(*state.get[1:]))) if state.exists else {}
+        if not state.hasTimedOut:
+            # Fold the group's Arrow batches one at a time: memory is O(1) per key
+            # even when one key carries a large share of a micro-batch.
+            visits = {}
+            for pdf in pdfs:
+                if not len(pdf):
+                    continue
+                pdf = pdf.sort_values("_seq", kind="stable")
+                own = pdf.groupby("_key", sort=False).agg(seq=("_seq", "last"), ts=("_us", "last"), latest=("_us", "max"))
+                for name, s, t, latest in zip(own.index, own["seq"].tolist(), own["ts"].tolist(), own["latest"].tolist()):
+                    v = visits.get(name)
+                    if v is None:
+                        visits[name] = (s, t, latest)
+                    else:
+                        visits[name] = (*((s, t) if s > v[0] else v[:2]), max(v[2], latest))
+            new = {name: v for name, v in visits.items() if name not in held}
+            for name, (_, t, latest) in visits.items():
+                first, seen = held.get(name, (t, latest))
+                held[name] = (first, max(seen, latest))
+            if new:
+                yield pd.DataFrame({"key": list(new), "first_seen": [v[1] for v in new.values()], "seq": [v[0] for v in new.values()]})
+        passed = state.getCurrentWatermarkMs()
+        held = {name: v for name, v in held.items() if v[1] // 1000 + ttl_ms >= passed}
+        if not held:
+            if state.exists:
+                state.remove()
             return
-        if state.exists:
-            first, seen = state.get
-            state.update((first, max(pd.Timestamp(seen), latest)))
-        else:
-            state.update((best_ts, latest))
-            yield pd.DataFrame({"key": [k[0]], "first_seen": [best_ts], "seq": [best_seq]})
-        newest = pd.Timestamp(state.get[1])
-        if newest.tzinfo is None:
-            newest = newest.tz_localize("UTC")
-        state.setTimeoutTimestamp(int(newest.timestamp() * 1000) + ttl_ms)
+        state.update((list(held), [v[0] for v in held.values()], [v[1] for v in held.values()]))
+        state.setTimeoutTimestamp(min(v[1] for v in held.values()) // 1000 + ttl_ms)
 
     s = (source.select(F.col(key).alias("_key"), F.col(seq).alias("_seq"), F.col(ts).cast("timestamp").alias("_ts"))
          .filter(F.coalesce(F.col("_key"), F.lit("")) != "")
          .withWatermark("_ts", watermark))
-    return s.groupBy("_key").applyInPandasWithState(step, FIRST_SEEN_OUT, FIRST_SEEN_STATE, "append",
-                                                   GroupStateTimeout.EventTimeTimeout)
+    s = s.withColumns({"_bucket": F.pmod(F.xxhash64("_key"), F.lit(buckets)).cast("int"), "_us": F.unix_micros("_ts")})
+    found = s.groupBy("_bucket").applyInPandasWithState(step, FIRST_SEEN_OUT, FIRST_SEEN_STATE, "append",
+                                                        GroupStateTimeout.EventTimeTimeout)
+    return found.withColumn("first_seen", F.timestamp_micros("first_seen"))
 
 
 def daily_counts_stream(source: DataFrame, ts: str = "scraped_at", platform: str = "ats",

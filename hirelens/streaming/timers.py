@@ -1,8 +1,12 @@
-"""First sightings with a time to live: ``transformWithState``, one value state and one event-time timer a key.
+"""First sightings with a time to live: ``transformWithState``, one value state and one event-time timer a bucket of keys.
 
 A key is emitted when it is first sighted, and again when a sighting comes ``ttl`` or more after the latest one before
-it; any sighting in time renews it. The timer stands at latest sighting + ttl: a renewal deletes it and registers the next. Once the
-watermark has passed it, the key's state is cleared, so the state holds the keys of the last ttl and of the watermark's delay only.
+it; any sighting in time renews it, so that it expires at latest sighting + ttl. Once the watermark has passed that, the key is dropped, so
+the state holds the keys of the last ttl and of the watermark's delay only.
+
+Keys are dealt to buckets by hash. A call of the state store costs far more than a key, and a bucket needs the same few calls
+whatever number of its keys are sighted; its timer stands at the earliest expiry among them. A bucket's keys are in memory one bucket at a
+time: take more ``buckets`` where far more keys are held. A checkpoint stays with the number that it began with.
 
 Sightings are folded per key before the shuffle (earliest, latest, and the last by ``seq``), so that a key with a third of all
 rows reaches the state as a few rows. The sightings of one micro-batch count as one visit: gaps inside it don't.
@@ -23,9 +27,11 @@ from .. import presets
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE = "sighted"
+BUCKETS = 1024
 # times in microseconds since 1970: Python state would lose a timestamp's zone
 _OUT = "key string, first_seen long, seq long"
 _FOLDED = "key string, earliest long, latest long, seq long, last long"
+_HELD = "keys array<string>, first_seen array<long>, latest array<long>, expires array<long>, timer long"
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -48,31 +54,52 @@ class Sightings(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sighted = handle.getValueState(STATE, "first_seen long, latest long, expires long")
+        self.sighted = handle.getValueState(STATE, _HELD)
+
+    def _held(self) -> tuple[dict, int | None]:
+        """key -> (first, latest, expires) of the bucket, and where its timer stands."""
+        row = self.sighted.get()
+        if row is None:
+            return {}, None
+        keys, firsts, latests, expires, timer = row
+        return dict(zip(keys, zip(firsts, latests, expires))), timer
+
+    def _keep(self, held: dict, timer: int | None) -> None:
+        """Store the bucket with its timer at the earliest expiry; ``timer`` is the one that stands."""
+        if not held:
+            self.sighted.clear()
+            return
+        firsts, latests, expires = map(list, zip(*held.values()))
+        first_out = min(expires)
+        if timer != first_out:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(first_out)
+        self.sighted.update((list(held), firsts, latests, expires, first_out))
 
     def handleInputRows(self, key, rows, timerValues: TimerValues) -> Iterator[Row]:
-        earliest = latest = last = seq = None
+        visits = {}
         for r in rows:
-            earliest = r.earliest if earliest is None else min(earliest, r.earliest)
-            latest = r.latest if latest is None else max(latest, r.latest)
-            if seq is None or r.seq > seq:
-                seq, last = r.seq, r.last
-        held = self.sighted.get() if self.sighted.exists() else None
-        if held is not None and earliest // 1000 < held[2]:
-            first, latest, new = held[0], max(held[1], latest), False
-        else:
-            first, new = last, True
-        expires = latest // 1000 + self.ttl_ms  # timers are in milliseconds
-        if held is not None and held[2] != expires:
-            self.handle.deleteTimer(held[2])
-        if held is None or held[2] != expires:
-            self.handle.registerTimer(expires)
-        self.sighted.update((first, latest, expires))
-        if new:
-            yield Row(key=key[0], first_seen=first, seq=seq)
+            v = visits.get(r.key)
+            if v is None:
+                visits[r.key] = (r.earliest, r.latest, r.seq, r.last)
+            else:
+                visits[r.key] = (min(v[0], r.earliest), max(v[1], r.latest), *((r.seq, r.last) if r.seq > v[2] else v[2:]))
+        held, timer = self._held()
+        for k, (earliest, latest, seq, last) in visits.items():
+            was = held.get(k)
+            if was is not None and earliest // 1000 < was[2]:
+                first, latest = was[0], max(was[1], latest)
+            else:
+                first = last
+                yield Row(key=k, first_seen=first, seq=seq)
+            held[k] = (first, latest, latest // 1000 + self.ttl_ms)  # timers are in milliseconds
+        self._keep(held, timer)
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        self.sighted.clear()
+        held, _ = self._held()
+        passed = timerValues.getCurrentWatermarkInMs()
+        self._keep({k: v for k, v in held.items() if v[2] >= passed}, None)  # the timer that fired is gone
         return iter(())
 
     def close(self) -> None:
@@ -80,14 +107,15 @@ class Sightings(StatefulProcessor):
 
 
 def sightings(source: DataFrame, ttl: dt.timedelta = dt.timedelta(days=presets.RETENTION_DAYS + 1), key: str = "key", seq: str = "seq",
-              ts: str = "scraped_at", watermark: str = "1 day") -> DataFrame:
+              ts: str = "scraped_at", watermark: str = "1 day", buckets: int = BUCKETS) -> DataFrame:
     """(key, first_seen, seq): the last sighting by ``seq`` of every visit of a new or forgotten key. Rows without key or time, and
     those later than the watermark allows, take no part."""
     use_rocksdb(source.sparkSession)
     rows = source.select(F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("ts"), F.col(seq).cast("long").alias("seq"))
     rows = rows.filter((F.coalesce("key", F.lit("")) != "") & F.col("ts").isNotNull() & F.col("seq").isNotNull())
     folded = rows.mapInArrow(fold, _FOLDED).withColumn("at", F.timestamp_micros("latest")).withWatermark("at", watermark)
-    found = folded.groupBy("key").transformWithState(Sightings(ttl), _OUT, "append", "EventTime")
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")
+    found = folded.withColumn("bucket", bucket).groupBy("bucket").transformWithState(Sightings(ttl), _OUT, "append", "EventTime")
     return found.withColumn("first_seen", F.timestamp_micros("first_seen"))
 
 
@@ -95,5 +123,6 @@ def held_keys(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The keys whose state a stopped stream holds, read from its checkpoint: key, first_seen, latest, expires."""
     use_rocksdb(spark)
     state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", STATE).load()
-    times = [F.timestamp_micros(f"value.{c}").alias(c) for c in ("first_seen", "latest")]
-    return state.select("key.key", *times, F.timestamp_millis("value.expires").alias("expires"))
+    state = state.select(F.inline(F.arrays_zip(*[f"value.{c}" for c in ("keys", "first_seen", "latest", "expires")])))
+    times = [F.timestamp_micros(c).alias(c) for c in ("first_seen", "latest")]
+    return state.select(F.col("keys").alias("key"), *times, F.timestamp_millis("expires").alias("expires"))
