@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import presets
 from ..functions.classify import role_match
 from ..functions.text import blank_to_null, html_unescape
+from ..session import materialize
 
 # Platforms whose company field is the slug itself (the other two need the reverse maps).
 SLUG_IS_COMPANY = [p.lower() for p in presets.PLATFORMS if p not in ("Workday", "Paylocity")]
@@ -38,6 +39,8 @@ def build_shortlist(jobs: DataFrame, preset=None, reverse: DataFrame | None = No
     direct = blank_to_null(F.col("company_slug"))
     m = m.withColumn("_direct", F.when(direct.isNotNull(), direct)
                      .when(F.col("platform").isin(SLUG_IS_COMPANY), blank_to_null(F.col("company"))))
+    # the postings are matched once: three steps read their counts, a row a company
+    m = materialize(m.groupBy("platform", "company", "_direct").agg(F.count(F.lit(1)).alias("n")), "matched")
     known = m.filter(F.col("platform").isin([p.lower() for p in presets.PLATFORMS]))
     resolved = known.filter(F.col("_direct").isNotNull()).select("platform", F.col("_direct").alias("slug"))
     rest = known.filter(F.col("_direct").isNull())
@@ -47,8 +50,8 @@ def build_shortlist(jobs: DataFrame, preset=None, reverse: DataFrame | None = No
         unresolved = rest.join(reverse.select("platform", "company").distinct(), ["platform", "company"], "left_anti")
     else:
         unresolved = rest
-    stats = (m.groupBy("platform").agg(F.count(F.lit(1)).alias("matched_jobs"))
-             .join(unresolved.groupBy("platform").agg(F.count(F.lit(1)).alias("unresolved"))
+    stats = (m.groupBy("platform").agg(F.sum("n").alias("matched_jobs"))
+             .join(unresolved.groupBy("platform").agg(F.sum("n").alias("unresolved"))
                    .withColumnRenamed("platform", "_p"), F.col("platform").eqNullSafe(F.col("_p")), "left")
              .select("platform", "matched_jobs", F.coalesce("unresolved", F.lit(0)).alias("unresolved")))
     return resolved.distinct(), stats

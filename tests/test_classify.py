@@ -80,3 +80,16 @@ def test_thresholds(spark):
              ("manager", "senior")]                  # 15
     df = spark.createDataFrame([(t,) for t, _ in cases], "t string")
     assert [r[0] for r in df.select(tier("t")).collect()] == [e for _, e in cases]
+
+
+def test_leading_boundary_is_asked_once(spark):
+    from hirelens.functions.classify import one_of
+    from hirelens.functions.text import ascii_boundaries
+
+    patterns = [r"\bfoo (bar|baz)\b", r"\bred[ -]?ish\b", r"\ba|b\b", "plain", r"\bsenior\b"]
+    joined = one_of(patterns)
+    assert joined.startswith(r"\b(?:foo (bar|baz)\b|red[ -]?ish\b|senior\b)") and r"\ba|b\b" in joined
+    texts = ["foo bar", "xfoo bar", "foo bark", "red-ish", "infrared ish", "a", "xb", "xbx", "explained", "Senior\u00e9", "\u00e9senior", "seniors", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    both = [df.select(df.t.rlike("(?i)" + ascii_boundaries(p))).collect() for p in ("|".join(patterns), joined)]
+    assert both[0] == both[1] and {r[0] for r in both[0]} == {True, False}

@@ -56,6 +56,13 @@ def test_shortlist_file(spark, tmp_path):
     assert RF.read_shortlist(spark, None) is None and RF.read_shortlist(spark, str(tmp_path / "gone")) is None
 
 
+def test_shortlist_matches_the_postings_once(spark):
+    jobs = spark.createDataFrame([("Lever", "a", "Cloud Engineer", "mid"), ("Workday", None, "Cloud Engineer", "mid")],
+                                 "ats string, company_slug string, title string, skill_level string").selectExpr("*", "company_slug AS company")
+    for df in SL.build_shortlist(jobs):
+        assert "RLIKE" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_salary_lookup_file(spark, tmp_path):
     f = tmp_path / "salary.json"
     value = lambda m: {"p25": m - 1, "median": m, "p75": m + 1, "n": 3}
