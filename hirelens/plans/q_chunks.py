@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
 from ..sources import chunks as CH
 from ..sources.trends import new_snapshot_dir
 from .q_search import W, jobs
@@ -31,7 +32,8 @@ def _slim(spark, sf):
 
 def _published(spark, sf):
     base = new_snapshot_dir(spark, "releases")
-    manifest, problems = CH.publish(_slim(spark, sf), base, RELEASE, tie="job_id", size=SIZE)
+    # ranges are drawn from a sample first: classify the postings once, not for it as well
+    manifest, problems = CH.publish(materialize(_slim(spark, sf), "slim"), base, RELEASE, tie="job_id", size=SIZE)
     return base, manifest, problems
 
 

@@ -56,3 +56,15 @@ def test_empty_dataset_has_no_chunks(spark, tmp_path):
     m, problems = CH.publish(df, str(tmp_path), "r1")
     assert m["chunks"] == [] and [r.problem for r in problems.collect()] == ["no chunks listed"]
     assert not (tmp_path / "current").exists()
+
+
+def test_folders_are_listed_in_a_few_tasks(spark, tmp_path):
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    was = spark.conf.get(name)
+    with CH._few_listing_tasks(spark):
+        assert int(spark.conf.get(name)) <= 4 * spark.sparkContext.defaultParallelism
+    df = spark.range(0, 81).selectExpr("id as job_id", "'c' as company", "'t' as title")
+    _, problems = CH.publish(df, str(tmp_path), "r1", tie="job_id", size=2)  # more folders than the driver lists itself
+    assert problems.isEmpty()
+    got = CH.read_chunks(spark, str(tmp_path / "r1"), T.StructType([T.StructField("job_id", T.LongType())]), strict=True)
+    assert sorted(r.job_id for r in got.collect()) == list(range(81)) and spark.conf.get(name) == was
