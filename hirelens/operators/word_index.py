@@ -32,12 +32,16 @@ def _lower(c) -> Column:
     return F.lower(F.coalesce(col_of(c), F.lit("")))
 
 
+def text_words(df: DataFrame, col: str) -> DataFrame:
+    """key, word: the distinct words of the distinct texts of a column. A text is hashed once, before its words become rows."""
+    texts = df.select(_lower(col).alias("text")).distinct()
+    texts = texts.select(F.md5("text").alias("key"), F.array_distinct(F.split("text", r"\W+")).alias("words"))
+    return texts.select("key", F.explode("words").alias("word")).where("word <> ''")
+
+
 def build(df: DataFrame, col: str) -> WordIndex:
     """Index of the distinct texts of a column. Text words are made distinct before anything is shuffled by word."""
-    texts = df.select(_lower(col).alias("text")).distinct()
-    split = F.array_distinct(F.split("text", r"\W+"))
-    texts = texts.select(F.md5("text").alias("key"), F.explode(split).alias("word")).where("word <> ''")
-    texts = materialize(texts, "text-words")
+    texts = materialize(text_words(df, col), "text-words")
     words = materialize(texts.select("word").distinct().withColumn("length", F.length("word")), "words")
     two = F.transform(F.sequence(F.lit(1), F.col("length") - 1), lambda i: F.substr(F.col("word"), i, F.lit(2)))
     pairs = words.where("length > 1").withColumn("two", two)

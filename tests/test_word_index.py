@@ -45,3 +45,11 @@ def test_empty_tables_and_thresholds(spark):
     assert W.fuzzy_filter(none, "t", index, "londn").count() == 0
     with pytest.raises(ValueError):
         W.allowed(3, 0)
+
+
+def test_a_text_is_hashed_once_not_once_a_word(spark):
+    df = spark.createDataFrame([("One two one",), ("one TWO one",), ("three",), (None,)], "t string")
+    words = W.text_words(df, "t")
+    plan = words._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("md5")  # below the step that makes rows of the words
+    assert sorted(r.word for r in words.collect()) == ["one", "three", "two"]
